@@ -1,11 +1,13 @@
 """The queries of the numbered operators, and their SQL where SQL can express them."""
 
-from formlens.llm import mixing, sharding
+from formlens.llm import mixing, quality, sharding
 
 QUERIES = {
     "op1_mixing_sources_to_target_weights": mixing.op1_mixing_sources_to_target_weights,
+    "op2_quality_rules": quality.op2_quality_rules,
     "op9_sharding": sharding.op9_sharding,
 }
 ORACLES = {
     "op1_mixing_sources_to_target_weights": mixing.OP1_SQL,
+    "op2_quality_rules": quality.OP2_SQL,
 }
