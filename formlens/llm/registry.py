@@ -1,10 +1,11 @@
 """The queries of the numbered operators, and their SQL where SQL can express them."""
 
-from formlens.llm import media, mixing, near_dedup, quality, sharding, span_dedup, token_counts
+from formlens.llm import byte_bpe, media, mixing, near_dedup, quality, sharding, span_dedup, token_counts
 
 QUERIES = {
     "op1_mixing_sources_to_target_weights": mixing.op1_mixing_sources_to_target_weights,
     "op2_quality_rules": quality.op2_quality_rules,
+    "op3_byte_level_bpe": byte_bpe.op3_byte_level_bpe,
     "op4_media_columns": media.op4_media_columns,
     "op6_token_counts": token_counts.op6_token_counts,
     "op8_suffix_array_dedup": span_dedup.op8_suffix_array_dedup,
