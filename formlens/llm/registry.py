@@ -1,13 +1,15 @@
 """The queries of the numbered operators, and their SQL where SQL can express them."""
 
-from formlens.llm import byte_bpe, media, mixing, near_dedup, quality, sharding, span_dedup, token_counts
+from formlens.llm import byte_bpe, chat, classifier, media, mixing, near_dedup, quality, sharding, span_dedup, token_counts
 
 QUERIES = {
     "op1_mixing_sources_to_target_weights": mixing.op1_mixing_sources_to_target_weights,
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_byte_level_bpe": byte_bpe.op3_byte_level_bpe,
     "op4_media_columns": media.op4_media_columns,
+    "op5_quality_classifier": classifier.op5_quality_classifier,
     "op6_token_counts": token_counts.op6_token_counts,
+    "op7_chat_formatting": chat.op7_chat_formatting,
     "op8_suffix_array_dedup": span_dedup.op8_suffix_array_dedup,
     "op9_sharding": sharding.op9_sharding,
     "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
@@ -15,4 +17,5 @@ QUERIES = {
 ORACLES = {
     "op1_mixing_sources_to_target_weights": mixing.OP1_SQL,
     "op2_quality_rules": quality.OP2_SQL,
+    "op7_chat_formatting": chat.OP7_SQL,
 }
