@@ -35,7 +35,7 @@ from formlens.llm.suffixes import BASES, BORDER, GRAM, anchors, common_prefixes,
 MATCH = 400
 CHUNK = 4 << 20
 #: Mean bytes of a shard; a group of regions with more is spread.
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 2 << 20
 
 
 def text_key() -> Column:

@@ -14,11 +14,15 @@ GRAM = 64
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 
-@functools.lru_cache(4)
-def _powers(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+#: Bytes that are hashed at once; the powers of a base are kept for as many.
+BLOCK = 1 << 17
+
+
+@functools.lru_cache(2)
+def _powers(base: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for b in (base, pow(base, -1, 1 << 64)):
-        steps = np.full(1 << bits, b, np.uint64)
+        steps = np.full(BLOCK, b, np.uint64)
         steps[0] = 1
         out.append(np.multiply.accumulate(steps))
     return out[0], out[1]
@@ -30,14 +34,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def window_hashes(data: np.ndarray, width: int, base: int = BASES[0]) -> np.ndarray:
-    """A 64-bit hash of each width bytes of data, by differences of one running sum."""
+    """A 64-bit hash of each width bytes of data, by differences of running sums over blocks."""
     n = len(data) - width + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    up, down = _powers(base, max(17, int(len(data)).bit_length()))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return mixed((sums[width:] - sums[:-width]) * down[:n])
+    up, down = _powers(base)
+    out = np.empty(max(n, 0), np.uint64)
+    for a in range(0, n, BLOCK - width + 1):
+        block = data[a : a + BLOCK]
+        sums = np.zeros(len(block) + 1, np.uint64)
+        np.cumsum((block + np.uint64(1)) * up[: len(block)], out=sums[1:])
+        out[a : a + len(block) - width + 1] = mixed((sums[width:] - sums[:-width]) * down[: len(block) - width + 1])
+    return out
 
 
 def _slid(values: np.ndarray, width: int, op: np.ufunc, fill: int) -> np.ndarray:
@@ -71,30 +77,31 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     in their group drop out.
     """
     n = len(data)
-    padded = np.concatenate([data, np.full(8, BORDER, np.uint8)]).astype(np.uint64)
+    padded = np.concatenate([data, np.full(8, BORDER, np.uint8)])
     key = np.zeros(n, np.uint64)
     for j in range(8):
-        key = key << np.uint64(8) | padded[j : j + n]
-    order = np.argsort(key)
+        key <<= np.uint64(8)
+        key |= padded[j : j + n]
+    order = np.argsort(key).astype(np.int32)
     key = key[order]
     fresh = np.concatenate([[True], key[1:] != key[:-1]])
-    start = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    rank = np.empty(n + 1, np.int64)
-    rank[order], rank[n] = start, n
+    del key
+    rank = np.empty(n + 1, np.int32)
+    rank[order], rank[n] = np.maximum.accumulate(np.where(fresh, np.arange(n, dtype=np.int32), np.int32(0))), n
     single = fresh & np.concatenate([fresh[1:], [True]])
     slots, length = np.flatnonzero(~single), 8
     while length < depth and len(slots):
         at = order[slots]
-        key = rank[at] << 32 | rank[np.minimum(at + length, n)]
+        key = rank[at].astype(np.int64) << 32 | rank[np.minimum(at + length, n)]
         within = np.argsort(key)
         at, key = at[within], key[within]
         order[slots] = at
         fresh = np.concatenate([[True], key[1:] != key[:-1]])
-        rank[at] = np.maximum.accumulate(np.where(fresh, slots, 0))
+        rank[at] = np.maximum.accumulate(np.where(fresh, slots, 0)).astype(np.int32)
         single = fresh & np.concatenate([fresh[1:], [True]])
         slots, length = slots[~single], length * 2
     at = order[slots]  # equal over that depth: in text order, so that common_prefixes() seldom starts anew
-    order[slots] = at[np.argsort(rank[at] << 32 | at)]
+    order[slots] = at[np.argsort(rank[at].astype(np.int64) << 32 | at)]
     return order
 
 
@@ -107,9 +114,9 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> tuple[np.
     text is cut into lanes that are gone over side by side.
     """
     n = len(data)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
-    common = np.zeros(n, np.int32)
+    common = np.zeros(n, np.int16)
     padded = np.concatenate([data, np.full(most + 1, BORDER, np.uint8)])
     at = np.arange(0, n, LANE)
     ends = np.minimum(at + LANE, n)
