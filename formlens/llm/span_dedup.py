@@ -66,7 +66,7 @@ def regions(texts: DataFrame, match: int = MATCH) -> DataFrame:
     """(key, start, bytes, hashes, places, group): the parts of texts whose windows hold a repeated anchor."""
     found = texts.select("key", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select("key", F.col("x.hashes").alias("hash"), F.col("x.places").alias("place"))
     where = F.xxhash64("key", "place")
-    repeated = found.groupBy("hash").agg(F.min(where).alias("lo"), F.max(where).alias("hi")).filter("lo <> hi").select("hash")
+    repeated = stored(found.groupBy("hash").agg(F.min(where).alias("lo"), F.max(where).alias("hi")).filter("lo <> hi").select("hash"), "span-anchors")  # else the join below can't be split where an anchor is hot
     own = found.join(repeated, "hash", "left_semi").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("place", "hash"))).alias("own"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +193,7 @@ def repeated_spans(texts: DataFrame, match: int = MATCH, shard_bytes: int = SHAR
     found, shards = dealt(stored(regions(texts, match), "span-regions"), shard_bytes)
     found = stored(found, "span-shards")
     held = found.select("shard", "key", "start", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select("shard", "key", "start", F.col("x.hashes").alias("hash"), F.col("x.places").alias("place"))
-    crossing = held.groupBy("hash").agg(F.min("shard").alias("lo"), F.max("shard").alias("hi")).filter("lo <> hi").select("hash")
+    crossing = stored(held.groupBy("hash").agg(F.min("shard").alias("lo"), F.max("shard").alias("hi")).filter("lo <> hi").select("hash"), "span-crossing")
     asked = held.join(crossing, "hash", "left_semi").select("shard", "key", "start", "place").toDF("of_shard", "key", "start", "place")
     ranges = 4 * shards
     by_shard = found.select("shard", "key", "start", "bytes").groupBy("shard").cogroup(asked.groupBy("of_shard"))
