@@ -1,4 +1,6 @@
-"""Named queries over the provided tables, and the SQL that gives the same rows."""
+"""The queries of the library, and their SQL where SQL can express them."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from formlens.plans import evaluation, layouts
+
+QUERIES = layouts.QUERIES | evaluation.QUERIES
+ORACLES = layouts.ORACLES | evaluation.ORACLES
