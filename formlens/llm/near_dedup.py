@@ -3,10 +3,10 @@
 Each document is a set of hashed word shingles. Documents of one set form a class, and
 only classes are compared. One-permutation hashing fills BINS bins; empty bins copy a
 filled one by optimal densification. Classes that share a band are candidates: each is
-first compared with one smallest class of its bands. Bands that then still hold several
-components are searched on, one centre a round; the triangle inequality of the Jaccard
-distance tells which of the other pairs can still be links, so none is lost and no group
-is expanded into all pairs. Every link is confirmed on full sets.
+first compared with one smallest class of its bands, so that the candidate edges form
+stars. Bands whose members then still are of several components are searched in blocks:
+a task compares the full sets of a block's members of different components and gives only
+the links that join components, so no list of pairs is ever made and no link is lost.
 
 Defined cases: null, empty and wordless text has an empty set, is linked with nothing
 and is its own component; fewer than SHINGLE words are one shingle; repeated rows are
@@ -34,8 +34,8 @@ from formlens.llm.components import connected
 
 SHINGLE = 5
 THRESHOLD = 85
-#: Percent: below this similarity to a centre, no link to what the centre is linked with is possible.
-FAR = 2 * THRESHOLD - 100
+#: Members of a bucket that are compared in one task.
+BLOCK = 1024
 BINS, BANDS, ROWS = 128, 25, 5
 CHUNK = 4 << 20
 PROBES = 4096
@@ -144,10 +144,48 @@ def similar(percent: float) -> Column:
 
 
 def mixed_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """The members (bucket, cls, n, may_lead) of buckets that hold several components and someone who may lead."""
-    rooted = members.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    kept = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("may_lead").alias("led")).filter((F.col("lo") != F.col("hi")) & F.col("led"))
-    return members.join(kept.select("bucket"), "bucket", "left_semi")
+    """The members (bucket, cls, root) of buckets that hold several components, with the size of the bucket."""
+    rooted = members.select("bucket", "cls").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    kept = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi")
+    return rooted.join(kept.select("bucket", "size"), "bucket")
+
+
+def links_within(table: pa.Table) -> pa.Table:
+    """The links (a, b) between components of one block of a bucket; each joins two of them, so they are fewer than the members."""
+    keys = table["cls"].to_pylist()
+    names, group = np.unique(np.array(table["root"].to_pylist(), object), return_inverse=True)
+    lists = table["shingles"].combine_chunks()
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    flat = lists.values.to_numpy()[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    sizes = np.diff(offsets)
+    codes = np.unique(flat, return_inverse=True)[1]
+    owner = np.repeat(np.arange(len(keys)), sizes)
+    held = np.zeros(codes.max(initial=-1) + 1, bool)
+    out: list[tuple[bytes, bytes]] = []
+    for i in range(len(keys) - 1):
+        if (group[i + 1 :] == group[i]).all():
+            continue
+        own = codes[offsets[i] : offsets[i + 1]]
+        held[own] = True
+        rest = slice(offsets[i + 1], None)
+        shared = np.bincount(owner[rest][held[codes[rest]]], minlength=len(keys))[i + 1 :]
+        held[own] = False
+        for j in np.flatnonzero(100 * shared >= THRESHOLD * (sizes[i] + sizes[i + 1 :] - shared)) + i + 1:
+            if group[i] != group[j]:
+                out.append((keys[i], keys[j]))
+                group[group == group[j]] = group[i]
+    return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([x for _, x in out], pa.binary())})
+
+
+def remaining_links(state: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between the components of mixed buckets; a bucket of over BLOCK members is cut into blocks, and each two meet once."""
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("cls"), parts).cast("int")
+    dealt = state.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), parts - 1))})
+    dealt = dealt.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "cls", "root")
+    full = dealt.join(sets.select(F.col("set_id").alias("cls"), "shingles"), "cls")
+    return full.groupBy("bucket", "lo", "hi").applyInArrow(links_within, "a binary, b binary")
 
 
 def merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -171,23 +209,9 @@ def class_roots(classes: DataFrame, docs: DataFrame) -> DataFrame:
     sets = stored(full_sets(docs, members.select("text_key").distinct()), "near-sets")
     first = members.groupBy(F.col("cls").alias("b")).agg(F.min("centre").alias("a")).filter("a <> b")
     roots = merged(None, compared(first, sets).filter(similar(THRESHOLD)))
-    state = stored(mixed_buckets(members.select("bucket", "cls", "n", F.lit(True).alias("may_lead")), roots), "near-round")
-    while not state.isEmpty():
-        centres = state.filter("may_lead").groupBy("bucket").agg(F.min(F.struct(F.col("cls").alias("a"), F.col("n").alias("na"))).alias("c")).select("bucket", "c.a", "c.na")
-        others = state.join(centres, "bucket").filter(F.col("cls") != F.col("a")).withColumnRenamed("cls", "b")
-        near = F.lit(100) * F.least("n", "na") >= F.lit(FAR) * F.greatest("n", "na")
-        found = stored(compared(others.filter(near).select("a", "b").distinct(), sets), "near-pairs")
-        roots = merged(roots, found.filter(similar(THRESHOLD)))
-        seen = others.join(found, ["a", "b"], "left").withColumn("kind", F.when(F.col("shared").isNull(), 2).when(similar(THRESHOLD), 0).when(similar(FAR), 1).otherwise(2))
-        likeness = F.col("shared") / F.col("union")
-        border = seen.groupBy("bucket").agg(F.max(F.when(F.col("kind") == 1, likeness)).alias("best"))
-        seen = stored(seen.select("bucket", "a", "b", "n", "may_lead", "kind", likeness.alias("likeness")).join(border, "bucket"), "near-seen")
-        child = lambda side: F.xxhash64("bucket", "a", F.lit(side)).alias("bucket")
-        rest = seen.filter("kind > 0").select(child("rest"), F.col("b").alias("cls"), "n", "may_lead")
-        # 1 - likeness is a metric: a link needs distances to the centre that differ by 1 - THRESHOLD at most
-        ring = (F.col("kind") == 1) | (F.col("kind") == 0) & (F.col("likeness") <= F.col("best") + F.lit((100 - THRESHOLD) / 100 + 1e-9))
-        edge = seen.filter(F.col("best").isNotNull() & ring).select(child("edge"), F.col("b").alias("cls"), "n", (F.col("kind") == 1).alias("may_lead"))
-        state = stored(mixed_buckets(rest.unionByName(edge), roots), "near-round")
+    state = stored(mixed_buckets(members, roots), "near-mixed")
+    if not state.isEmpty():
+        roots = merged(roots, stored(remaining_links(state, sets).distinct(), "near-links"))
     return roots
 
 
