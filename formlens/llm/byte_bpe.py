@@ -9,7 +9,7 @@ where they stand. Decoding looks up the bytes of each id and concatenates them.
 Defined cases: null text is encoded as the empty text; special tokens are plain text;
 repeated rows stay; an empty table gives no rows; columns named as the added ones are
 replaced. Texts that may hold a word of over LONG bytes, for which a fold takes the square
-of its length, go through a task in Python that keeps pairs in a heap, with the same ids.
+of its length, if the words of any text are as long, go through a task in Python that keeps pairs in a heap, with the same ids.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Callable, Iterator
 
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -82,6 +82,7 @@ class Codec:
         self.table = stored(rows.coalesce(1), "bpe-ranks")
         self.bytes = F.array(*[F.lit(of[bytes([x])]) for x in range(256)])
         self.known: DataFrame | None = None
+        self.longest = 0  # bytes of the longest word of the texts that learn() has seen
 
     def scalar(self, name: str) -> Column:
         return self.table.select(name).scalar()
@@ -98,7 +99,8 @@ class Codec:
         id_of = lambda part: part.bitwiseAND(F.lit(ID_MASK))
 
         def numbered(a: Column, b: Column, place: Column) -> Column:
-            rank = let(F.shiftleft(a, ID_BITS) + b, lambda key: F.get(pairs, (key % PAIR_BUCKETS).cast("int"))[key])
+            key = F.shiftleft(a, ID_BITS) + b
+            rank = F.get(pairs, (key % PAIR_BUCKETS).cast("int"))[key]
             return F.shiftleft(F.coalesce(rank.cast("bigint"), F.lit(NO_RANK)), RANK_AT) + place + a
 
         def step(parts: Column, _: Column) -> Column:
@@ -124,8 +126,11 @@ class Codec:
 
     def learn(self, docs: DataFrame) -> None:
         """Folds the words ahead that docs holds most often."""
-        counts = docs.select(F.explode(words(F.col("text"))).alias("word")).groupBy("word").count().filter((F.col("count") > 1) & (F.octet_length("word") <= KNOWN_BYTES))
+        seen = Observation()
+        every_word = docs.select(F.explode(words(F.col("text"))).alias("word")).groupBy("word").count().observe(seen, F.max(F.octet_length("word")).alias("longest"))
+        counts = every_word.filter((F.col("count") > 1) & (F.octet_length("word") <= KNOWN_BYTES))
         counts = stored(counts.withColumn("level", F.floor(F.log2("count") * 8).cast("int")), "bpe-words")
+        self.longest = seen.get["longest"] or 0
         level, held = 0, 0
         for row in counts.groupBy("level").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("level")).collect():  # at most 8 levels for each doubling of a count
             held += row.n
@@ -165,7 +170,9 @@ def encoded(docs: DataFrame, codec: Codec, added: dict[str, Callable[[Column, Co
         return with_maps.select(*docs.columns, made.alias("__made")).select(*docs.columns, *[F.col(f"__made.{x}").alias(x) for x in added])
 
     known = lambda w, maps: F.get(maps, F.pmod(F.xxhash64(w), F.lit(WORD_BUCKETS)).cast("int"))[w]
-    short = finished(docs.filter(~long), lambda m: F.flatten(F.transform(words(F.col("text"), pattern), lambda w: F.coalesce(known(w, m["known"]), codec.folded(w, m["pairs"])))))
+    short = finished(docs.filter(~long) if codec.longest > LONG else docs, lambda m: F.flatten(F.transform(words(F.col("text"), pattern), lambda w: F.coalesce(known(w, m["known"]), codec.folded(w, m["pairs"])))))
+    if codec.longest <= LONG:
+        return short
     return short.unionByName(finished(docs.filter(long).mapInArrow(run, kind), lambda m: F.col("ids")))
 
 
