@@ -126,7 +126,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 names=["set_id", "shingles"],
             )
 
-    texts = docs.select(text_key().alias("text_key"), "text").join(wanted, "text_key", "left_semi")
+    few = wanted.count() <= BROADCAST_ROWS  # else the texts are shuffled once
+    texts = docs.select(text_key().alias("text_key"), "text").join(F.broadcast(wanted) if few else wanted, "text_key", "left_semi")
     once = texts.groupBy("text_key").agg(F.min("text").alias("text"))
     return once.select("text").mapInArrow(run, "set_id binary, shingles array<bigint>").dropDuplicates(["set_id"])
 
@@ -206,7 +207,7 @@ def class_roots(classes: DataFrame, docs: DataFrame) -> DataFrame:
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("cls")).alias("held"), F.min("cls").alias("centre")).filter("size > 1")
     once = shared.groupBy("size", "held").agg(F.min(F.struct("bucket", "centre")).alias("x")).select("x.bucket", "x.centre")  # bands with the same members count once
     members = stored(members.join(once, "bucket"), "near-members")
-    sets = stored(full_sets(docs, members.select("text_key").distinct()), "near-sets")
+    sets = stored(full_sets(docs, stored(members.select("text_key").distinct(), "near-wanted")), "near-sets")
     first = members.groupBy(F.col("cls").alias("b")).agg(F.min("centre").alias("a")).filter("a <> b")
     roots = merged(None, compared(first, sets).filter(similar(THRESHOLD)))
     state = stored(mixed_buckets(members, roots), "near-mixed")
