@@ -4,12 +4,14 @@ Each match of the pattern is a word of its own. A word's bytes start as one part
 an array fold merges the neighbours of least rank, the leftmost first, until none is
 left, where ranks come from a literal map of part pairs. The words that are found most
 often are folded once each and kept in a literal map as well; other words are folded
-where they stand. Decoding looks up the bytes of each id and concatenates them.
+where they stand. Decoding looks up the bytes of each id of a word, and concatenates them
+over the text.
 
 Defined cases: null text is encoded as the empty text; special tokens are plain text;
 repeated rows stay; an empty table gives no rows; columns named as the added ones are
-replaced. Texts that may hold a word of over LONG bytes, for which a fold takes the square
-of its length, if the words of any text are as long, go through a task in Python that keeps pairs in a heap, with the same ids.
+replaced. A fold takes the square of a word's length: where some text has a word of over
+LONG bytes, the texts that may have one go through a task in Python that keeps the pairs
+in a heap, with the same ids.
 """
 
 from __future__ import annotations
@@ -107,10 +109,10 @@ class Codec:
             def merge(least: Column) -> Column:
                 def at(p: Column) -> Column:
                     rank, place = F.shiftright(least, RANK_AT), least.bitwiseAND(F.lit(PLACE_MASK))
-                    before = F.get(parts, p - 2)
                     fresh = numbered(rank, id_of(F.get(parts, p + 1)), place)
-                    own = F.when(p > 1, F.array(numbered(id_of(before), rank, before.bitwiseAND(F.lit(PLACE_MASK))), fresh)).otherwise(F.array(fresh))
-                    return F.concat(F.slice(parts, F.lit(1), F.greatest(p - 2, F.lit(0))), own, F.slice(parts, p + 2, F.size(parts)))
+                    left = lambda part: numbered(id_of(part), rank, part.bitwiseAND(F.lit(PLACE_MASK)))
+                    rest = F.filter(parts, lambda _, i: i != p)
+                    return F.transform(rest, lambda part, i: F.when(i == p - 1, fresh).when(i == p - 2, left(part)).otherwise(part))
 
                 return F.when(least >= F.lit(NO_RANK << RANK_AT), parts).otherwise(let(F.array_position(parts, least).cast("int"), at))
 
@@ -124,6 +126,11 @@ class Codec:
 
         return let(start, fold)
 
+    def coded(self, word: Column, maps: Column) -> Column:
+        """A word's ids, and their codes and the pieces that they decode to, both as hex digits."""
+        made = lambda ids: F.struct(ids.alias("ids"), digits(ids, maps["codes"]).alias("codes"), digits(ids, maps["pieces"]).alias("pieces"))
+        return let(self.folded(word, maps["pairs"]), made)
+
     def learn(self, docs: DataFrame) -> None:
         """Folds the words ahead that docs holds most often."""
         seen = Observation()
@@ -139,20 +146,26 @@ class Codec:
                 break
         often = counts.filter(F.col("level") >= level).select("word")
         pairs = self.scalar("pairs")
-        ids = often.withColumn("pairs", pairs).select("word", let(F.col("pairs"), lambda p: self.folded(F.col("word"), p)).alias("ids"))  # read once, else Spark would make it a column
+        maps = F.struct("pairs", "codes", "pieces")  # read once, else Spark would make columns of them
+        ids = often.withColumns({"pairs": pairs, "codes": self.scalar("codes"), "pieces": self.scalar("pieces")}).select("word", let(maps, lambda m: self.coded(F.col("word"), m)).alias("coded"))
         bucket = F.pmod(F.xxhash64("word"), F.lit(WORD_BUCKETS)).alias("bucket")
-        held_in = ids.groupBy(bucket).agg(F.collect_list(F.struct("word", "ids")).alias("held"))
+        held_in = ids.groupBy(bucket).agg(F.collect_list(F.struct("word", "coded")).alias("held"))
         every = docs.sparkSession.range(WORD_BUCKETS).select(F.col("id").alias("bucket")).join(held_in, "bucket", "left").select("bucket", F.coalesce("held", F.array()).alias("held"))
         row = every.agg(F.sort_array(F.collect_list(F.struct("bucket", "held"))).alias("x"))
         self.known = stored(row.select(F.transform("x", lambda x: F.map_from_entries(x["held"])).alias("known")), "bpe-known")
 
 
-def encoded(docs: DataFrame, codec: Codec, added: dict[str, Callable[[Column, Column], Column]] | None = None, path: str = RANKS, pattern: str = PATTERN) -> DataFrame:
-    """docs with ids, the tokens of text, and the columns added, each a function of ids and of a struct of the maps.
+def digits(ids: Column, table: Column) -> Column:
+    """What table holds for each id, in a row."""
+    return F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")
+
+
+def encoded(docs: DataFrame, codec: Codec, path: str = RANKS, pattern: str = PATTERN) -> DataFrame:
+    """docs with ids, the tokens of text; codes, the ids as little-endian numbers of 4 bytes; and decoded, the bytes of the ids in a row.
 
     All is made in one expression: the maps are read as scalars and never become columns of rows.
     """
-    added = {"ids": lambda ids, _: ids} | (added or {})
+    added = ("ids", "codes", "decoded")
     docs = docs.drop(*added)
     text = F.coalesce(F.col("text"), F.lit(""))
     long = text.rlike(rf"[^{SPACE}]{{{LONG // 4}}}|[{SPACE}]{{{LONG // 4}}}")
@@ -162,23 +175,25 @@ def encoded(docs: DataFrame, codec: Codec, added: dict[str, Callable[[Column, Co
         for batch in chunks(batches, "text", CHUNK):
             yield with_columns(batch, {"ids": pa.array([merged(x or "", path, pattern) for x in batch.column("text").to_pylist()], pa.list_(pa.int32()))})
 
-    def finished(rows: DataFrame, ids: Callable[[Column], Column]) -> DataFrame:
+    def finished(rows: DataFrame, made: Callable[[Column], Column]) -> DataFrame:
         names = ["pairs", "codes", "pieces"]
         with_maps = rows.withColumns({f"__{x}": codec.scalar(x) for x in names} | {"__known": codec.known.scalar()})
         maps = F.struct(*[F.col(f"__{x}").alias(x) for x in [*names, "known"]])
-        made = let(maps, lambda m: let(ids(m), lambda i: F.struct(*[f(i, m).alias(x) for x, f in added.items()])))
-        return with_maps.select(*docs.columns, made.alias("__made")).select(*docs.columns, *[F.col(f"__made.{x}").alias(x) for x in added])
+        found = with_maps.select(*docs.columns, let(maps, made).alias("__made"))
+        return found.select(*docs.columns, F.col("__made.ids").alias("ids"), F.unhex("__made.codes").alias("codes"), F.unhex("__made.pieces").alias("decoded"))
 
-    known = lambda w, maps: F.get(maps, F.pmod(F.xxhash64(w), F.lit(WORD_BUCKETS)).cast("int"))[w]
-    short = finished(docs.filter(~long) if codec.longest > LONG else docs, lambda m: F.flatten(F.transform(words(F.col("text"), pattern), lambda w: F.coalesce(known(w, m["known"]), codec.folded(w, m["pairs"])))))
-    if codec.longest <= LONG:
-        return short
-    return short.unionByName(finished(docs.filter(long).mapInArrow(run, kind), lambda m: F.col("ids")))
+    def by_word(m: Column) -> Column:
+        known = lambda w: F.get(m["known"], F.pmod(F.xxhash64(w), F.lit(WORD_BUCKETS)).cast("int"))[w]
+        found = F.transform(words(F.col("text"), pattern), lambda w: F.coalesce(known(w), codec.coded(w, m)))
+        whole = lambda w: F.struct(F.flatten(w["ids"]).alias("ids"), F.array_join(w["codes"], "").alias("codes"), F.array_join(w["pieces"], "").alias("pieces"))
+        return let(found, whole)
 
+    def by_id(m: Column) -> Column:
+        return F.struct(F.col("ids"), digits(F.col("ids"), m["codes"]).alias("codes"), digits(F.col("ids"), m["pieces"]).alias("pieces"))
 
-def joined(ids: Column, pieces: Column) -> Column:
-    """The bytes of ids, each looked up in pieces as hex digits, in a row."""
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
+    if codec.longest <= LONG:
+        return finished(docs, by_word)
+    return finished(docs.filter(~long), by_word).unionByName(finished(docs.filter(long).mapInArrow(run, kind), by_id))
 
 
 def merged(text: str, path: str, pattern: str) -> list[int]:
@@ -228,15 +243,8 @@ def round_trip(docs: DataFrame) -> DataFrame:
     """docs with ids, n_tokens, ids_sha256 and decoded, the bytes of the ids."""
     codec = Codec(docs.sparkSession)
     codec.learn(docs)
-    return encoded(
-        docs,
-        codec,
-        {
-            "n_tokens": lambda ids, _: F.size(ids).cast("long"),
-            "ids_sha256": lambda ids, m: F.sha2(joined(ids, m["codes"]), 256),
-            "decoded": lambda ids, m: joined(ids, m["pieces"]),
-        },
-    )
+    found = encoded(docs.drop("n_tokens", "ids_sha256"), codec)
+    return found.withColumns({"n_tokens": F.size("ids").cast("long"), "ids_sha256": F.sha2("codes", 256)}).drop("codes")
 
 
 def op3_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
