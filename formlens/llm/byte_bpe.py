@@ -35,7 +35,7 @@ PATTERN = public_tokenizers.PATTERN
 #: Bytes of the longest word that is folded.
 LONG = 256
 #: Most words that are folded ahead, and bytes of the longest of them; together they bound the literal map.
-KNOWN, KNOWN_BYTES = 400_000, 64
+KNOWN, KNOWN_BYTES = 150_000, 64
 PAIR_BUCKETS, WORD_BUCKETS = 200_003, 262_144
 #: A part's number: its id, the place of its first byte, and its rank with the next part.
 ID_BITS, RANK_AT = 20, 40
