@@ -37,7 +37,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    return found
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes stored tables that only results which are stored themselves were made from."""
+    for table in tables:
+        _remove(table.sparkSession, table.stored_at)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

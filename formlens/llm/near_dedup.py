@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formlens.llm.arrow import chunks
-from formlens.llm.common import BROADCAST_ROWS, documents, stored
+from formlens.llm.common import BROADCAST_ROWS, documents, release, stored
 from formlens.llm.components import connected
 
 SHINGLE = 5
@@ -213,6 +213,7 @@ def class_roots(classes: DataFrame, docs: DataFrame) -> DataFrame:
     state = stored(mixed_buckets(members, roots), "near-mixed")
     if not state.isEmpty():
         roots = merged(roots, stored(remaining_links(state, sets).distinct(), "near-links"))
+    release(sets, members, state)
     return roots
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formlens.llm.arrow import chunks, flat_bytes
-from formlens.llm.common import documents, join_keyed, stored
+from formlens.llm.common import documents, join_keyed, release, stored
 from formlens.llm.suffixes import BASES, BORDER, GRAM, anchors, common_prefixes, runs, suffix_array, window_hashes
 
 MATCH = 400
@@ -190,8 +190,10 @@ def placed(layout: pa.Table, answers: pa.Table, match: int) -> pa.Table:
 
 def repeated_spans(texts: DataFrame, match: int = MATCH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(key, spans): starts and ends, one after the other and perhaps overlapping, of the bytes of each text that are repeated."""
-    found, shards = dealt(stored(regions(texts, match), "span-regions"), shard_bytes)
+    parts = stored(regions(texts, match), "span-regions")
+    found, shards = dealt(parts, shard_bytes)
     found = stored(found, "span-shards")
+    release(parts)
     held = found.select("shard", "key", "start", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select("shard", "key", "start", F.col("x.hashes").alias("hash"), F.col("x.places").alias("place"))
     crossing = stored(held.groupBy("hash").agg(F.min("shard").alias("lo"), F.max("shard").alias("hi")).filter("lo <> hi").select("hash"), "span-crossing")
     asked = held.join(crossing, "hash", "left_semi").select("shard", "key", "start", "place").toDF("of_shard", "key", "start", "place")
@@ -199,6 +201,7 @@ def repeated_spans(texts: DataFrame, match: int = MATCH, shard_bytes: int = SHAR
     by_shard = found.select("shard", "key", "start", "bytes").groupBy("shard").cogroup(asked.groupBy("of_shard"))
     kinds = "shard int, key binary, start int, base int, spans array<int>, range int, prints binary, places binary"
     local = stored(by_shard.applyInArrow(lambda left, right: searched(left, right, match, ranges), kinds), "span-local")
+    release(found)
     answers = local.filter("range IS NOT NULL").select("range", "shard", "prints", "places").groupBy("range").applyInArrow(looked_up, "of_shard int, places binary")
     layout = local.filter("key IS NOT NULL").select("shard", "key", "start", "base")
     across = layout.groupBy("shard").cogroup(answers.groupBy("of_shard")).applyInArrow(lambda left, right: placed(left, right, match), "key binary, spans array<int>")
