@@ -17,8 +17,8 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the rules and their host's verdict keep."""
-    return quality.judged(stored(quality.counts(docs), "pipeline-counts")).filter("kept").select(*docs.columns)
+    """The documents that the rules and their host's verdict keep; counts are made once for the hosts and once for the documents, and no text is stored for it."""
+    return quality.judged(quality.counts(docs)).filter("kept").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
