@@ -14,6 +14,8 @@ from formlens.llm.common import documents, stored
 
 #: SQL can't express near dedup, repeated spans and byte-pair merges; tests hold the stages against brute force.
 ORACLE_SQL = None
+#: The least words of a passage that repeated_spans removes.
+PASSAGE_WORDS = 51
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +29,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without the passages that stand elsewhere too."""
-    return span_dedup.remove_repeats(docs)
+    """The documents without the passages of over 50 words, and the strings of 400 bytes, that stand elsewhere too."""
+    return span_dedup.remove_repeats(docs, words=PASSAGE_WORDS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,10 @@ the windows at these are fingerprinted, and each shard's sorted list is looked u
 of the others by binary search. Groups of one anchor larger than a shard are spread over
 several. Equal texts are worked on once.
 
+Passages are told by words: where a number of words is asked for, each run of as many words
+that also starts elsewhere goes too, whatever its bytes and the spaces between. Anchors are
+grams of words then, and the windows of words at repeated ones are compared by 128 bits.
+
 Defined cases: null and empty text has no bytes and loses none; text under MATCH bytes
 loses none; a text that is there twice loses all; strings never cross texts; an empty table
 gives no rows; columns of the input stay, and those named as the added ones are replaced.
@@ -30,38 +34,80 @@ from pyspark.sql import functions as F
 
 from formlens.llm.arrow import chunks, flat_bytes
 from formlens.llm.common import documents, join_keyed, release, stored
-from formlens.llm.suffixes import BASES, BORDER, GRAM, anchors, common_prefixes, runs, suffix_array, window_hashes
+from formlens.llm.suffixes import BASES, BORDER, GRAM, WORD_GRAM, anchors, common_prefixes, runs, suffix_array, window_hashes
+from formlens.llm.suffixes import words as words_of
 
 MATCH = 400
 CHUNK = 4 << 20
 #: Mean bytes of a shard; a group of regions with more is spread.
 SHARD_BYTES = 2 << 20
+#: Windows of words that are handed on at once.
+WINDOWS = 1 << 16
 
 
 def text_key() -> Column:
     return F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
 
 
-def anchored_texts(docs: DataFrame, match: int = MATCH) -> DataFrame:
-    """(key, copies, packed, hashes, places) of each different text of match bytes at least."""
+def anchored_texts(docs: DataFrame, match: int = MATCH, words: int = 0) -> DataFrame:
+    """(key, copies, packed, hashes, places, and word_hashes, word_places if words are asked for) of each different text of match bytes, or of as many words, at least."""
+    names = ["hashes", "places"] + ["word_hashes", "word_places"] * (words > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
         for batch in chunks(batches, "text", CHUNK):
             data, offsets = flat_bytes(batch.column("text"))
-            found = [anchors(data[a:b], match) for a, b in zip(offsets, offsets[1:], strict=False)]
-            packed = [packer.compress(data[a:b].tobytes()) for a, b in zip(offsets, offsets[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array(packed, pa.binary()), pa.array([h.view(np.int64) for _, h in found], pa.list_(pa.int64())), pa.array([p.astype(np.int32) for p, _ in found], pa.list_(pa.int32()))],
-                names=["key", "packed", "hashes", "places"],
-            )
-
-    long = docs.filter(F.octet_length("text") >= match).select(text_key().alias("key"), "text")
-    found = long.mapInArrow(run, "key binary, packed binary, hashes array<bigint>, places array<int>")
-    once = found.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first(F.struct("packed", "hashes", "places")).alias("x"))
+            texts = [data[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
+            of_words = [anchors(words_of(x)[2], words, WORD_GRAM) for x in texts] if words else [((), ())] * len(texts)
+            long = [i for i, x in enumerate(texts) if len(x) >= match or len(of_words[i][0])]
+            columns = [batch.column("key").take(pa.array(long, pa.int64())), pa.array([packer.compress(texts[i].tobytes()) for i in long], pa.binary())]
+            for found in [[anchors(texts[i], match) for i in long], [of_words[i] for i in long]][: len(names) // 2]:
+                columns += [pa.array([h.view(np.int64) for _, h in found], pa.list_(pa.int64())), pa.array([p.astype(np.int32) for p, _ in found], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "packed", *names])
+
+    least = min(match, 2 * words - 1) if words else match  # a word takes a byte, and a space stands between two
+    long = docs.filter(F.octet_length("text") >= least).select(text_key().alias("key"), "text")
+    found = long.mapInArrow(run, "key binary, packed binary, " + ", ".join(f"{x} array<{'int' if 'places' in x else 'bigint'}>" for x in names))
+    once = found.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first(F.struct("packed", *names)).alias("x"))
     return once.select("key", "copies", "x.*")
 
 
+def in_several(found: DataFrame, values: list[str], name: str) -> DataFrame:
+    """The rows of found (key, place, values) whose values stand at several places."""
+    where = F.xxhash64("key", "place")
+    repeated = found.groupBy(*values).agg(F.min(where).alias("lo"), F.max(where).alias("hi")).filter("lo <> hi").select(*values)
+    return found.join(stored(repeated, name), values, "left_semi")  # stored, else the join can't be split where a value is hot
+
+
+def repeated_passages(texts: DataFrame, words: int) -> DataFrame:
+    """(key, spans) of the runs of so many words that also start elsewhere."""
+    found = texts.select("key", F.explode(F.arrays_zip("word_hashes", "word_places")).alias("x")).select("key", F.col("x.word_hashes").alias("hash"), F.col("x.word_places").alias("place"))
+    own = in_several(found, ["hash"], "passage-anchors").groupBy("key").agg(F.sort_array(F.collect_list("place")).alias("own"))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opener = zstandard.ZstdDecompressor()
+        for batch in chunks(batches, "packed", CHUNK):
+            keys, rows = batch.column("key"), []
+            for i, (packed, own) in enumerate(zip(batch.column("packed"), batch.column("own"), strict=True)):
+                starts, ends, names = words_of(np.frombuffer(opener.decompress(packed.as_buffer()), np.uint8))
+                places = own.values.to_numpy()
+                n = len(names) - words + 1
+                edges = np.zeros(n + 1, np.int64)
+                np.add.at(edges, np.maximum(places - (words - WORD_GRAM), 0), 1)
+                np.add.at(edges, np.minimum(places + 1, n), -1)
+                at = np.flatnonzero(np.cumsum(edges[:-1]) > 0)
+                rows.append((np.full(len(at), i), starts[at].astype(np.int32), ends[at + words - 1].astype(np.int32), *(window_hashes(names, words, base)[at].view(np.int64) for base in BASES)))
+                if i == len(keys) - 1 or sum(len(x[0]) for x in rows) > WINDOWS:
+                    of, *columns = (np.concatenate(x) for x in zip(*rows, strict=True))
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(of)), *map(pa.array, columns)], names=["key", "place", "end", "h1", "h2"])
+                    rows = []
+
+    found = stored(texts.select("key", "packed").join(own, "key").mapInArrow(windows, "key binary, place int, end int, h1 bigint, h2 bigint"), "passage-windows")
+    spans = stored(in_several(found, ["h1", "h2"], "passage-prints").groupBy("key").agg(F.flatten(F.collect_list(F.array("place", "end"))).alias("spans")), "passage-spans")
+    release(found)
+    return spans
+
+
 def regions(texts: DataFrame, match: int = MATCH) -> DataFrame:
     """(key, start, bytes, hashes, places, group): the parts of texts whose windows hold a repeated anchor."""
     found = texts.select("key", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select("key", F.col("x.hashes").alias("hash"), F.col("x.places").alias("place"))
@@ -239,10 +285,12 @@ def left_of(text: np.ndarray, spans: np.ndarray) -> bytes:
     return text[keep].tobytes()
 
 
-def verdicts(docs: DataFrame, match: int = MATCH, shard_bytes: int = SHARD_BYTES, with_text: bool = False) -> DataFrame:
+def verdicts(docs: DataFrame, match: int = MATCH, shard_bytes: int = SHARD_BYTES, with_text: bool = False, *, words: int = 0) -> DataFrame:
     """(key, n_removed, n_spans, kept_sha256, and kept_text if asked for) of each text that loses bytes."""
-    texts = stored(anchored_texts(docs, match), "span-texts")
+    texts = stored(anchored_texts(docs, match, words), "span-texts")
     spans = repeated_spans(texts, match, shard_bytes)
+    if words:
+        spans = repeated_passages(texts, words).unionByName(spans).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opener = zstandard.ZstdDecompressor()
@@ -265,9 +313,9 @@ def verdicts(docs: DataFrame, match: int = MATCH, shard_bytes: int = SHARD_BYTES
     return stored(parts.unionByName(gone), "span-verdicts")
 
 
-def remove_repeats(docs: DataFrame, match: int = MATCH) -> DataFrame:
-    """docs without the repeated bytes in text, and with n_chars, where it is a column, of what is left."""
-    found = verdicts(docs, match, with_text=True).select(F.col("key").alias("__key"), "kept_text")
+def remove_repeats(docs: DataFrame, match: int = MATCH, words: int = 0) -> DataFrame:
+    """docs without the repeated bytes, and the repeated runs of words if asked for, in text, and with n_chars, where it is a column, of what is left."""
+    found = verdicts(docs, match, with_text=True, words=words).select(F.col("key").alias("__key"), "kept_text")
     keyed = docs.withColumn("__key", text_key()).join(found, "__key", "left")
     text = F.when(F.col("text").isNotNull(), F.coalesce("kept_text", "text"))
     changed = {"text": text} | ({"n_chars": F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.char_length("kept_text").cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})

@@ -11,6 +11,9 @@ BORDER = 0xFF
 #: Positions that one lane of the common-prefix pass goes over.
 LANE = 512
 GRAM = 64
+#: Grams of words, where windows are of words.
+WORD_GRAM = 8
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 
@@ -57,11 +60,11 @@ def _slid(values: np.ndarray, width: int, op: np.ufunc, fill: int) -> np.ndarray
     return op(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors(data: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the GRAM bytes that hash least among those of some window; equal windows have equal anchors, and each has one."""
+def anchors(data: np.ndarray, window: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the gram bytes, or other values, that hash least among those of some window; equal windows have equal anchors, and each has one."""
     if len(data) < window:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    hashes, width = window_hashes(data, GRAM), window - GRAM + 1
+    hashes, width = window_hashes(data, gram), window - gram + 1
     least = _slid(hashes, width, np.minimum, 2**64 - 1)
     padded = np.zeros(len(least) + 2 * (width - 1), np.uint64)
     padded[width - 1 : width - 1 + len(least)] = least
@@ -140,6 +143,17 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> tuple[np.
     return before, common
 
 
+def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and 64-bit hashes of the words of a text."""
+    starts, ends = runs(~SPACE[data])
+    up = np.full(len(data), BASES[0], np.uint64)
+    down = np.full(len(data), pow(BASES[0], -1, 1 << 64), np.uint64)
+    up[:1] = down[:1] = 1
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data + np.uint64(1)) * np.multiply.accumulate(up), out=sums[1:])
+    return starts, ends, mixed((sums[ends] - sums[starts]) * np.multiply.accumulate(down)[starts])
+
+
 def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of true flags."""
     edges = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))

@@ -1,7 +1,12 @@
 """The corpus pipeline's stages on a small table."""
 
+import random
+import re
+
 import corpus_pipeline
 
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
 
 def test_stages_keep_clean_documents_and_drop_copies(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
@@ -14,3 +19,40 @@ def test_stages_keep_clean_documents_and_drop_copies(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, kept, "/root/testdata/sf0.001")
     assert last.count() == kept.count()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "repeated_spans", "source_mix", "token_ids"]
+
+
+def without_repeats(texts, words, match):
+    """Brute force: the texts without the runs of so many words, and the strings of so many bytes, that also start elsewhere."""
+    seen = {}
+    found = []
+    for t in texts:
+        at = [m.span() for m in WORD.finditer(t)]
+        own = [(at[k][0], at[k + words - 1][1], tuple(t[a:b] for a, b in at[k : k + words])) for k in range(len(at) - words + 1)]
+        own += [(a, a + match, t[a : a + match]) for a in range(len(t) - match + 1)]
+        found.append(own)
+        for *_, key in own:
+            seen[key] = seen.get(key, 0) + 1
+    out = []
+    for t, own in zip(texts, found, strict=True):
+        gone = bytearray(len(t))
+        for a, b, key in own:
+            if seen[key] > 1:
+                gone[a:b] = b"\1" * (b - a)
+        out.append(bytes(x for x, g in zip(t, gone, strict=True) if not g).decode())
+    return out
+
+
+def test_repeated_spans_finds_every_passage_of_over_50_words(spark, docs):
+    rng = random.Random(3)
+    prose = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    short = " ".join(rng.choice("abcdefgh") for _ in range(51))  # 101 bytes
+    fifty = " ".join(rng.choice("abcdefgh") for _ in range(50))
+    passage, long = prose(60), "x".join(str(rng.randrange(10**6)) for _ in range(100))
+    assert len(short) == 101
+    texts = [f"{prose(70)} {short} {prose(5)}", f"{prose(9)} {short} {prose(80)}", f"{passage} {prose(40)}", f"{prose(40)}\n{passage}", f"{prose(30)}, {passage.replace(' ', '  ')}", f"{prose(60)} {fifty} {prose(60)}", f"{prose(60)} {fifty} {prose(60)}", f"é {long} {prose(3)}", f"{prose(3)} {long} b", short, "k " * 51, "k", "", " ", prose(51)]
+    wanted = dict(enumerate(without_repeats([t.encode() for t in texts], 51, 400)))
+    table = docs([(i, t, "s") for i, t in enumerate(texts)] + [(99, None, "s")])
+    found = {r.doc_id: r.text for r in corpus_pipeline.repeated_spans(spark, table, "").collect()}
+    assert found.pop(99) is None
+    assert found == wanted
+    assert short not in found[0] and passage not in found[2] and fifty in found[5]
