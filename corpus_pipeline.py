@@ -14,6 +14,8 @@ from formlens.llm.common import documents, stored
 
 #: SQL can't express near dedup, repeated spans and byte-pair merges; tests hold the stages against brute force.
 ORACLE_SQL = None
+#: The least similarity of near copies in near_duplicates; op10 has its own.
+NEAR_PERCENT = 80
 #: The least words of a passage that repeated_spans removes.
 PASSAGE_WORDS = 51
 
@@ -24,8 +26,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return near_dedup.one_of_each(docs)
+    """One document of each group of near copies, linked by a similarity of 0.8 or more."""
+    return near_dedup.one_of_each(docs, NEAR_PERCENT)
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

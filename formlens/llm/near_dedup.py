@@ -12,13 +12,14 @@ Defined cases: null, empty and wordless text has an empty set, is linked with no
 and is its own component; fewer than SHINGLE words are one shingle; repeated rows are
 copies of each other; of null doc_ids a component takes none unless it has no other; an
 empty table gives no rows; columns named as the added ones are replaced. Shingles are
-compared by 64-bit hashes, sets by 128-bit ones. A pair at the threshold misses all
-bands with a probability of 4e-7.
+compared by 64-bit hashes, sets by 128-bit ones. There are as many bands as a pair at the
+threshold misses with a probability of MISS: 25 at 85 percent, 37 at 80.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,15 +34,16 @@ from formlens.llm.common import BROADCAST_ROWS, documents, release, stored
 from formlens.llm.components import connected
 
 SHINGLE = 5
+#: Least similarity in percent that op10 links.
 THRESHOLD = 85
 #: Members of a bucket that are compared in one task.
 BLOCK = 1024
-BINS, BANDS, ROWS = 128, 25, 5
+BINS, ROWS, MISS = 256, 5, 4.5e-7
 CHUNK = 4 << 20
 PROBES = 4096
 _ODD = np.random.default_rng(5).integers(1 << 62, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 _PROBE = np.random.default_rng(7).integers(0, BINS, (BINS, PROBES), dtype=np.int16)
-_STARTS = np.arange(BINS, dtype=np.uint64) << np.uint64(57)
+_STARTS = np.arange(BINS, dtype=np.uint64) << np.uint64(56)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -78,30 +80,39 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """The band keys of a sorted set that isn't empty."""
+def bands_at(percent: float) -> int:
+    """How many bands a pair of that similarity misses with MISS."""
+    found = math.ceil(math.log(MISS) / math.log1p(-((percent / 100) ** ROWS)))
+    if found * ROWS > BINS:
+        raise ValueError(f"{found} bands need more than {BINS} bins")
+    return found
+
+
+def bands(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The n band keys of a sorted set that isn't empty."""
     at = np.searchsorted(hashes, _STARTS)
     filled = np.diff(np.append(at, len(hashes))) > 0
-    source = np.arange(BINS)
-    empty = np.flatnonzero(~filled)
+    source = np.arange(n * ROWS)
+    empty = np.flatnonzero(~filled[: n * ROWS])
     for probes in (16, PROBES):
         if len(empty):
             hits = filled[_PROBE[empty, :probes]]
             source[empty] = _PROBE[empty, hits.argmax(axis=1)]
             empty = empty[~hits.any(axis=1)]
     source[empty] = np.flatnonzero(filled)[0]
-    values = hashes[at[source]][: BANDS * ROWS].reshape(BANDS, ROWS)
-    return mixed((values * _ODD[32 : 32 + ROWS]).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _ODD[40])
+    values = hashes[at[source]].reshape(n, ROWS)
+    return mixed((values * _ODD[32 : 32 + ROWS]).sum(axis=1, dtype=np.uint64) + np.arange(n, dtype=np.uint64) * _ODD[40])
 
 
-def signed(docs: DataFrame) -> DataFrame:
+def signed(docs: DataFrame, percent: float = THRESHOLD) -> DataFrame:
     """(doc_id, text_key, n_shingles, set_id, bands) of each row; set_id and bands are null for the empty set."""
+    n = bands_at(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", CHUNK):
             sets = shingle_sets(batch.column("text"))
             keys = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets]
-            of = [bands(x).view(np.int64) if len(x) else None for x in sets]
+            of = [bands(x, n).view(np.int64) if len(x) else None for x in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_key"), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(of, pa.list_(pa.int64()))],
                 names=["doc_id", "text_key", "n_shingles", "set_id", "bands"],
@@ -151,7 +162,7 @@ def mixed_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
     return rooted.join(kept.select("bucket", "size"), "bucket")
 
 
-def links_within(table: pa.Table) -> pa.Table:
+def links_within(table: pa.Table, percent: float = THRESHOLD) -> pa.Table:
     """The links (a, b) between components of one block of a bucket; each joins two of them, so they are fewer than the members."""
     keys = table["cls"].to_pylist()
     names, group = np.unique(np.array(table["root"].to_pylist(), object), return_inverse=True)
@@ -172,21 +183,21 @@ def links_within(table: pa.Table) -> pa.Table:
         rest = slice(offsets[i + 1], None)
         shared = np.bincount(owner[rest][held[codes[rest]]], minlength=len(keys))[i + 1 :]
         held[own] = False
-        for j in np.flatnonzero(100 * shared >= THRESHOLD * (sizes[i] + sizes[i + 1 :] - shared)) + i + 1:
+        for j in np.flatnonzero(100 * shared >= percent * (sizes[i] + sizes[i + 1 :] - shared)) + i + 1:
             if group[i] != group[j]:
                 out.append((keys[i], keys[j]))
                 group[group == group[j]] = group[i]
     return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([x for _, x in out], pa.binary())})
 
 
-def remaining_links(state: DataFrame, sets: DataFrame) -> DataFrame:
+def remaining_links(state: DataFrame, sets: DataFrame, percent: float = THRESHOLD) -> DataFrame:
     """Links between the components of mixed buckets; a bucket of over BLOCK members is cut into blocks, and each two meet once."""
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("cls"), parts).cast("int")
     dealt = state.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), parts - 1))})
     dealt = dealt.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "cls", "root")
     full = dealt.join(sets.select(F.col("set_id").alias("cls"), "shingles"), "cls")
-    return full.groupBy("bucket", "lo", "hi").applyInArrow(links_within, "a binary, b binary")
+    return full.groupBy("bucket", "lo", "hi").applyInArrow(lambda table: links_within(table, percent), "a binary, b binary")
 
 
 def merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -201,7 +212,7 @@ def merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     return stored(moved.unionByName(fresh), "roots")
 
 
-def class_roots(classes: DataFrame, docs: DataFrame) -> DataFrame:
+def class_roots(classes: DataFrame, docs: DataFrame, percent: float = THRESHOLD) -> DataFrame:
     """(node, root) of the classes that are linked with another; classes: set_id, n, text_key, bands."""
     members = classes.select(F.explode("bands").alias("bucket"), F.col("set_id").alias("cls"), "n", "text_key")
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("cls")).alias("held"), F.min("cls").alias("centre")).filter("size > 1")
@@ -209,19 +220,19 @@ def class_roots(classes: DataFrame, docs: DataFrame) -> DataFrame:
     members = stored(members.join(once, "bucket"), "near-members")
     sets = stored(full_sets(docs, stored(members.select("text_key").distinct(), "near-wanted")), "near-sets")
     first = members.groupBy(F.col("cls").alias("b")).agg(F.min("centre").alias("a")).filter("a <> b")
-    roots = merged(None, compared(first, sets).filter(similar(THRESHOLD)))
+    roots = merged(None, compared(first, sets).filter(similar(percent)))
     state = stored(mixed_buckets(members, roots), "near-mixed")
     if not state.isEmpty():
-        roots = merged(roots, stored(remaining_links(state, sets).distinct(), "near-links"))
+        roots = merged(roots, stored(remaining_links(state, sets, percent).distinct(), "near-links"))
     release(sets, members, state)
     return roots
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, n_shingles, component_id, kept) of each row of docs."""
-    signs = stored(signed(docs), "near-signs")
+def near_duplicates(docs: DataFrame, percent: float = THRESHOLD) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component_id, kept) of each row of docs; pairs of percent similarity or more are linked."""
+    signs = stored(signed(docs, percent), "near-signs")
     classes = stored(signs.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n"), F.min("text_key").alias("text_key"), F.first("bands").alias("bands")), "near-classes")
-    roots = class_roots(classes, docs)
+    roots = class_roots(classes, docs, percent)
     firsts = classes.select(F.col("set_id").alias("node"), "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = firsts.groupBy("root").agg(F.min("first_id").alias("component"))
     by_class = firsts.join(least, "root").select(F.col("node").alias("set_id"), "component")
@@ -231,9 +242,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", "text_key", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, percent: float = THRESHOLD) -> DataFrame:
     """The rows of docs of which near_duplicates() keeps one a component."""
-    judged = stored(near_duplicates(docs), "near-verdicts")
+    judged = stored(near_duplicates(docs, percent), "near-verdicts")
     dropped = judged.filter("NOT kept").select("doc_id", "text_key").distinct()
     few = dropped.count() <= BROADCAST_ROWS
     keyed = docs.withColumn("__text_key", text_key())

@@ -56,3 +56,37 @@ def test_repeated_spans_finds_every_passage_of_over_50_words(spark, docs):
     assert found.pop(99) is None
     assert found == wanted
     assert short not in found[0] and passage not in found[2] and fifty in found[5]
+
+
+def one_of_each_component(texts, percent):
+    """Brute force: the numbers of the texts of which no smaller one is in the same component of pairs with that similarity of word shingles."""
+    sets = []
+    for t in texts:
+        w = WORD.findall(t.lower().encode())
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set())
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if a and b and 100 * len(a & b) >= percent * len(a | b):
+                    root[i] = root[j] = min(root[i], root[j])
+    return {i for i, r in enumerate(root) if i == r}
+
+
+def test_near_duplicates_links_from_a_similarity_of_80_percent(spark, docs, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline.near_dedup, "BLOCK", 2)
+    rng = random.Random(8)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        texts.append(" ".join(base))
+        for changes in (2, 3, 2):  # 106 of 126 shingles are shared, 0.84, or 101 of 131, 0.77
+            own = list(base)
+            for k in rng.sample(range(10, 110, 10), changes):
+                own[k] = f"v{rng.randrange(10**6)}"
+            texts.append(" ".join(own))
+    texts += ["", "one", "ONE"]
+    table = docs([(i, t, "s") for i, t in enumerate(texts)])
+    found = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, table, "").collect()}
+    assert found == one_of_each_component(texts, 80)
+    assert len(found) < len(one_of_each_component(texts, 85))
