@@ -5,7 +5,8 @@ document is emitted floor(rate) times plus once more with the probability of the
 
 Defined cases: null or wordless text has size 0 and is taken 0 words; a null source is
 a source of its own, last in order; an empty table gives an empty result; rows with the
-same doc_id draw the same number; columns of the input keep their values and a clash
+same doc_id draw the same number, as in the SQL, so that a source made of few ids may miss
+its target; rows without doc_id draw by their text; columns of the input keep their values and a clash
 with an added name is resolved in favour of the added one.
 """
 
@@ -13,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from formlens.llm.common import documents, join_keyed, stored, word_count
@@ -58,19 +59,25 @@ def targets(totals: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
     return weighted.select("source", "source_size", F.least(cap, F.lit(level) * F.col("weight")).alias("target")), n
 
 
+def draw_key() -> Column:
+    """What a row's draw hashes: doc_id, or the digest of the text where there is none."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
+
+
 def mix(docs: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """docs with size, source_size, target, rate and copies (how often the mix holds the document).
 
-    totals: (source, source_size) if they are known already.
+    totals: (source, source_size) if they are known already; docs then has size and __draw
+    (of draw_key()) and needs no text.
     """
-    sized = docs.withColumn("size", word_count(F.col("text"))) if totals is None else docs
+    sized = docs.withColumn("size", word_count(F.col("text"))).withColumn("__draw", draw_key()) if totals is None else docs
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size")) if totals is None else totals
     by_source, n = targets(totals)
     clean = sized.drop("source_size", "target", "rate", "copies")
     rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    rated = join_keyed(clean, by_source, "source", n, F.col("doc_id")).withColumn("rate", rate)
-    return rated.withColumn("copies", (F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long"))
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}:"), F.col("__draw")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    rated = join_keyed(clean, by_source, "source", n, F.col("__draw")).withColumn("rate", rate)
+    return rated.withColumn("copies", (F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long")).drop("__draw")
 
 
 def emitted(mixed: DataFrame) -> DataFrame:
@@ -80,7 +87,7 @@ def emitted(mixed: DataFrame) -> DataFrame:
 
 def op1_mixing_sources_to_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents: doc_id, size, source_size, target, taken."""
-    sized = stored(documents(spark, sf_dir).select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    sized = stored(documents(spark, sf_dir).select("doc_id", "source", word_count(F.col("text")).alias("size"), draw_key().alias("__draw")), "mix-sizes")
     mixed = mix(sized, sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 

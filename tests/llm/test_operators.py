@@ -85,6 +85,14 @@ def test_mix(spark, folder, rows):
     assert mixing.emitted(mixed).count() == mixed.agg(F.sum("copies")).first()[0]
 
 
+def test_mix_of_rows_without_ids_meets_the_target(spark, folder):
+    path = folder([(None, f"text number {i} of ten words a b c d e", "s") for i in range(2000)] + [(i, f"other {i}", "t") for i in range(900)])
+    for found in (mixing.op1_mixing_sources_to_target_weights(spark, path).toPandas(), mixing.mix(spark.read.parquet(f"{path}/documents.parquet")).selectExpr("doc_id", "source_size", "target", "copies * size AS taken").toPandas()):
+        some = found[found.doc_id.isna()]
+        assert 1.2 < some.target.iloc[0] / some.source_size.iloc[0] < 1.8
+        assert abs(some.taken.sum() / some.target.iloc[0] - 1) < 0.05
+
+
 def test_quality(spark, folder, rows):
     path = folder([r for r in rows if r[0] not in (None, 3)])
     assert collected(quality.op2_quality_rules(spark, path)) == by_sql(path, quality.OP2_SQL)
