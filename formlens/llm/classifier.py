@@ -6,9 +6,9 @@ whole documents, and the weighted sum of the passages' hidden layers is scored.
 
 Defined cases: null, empty and wordless text is one passage without words; repeated rows
 are scored each; an empty table gives no rows; columns named as the added ones are
-replaced. Training takes TRAIN_ROWS labelled documents, those with the least hash of their
-id, and of each TRAIN_PASSAGES passages spread over the whole text; scoring takes all
-passages. Without labels of both kinds the score is 0.5.
+replaced. Training takes TRAIN_ROWS labelled documents at most, those with the least hash of
+their id, with all their passages; where these are over TRAIN_ROWS * TRAIN_PASSAGES in all,
+documents that don't fit in are left out whole. Scoring takes all passages. Without labels of both kinds the score is 0.5.
 """
 
 from __future__ import annotations
@@ -21,10 +21,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formlens.llm.arrow import chunks, flat_bytes, with_columns
-from formlens.llm.common import documents
+from formlens.llm.common import documents, stored
 
 PASSAGE = 64
 TRAIN_ROWS = 6_000
+#: Mean passages a row that training has room for.
 TRAIN_PASSAGES = 64
 HIDDEN, ATTENTION = 24, 12
 EPOCHS, BATCH, RATE, DECAY = 30, 64, 0.01, 1e-4
@@ -170,19 +171,38 @@ def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
 
 
-def trained(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """A model of a sample of the labelled documents that aren't held out; the sample is collected, bounded by rows * TRAIN_PASSAGES vectors."""
+def fitting(sizes: list[tuple[int, int]], most: int) -> list[int]:
+    """The ids of (id, size), in order, that together have a size of most at most; what doesn't fit in is passed over."""
+    out = []
+    for key, n in sizes:
+        if n <= most:
+            out.append(key)
+            most -= n
+    return out
+
+
+def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, passages: int = TRAIN_PASSAGES) -> pa.Table:
+    """(doc_id, quality, bag) of labelled documents that aren't held out, each with all its passages; rows * passages vectors at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", CHUNK):
             x, owner = encoded(*flat_bytes(batch.column("text")))
             bags = [x[a:b] for a, b in zip(*(np.searchsorted(owner, np.arange(batch.num_rows), side) for side in ("left", "right")), strict=True)]
-            bags = [x[np.linspace(0, len(x) - 1, min(len(x), TRAIN_PASSAGES)).astype(int)] for x in bags]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("quality"), pa.array([x.tobytes() for x in bags], pa.binary())], names=["doc_id", "quality", "bag"])
 
     drawn = labels.filter(F.col("quality").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
-    drawn = drawn.orderBy(F.xxhash64(F.lit("mil"), "doc_id"), "doc_id").limit(rows)
-    found = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").mapInArrow(run, "doc_id bigint, quality int, bag binary").toArrow().sort_by("doc_id")
+    order = [F.xxhash64(F.lit("mil"), "doc_id"), F.col("doc_id")]
+    drawn = drawn.orderBy(*order).limit(rows)
+    found = stored(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").mapInArrow(run, "doc_id bigint, quality int, bag binary"), "train-bags")
+    sizes = found.groupBy("doc_id").agg(F.sum(F.octet_length("bag")).alias("n")).orderBy(*order).toArrow()
+    taken = fitting(list(zip(sizes["doc_id"].to_pylist(), sizes["n"].to_pylist(), strict=True)), rows * passages * WIDTH * 4)
+    whole = found if len(taken) == sizes.num_rows else found.join(F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in taken], "doc_id bigint")), "doc_id", "left_semi")
+    return whole.toArrow().sort_by("doc_id")
+
+
+def trained(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
+    """A model of a sample of the labelled documents that aren't held out."""
+    found = sample(docs, labels, rows)
     model = Model()
     model.fit([np.frombuffer(x.as_py(), np.float32).reshape(-1, WIDTH) for x in found["bag"]], found["quality"].to_numpy().astype(np.float64))
     return model

@@ -130,6 +130,18 @@ def test_classifier_separates_held_out_rows(spark, folder):
     assert all(r.score is not None and 0 <= r.score <= 1 for r in classifier.op5_quality_classifier(spark, folder()).collect())
 
 
+def test_classifier_trains_on_whole_documents(spark, docs):
+    long = " ".join(f"word{i}" for i in range(64 * 100))
+    table = docs([(i, long if i % 4 == 0 else f"short text {i}", "s") for i in range(12)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id bigint, quality int")
+    drawn = {r.doc_id for r in labels.filter(~classifier.held_out()).collect()}
+    size = lambda found: {k: len(x) // (4 * classifier.WIDTH) for k, x in zip(found["doc_id"].to_pylist(), found["bag"].to_pylist())}
+    wanted = {i: 1 if i % 4 else 100 for i in drawn}
+    assert 100 in wanted.values()
+    assert size(classifier.sample(table, labels)) == wanted
+    assert size(classifier.sample(table, labels, 12, 5)) == {i: n for i, n in wanted.items() if n == 1}
+
+
 def test_classifier_gradients():
     rng = np.random.default_rng(1)
     model, x, owner, y = classifier.Model(5), rng.normal(size=(9, 5)), np.array([0, 0, 0, 1, 2, 2, 3, 3, 3]), np.array([1.0, 0, 1, 0])
