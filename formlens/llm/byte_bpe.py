@@ -3,15 +3,16 @@
 Each match of the pattern is a word of its own. A word's bytes start as one part each;
 an array fold merges the neighbours of least rank, the leftmost first, until none is
 left, where ranks come from a literal map of part pairs. The words that are found most
-often are folded once each and kept in a literal map as well; other words are folded
-where they stand. Decoding looks up the bytes of each id of a word, and concatenates them
-over the text.
+often are folded once each and kept in a literal map as well. The map is bounded, and so
+other words are folded where they stand: to fold these once too, all documents would have
+to be shuffled to bring the ids back. Decoding looks up the bytes of each id, and
+concatenates them over the text.
 
 Defined cases: null text is encoded as the empty text; special tokens are plain text;
 repeated rows stay; an empty table gives no rows; columns named as the added ones are
-replaced. A fold takes the square of a word's length: where some text has a word of over
-LONG bytes, the texts that may have one go through a task in Python that keeps the pairs
-in a heap, with the same ids.
+replaced. A fold takes the square of a word's length: words of over LONG bytes are made
+distinct and each is merged once in a task in Python that keeps the pairs in a heap, with
+the same ids; they are joined to their texts, whose other words are folded.
 """
 
 from __future__ import annotations
@@ -19,24 +20,24 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+from array import array
 from collections.abc import Callable, Iterator
 
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from formlens.llm.arrow import chunks, with_columns
-from formlens.llm.common import documents, stored
+from formlens.llm.arrow import chunks
+from formlens.llm.common import documents, release, stored
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 #: Bytes of the longest word that is folded.
-LONG = 256
+LONG = 1024
 #: Most words that are folded ahead, and bytes of the longest of them; together they bound the literal map.
-KNOWN, KNOWN_BYTES = 150_000, 64
-PAIR_BUCKETS, WORD_BUCKETS = 200_003, 262_144
+KNOWN, KNOWN_BYTES = 100_000, 64
+PAIR_BUCKETS, WORD_BUCKETS = 131_071, 65_536
 #: A part's number: its id, the place of its first byte, and its rank with the next part.
 ID_BITS, RANK_AT = 20, 40
 ID_MASK, PLACE_MASK, NO_RANK = (1 << 20) - 1, ((1 << 40) - 1) ^ ((1 << 20) - 1), 1 << 20
@@ -69,19 +70,23 @@ class Codec:
 
     def __init__(self, spark: SparkSession, path: str = RANKS) -> None:
         of = ranks(path)
-        pairs: list[dict[int, int]] = [{} for _ in range(PAIR_BUCKETS)]
+        keys, found = array("q"), array("i")
         for token, rank in of.items():
             for cut in range(1, len(token)):
                 a, b = of.get(token[:cut]), of.get(token[cut:])
                 if a is not None and b is not None:
-                    key = a << ID_BITS | b
-                    pairs[key % PAIR_BUCKETS][key] = rank
+                    keys.append(a << ID_BITS | b)
+                    found.append(rank)
+        pairs = spark.createDataFrame(pa.table({"key": pa.array(keys, pa.int64()), "value": pa.array(found, pa.int32())}))
+        pairs = in_buckets(pairs.withColumn("bucket", F.col("key") % PAIR_BUCKETS), PAIR_BUCKETS).toDF("pairs")
         size = max(of.values()) + 1
-        pieces, codes = [""] * size, [""] * size
+        pieces = [b""] * size
         for token, rank in of.items():
-            pieces[rank], codes[rank] = token.hex(), rank.to_bytes(4, "little").hex()
-        rows = spark.createDataFrame([(pairs, pieces, codes)], "pairs array<map<bigint,int>>, pieces array<string>, codes array<string>")
-        self.table = stored(rows.coalesce(1), "bpe-ranks")
+            pieces[rank] = token
+        by_id = spark.createDataFrame(pa.table({"id": pa.array(range(size), pa.int32()), "piece": pa.array(pieces, pa.binary())}))
+        reversed_bytes = F.concat(*[F.lpad(F.hex(F.shiftright("id", 8 * k).bitwiseAND(F.lit(255)).cast("long")), 2, "0") for k in range(4)])
+        listed = by_id.agg(F.sort_array(F.collect_list(F.struct("id", F.hex("piece").alias("piece"), reversed_bytes.alias("code")))).alias("x"))
+        self.table = stored(listed.select(F.col("x.piece").alias("pieces"), F.col("x.code").alias("codes")).crossJoin(pairs), "bpe-ranks")  # one row each
         self.bytes = F.array(*[F.lit(of[bytes([x])]) for x in range(256)])
         self.known: DataFrame | None = None
         self.longest = 0  # bytes of the longest word of the texts that learn() has seen
@@ -99,6 +104,7 @@ class Codec:
         chars = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
         start = F.transform(F.filter(chars, lambda c: c != ""), lambda c: F.get(self.bytes, F.ascii(c)).cast("bigint"))
         id_of = lambda part: part.bitwiseAND(F.lit(ID_MASK))
+        place_of = lambda part: part.bitwiseAND(F.lit(PLACE_MASK))
 
         def numbered(a: Column, b: Column, place: Column) -> Column:
             key = F.shiftleft(a, ID_BITS) + b
@@ -107,12 +113,12 @@ class Codec:
 
         def step(parts: Column, _: Column) -> Column:
             def merge(least: Column) -> Column:
-                def at(p: Column) -> Column:
-                    rank, place = F.shiftright(least, RANK_AT), least.bitwiseAND(F.lit(PLACE_MASK))
-                    fresh = numbered(rank, id_of(F.get(parts, p + 1)), place)
-                    left = lambda part: numbered(id_of(part), rank, part.bitwiseAND(F.lit(PLACE_MASK)))
-                    rest = F.filter(parts, lambda _, i: i != p)
-                    return F.transform(rest, lambda part, i: F.when(i == p - 1, fresh).when(i == p - 2, left(part)).otherwise(part))
+                def at(p: Column) -> Column:  # counted from 1
+                    rank, before = F.shiftright(least, RANK_AT), F.get(parts, p - 2)
+                    fresh = numbered(rank, id_of(F.get(parts, p + 1)), place_of(least))
+                    rest = F.slice(parts, p + 2, F.size(parts))
+                    left = F.array(numbered(id_of(before), rank, place_of(before)), fresh)
+                    return F.when(p > 1, F.concat(F.slice(parts, F.lit(1), p - 2), left, rest)).otherwise(F.concat(F.array(fresh), rest))
 
                 return F.when(least >= F.lit(NO_RANK << RANK_AT), parts).otherwise(let(F.array_position(parts, least).cast("int"), at))
 
@@ -126,11 +132,6 @@ class Codec:
 
         return let(start, fold)
 
-    def coded(self, word: Column, maps: Column) -> Column:
-        """A word's ids, and their codes and the pieces that they decode to, both as hex digits."""
-        made = lambda ids: F.struct(ids.alias("ids"), digits(ids, maps["codes"]).alias("codes"), digits(ids, maps["pieces"]).alias("pieces"))
-        return let(self.folded(word, maps["pairs"]), made)
-
     def learn(self, docs: DataFrame) -> None:
         """Folds the words ahead that docs holds most often."""
         seen = Observation()
@@ -144,15 +145,19 @@ class Codec:
             if held > KNOWN:
                 level = row.level + 1
                 break
-        often = counts.filter(F.col("level") >= level).select("word")
-        pairs = self.scalar("pairs")
-        maps = F.struct("pairs", "codes", "pieces")  # read once, else Spark would make columns of them
-        ids = often.withColumns({"pairs": pairs, "codes": self.scalar("codes"), "pieces": self.scalar("pieces")}).select("word", let(maps, lambda m: self.coded(F.col("word"), m)).alias("coded"))
-        bucket = F.pmod(F.xxhash64("word"), F.lit(WORD_BUCKETS)).alias("bucket")
-        held_in = ids.groupBy(bucket).agg(F.collect_list(F.struct("word", "coded")).alias("held"))
-        every = docs.sparkSession.range(WORD_BUCKETS).select(F.col("id").alias("bucket")).join(held_in, "bucket", "left").select("bucket", F.coalesce("held", F.array()).alias("held"))
-        row = every.agg(F.sort_array(F.collect_list(F.struct("bucket", "held"))).alias("x"))
-        self.known = stored(row.select(F.transform("x", lambda x: F.map_from_entries(x["held"])).alias("known")), "bpe-known")
+        often = counts.filter(F.col("level") >= level).select("word", F.pmod(F.xxhash64("word"), F.lit(WORD_BUCKETS)).alias("bucket"))
+        maps = often.withColumn("pairs", self.scalar("pairs"))
+        ids = maps.select("bucket", F.col("word").alias("key"), let(F.struct("pairs"), lambda m: self.folded(F.col("word"), m["pairs"])).alias("value"))  # read once, else Spark would make a column of it
+        self.known = stored(in_buckets(ids, WORD_BUCKETS).toDF("known"), "bpe-known")
+        release(counts)
+
+
+def in_buckets(rows: DataFrame, buckets: int) -> DataFrame:
+    """One row with an array of maps from key to value, one map for each bucket; rows: bucket, key, value, of a bounded number."""
+    held = rows.groupBy("bucket").agg(F.collect_list(F.struct("key", "value")).alias("held"))
+    every = rows.sparkSession.range(buckets).select(F.col("id").alias("bucket")).join(held, "bucket", "left").select("bucket", F.coalesce("held", F.array()).alias("held"))
+    row = every.agg(F.sort_array(F.collect_list(F.struct("bucket", "held"))).alias("x"))
+    return row.select(F.transform("x", lambda x: F.map_from_entries(x["held"])).alias("maps"))
 
 
 def digits(ids: Column, table: Column) -> Column:
@@ -160,6 +165,21 @@ def digits(ids: Column, table: Column) -> Column:
     return F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")
 
 
+def long_words(texts: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(key, longs): place and ids of the words of over LONG bytes of each text (key, text); each such word is merged once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = ranks(path)
+        for batch in chunks(batches, "word", CHUNK):
+            found = pa.array([_heaped(x.encode(), of) for x in batch.column("word").to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("name"), found], names=["name", "ids"])
+
+    placed = texts.dropDuplicates(["key"]).select("key", F.posexplode(words(F.col("text"), pattern)).alias("place", "word")).filter(F.octet_length("word") > LONG)
+    placed = stored(placed.withColumn("name", F.unhex(F.sha2(F.col("word").cast("binary"), 256))), "bpe-long")
+    ids = placed.select("name", "word").dropDuplicates(["name"]).mapInArrow(run, "name binary, ids array<int>")
+    return placed.drop("word").join(ids, "name").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("place", "ids"))).alias("longs"))
+
+
 def encoded(docs: DataFrame, codec: Codec, path: str = RANKS, pattern: str = PATTERN) -> DataFrame:
     """docs with ids, the tokens of text; codes, the ids as little-endian numbers of 4 bytes; and decoded, the bytes of the ids in a row.
 
@@ -168,47 +188,39 @@ def encoded(docs: DataFrame, codec: Codec, path: str = RANKS, pattern: str = PAT
     added = ("ids", "codes", "decoded")
     docs = docs.drop(*added)
     text = F.coalesce(F.col("text"), F.lit(""))
-    long = text.rlike(rf"[^{SPACE}]{{{LONG // 4}}}|[{SPACE}]{{{LONG // 4}}}")
-    kind = StructType([*docs.schema.fields, *StructType.fromDDL("ids array<int>").fields])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text", CHUNK):
-            yield with_columns(batch, {"ids": pa.array([merged(x or "", path, pattern) for x in batch.column("text").to_pylist()], pa.list_(pa.int32()))})
-
-    def finished(rows: DataFrame, made: Callable[[Column], Column]) -> DataFrame:
+    def finished(rows: DataFrame, joined: Callable[[Column], Column]) -> DataFrame:
         names = ["pairs", "codes", "pieces"]
         with_maps = rows.withColumns({f"__{x}": codec.scalar(x) for x in names} | {"__known": codec.known.scalar()})
         maps = F.struct(*[F.col(f"__{x}").alias(x) for x in [*names, "known"]])
-        found = with_maps.select(*docs.columns, let(maps, made).alias("__made"))
-        return found.select(*docs.columns, F.col("__made.ids").alias("ids"), F.unhex("__made.codes").alias("codes"), F.unhex("__made.pieces").alias("decoded"))
 
-    def by_word(m: Column) -> Column:
-        known = lambda w: F.get(m["known"], F.pmod(F.xxhash64(w), F.lit(WORD_BUCKETS)).cast("int"))[w]
-        found = F.transform(words(F.col("text"), pattern), lambda w: F.coalesce(known(w), codec.coded(w, m)))
-        whole = lambda w: F.struct(F.flatten(w["ids"]).alias("ids"), F.array_join(w["codes"], "").alias("codes"), F.array_join(w["pieces"], "").alias("pieces"))
-        return let(found, whole)
+        def made(m: Column) -> Column:
+            known = lambda w: F.get(m["known"], F.pmod(F.xxhash64(w), F.lit(WORD_BUCKETS)).cast("int"))[w]
+            short = lambda w: F.coalesce(known(w), F.when(F.octet_length(w) <= LONG, codec.folded(w, m["pairs"])).otherwise(F.array().cast("array<int>")))
+            whole = lambda ids: F.struct(ids.alias("ids"), digits(ids, m["codes"]).alias("codes"), digits(ids, m["pieces"]).alias("pieces"))
+            return let(let(F.transform(words(F.col("text"), pattern), short), joined), whole)
 
-    def by_id(m: Column) -> Column:
-        return F.struct(F.col("ids"), digits(F.col("ids"), m["codes"]).alias("codes"), digits(F.col("ids"), m["pieces"]).alias("pieces"))
+        found = with_maps.select(*docs.columns, let(maps, made).alias("__made"))
+        return found.select(*docs.columns, F.col("__made.ids").alias("ids"), F.unhex("__made.codes").alias("codes"), F.unhex("__made.pieces").alias("decoded"))
 
     if codec.longest <= LONG:
-        return finished(docs, by_word)
-    return finished(docs.filter(~long), by_word).unionByName(finished(docs.filter(long).mapInArrow(run, kind), by_id))
+        return finished(docs, F.flatten)
 
+    def spliced(parts: Column) -> Column:
+        """The ids of all words, those of the long ones from __longs."""
+        longs = F.col("__longs")
+        after = lambda k: F.coalesce(F.get(longs, k - 1)["place"] + 1, F.lit(0))
+        heads = F.transform(longs, lambda x, k: F.concat(F.flatten(F.slice(parts, after(k) + 1, x["place"] - after(k))), x["ids"]))
+        return F.when(longs.isNull(), F.flatten(parts)).otherwise(F.concat(F.flatten(heads), F.flatten(F.slice(parts, after(F.size(longs)) + 1, F.size(parts)))))
 
-def merged(text: str, path: str, pattern: str) -> list[int]:
-    """The ids of a text, with a heap of the pairs of each long word."""
-    import regex
-
-    of, out, known = ranks(path), [], {}
-    for word in regex.findall(pattern, text):
-        if word not in known:
-            known[word] = _heaped(word.encode(), of)
-        out += known[word]
-    return out
+    long = text.rlike(rf"[^{SPACE}]{{{LONG // 4}}}|[{SPACE}]{{{LONG // 4}}}")  # may have a word of over LONG bytes
+    keyed = docs.filter(long).withColumn("__key", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+    longs = stored(long_words(keyed.select(F.col("__key").alias("key"), "text"), path, pattern), "bpe-spliced").toDF("__key", "__longs")
+    return finished(docs.filter(~long), F.flatten).unionByName(finished(keyed.join(longs, "__key", "left"), spliced))
 
 
 def _heaped(word: bytes, of: dict[bytes, int]) -> list[int]:
+    """The ids of a long word, with a heap of its pairs."""
     n = len(word)
     ends, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that starts at each byte
     heap: list[tuple[int, int, int]] = []

@@ -103,7 +103,9 @@ def test_bpe(spark, folder):
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(byte_bpe.RANKS, "rb"))}
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    some = {i: t for i, t in enumerate(texts())}
+    long = ["ab" * 900, "日本" * 300, "é" * 513, " " * 1500, "=" * 1025]
+    mixed = "one " + " two\n".join(long) + " three"
+    some = {i: t for i, t in enumerate([*texts(), mixed, mixed, f"{long[0]} {long[0]}", "x" * 1024, "x " * 3000, *long])}
     found = {r.doc_id: r for r in byte_bpe.op3_byte_level_bpe(spark, folder([(i, t, "s") for i, t in some.items()])).collect()}
     for i, t in some.items():
         ids = library.encode_ordinary(t or "")
