@@ -35,12 +35,14 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 #: Bytes of the longest word that is folded.
 LONG = 1024
-#: Most words that are folded ahead, and bytes of the longest of them; together they bound the literal map.
-KNOWN, KNOWN_BYTES = 100_000, 64
-PAIR_BUCKETS, WORD_BUCKETS = 131_071, 65_536
+#: Most words that are folded ahead, and bytes of the longest of them; together they bound the literal maps.
+KNOWN, KNOWN_BYTES = 250_000, 64
+#: Most words of the first map, which a core's cache can hold, and buckets of the two.
+OFTEN, WORD_BUCKETS = 4_000, (4_096, 131_072)
+PAIR_BUCKETS = 32_749
 #: A part's number: its id, the place of its first byte, and its rank with the next part.
 ID_BITS, RANK_AT = 20, 40
-ID_MASK, PLACE_MASK, NO_RANK = (1 << 20) - 1, ((1 << 40) - 1) ^ ((1 << 20) - 1), 1 << 20
+ID_MASK, PLACE_MASK, NO_RANK = (1 << 20) - 1, ((1 << 40) - 1) ^ ((1 << 20) - 1), 1 << 60
 CHUNK = 4 << 20
 #: What \s stands for in the pattern, in any language.
 SPACE = r"\t-\r \x85\xA0  -     　"
@@ -61,8 +63,9 @@ def words(text: Column, pattern: str = PATTERN) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
 
 
-def let(value: Column, body) -> Column:
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is worked out once; by an aggregate over nothing, as taking an element of an array asks for the type of all that is below at each call."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda x, _: x, body)
 
 
 class Codec:
@@ -70,14 +73,14 @@ class Codec:
 
     def __init__(self, spark: SparkSession, path: str = RANKS) -> None:
         of = ranks(path)
-        keys, found = array("q"), array("i")
+        keys, found = array("q"), array("q")
         for token, rank in of.items():
             for cut in range(1, len(token)):
                 a, b = of.get(token[:cut]), of.get(token[cut:])
                 if a is not None and b is not None:
                     keys.append(a << ID_BITS | b)
-                    found.append(rank)
-        pairs = spark.createDataFrame(pa.table({"key": pa.array(keys, pa.int64()), "value": pa.array(found, pa.int32())}))
+                    found.append(rank << RANK_AT)
+        pairs = spark.createDataFrame(pa.table({"key": pa.array(keys, pa.int64()), "value": pa.array(found, pa.int64())}))
         pairs = in_buckets(pairs.withColumn("bucket", F.col("key") % PAIR_BUCKETS), PAIR_BUCKETS).toDF("pairs")
         size = max(of.values()) + 1
         pieces = [b""] * size
@@ -108,19 +111,20 @@ class Codec:
 
         def numbered(a: Column, b: Column, place: Column) -> Column:
             key = F.shiftleft(a, ID_BITS) + b
-            rank = F.get(pairs, (key % PAIR_BUCKETS).cast("int"))[key]
-            return F.shiftleft(F.coalesce(rank.cast("bigint"), F.lit(NO_RANK)), RANK_AT) + place + a
+            return F.coalesce(F.get(pairs, (key % PAIR_BUCKETS).cast("int"))[key], F.lit(NO_RANK)) + place + a
 
         def step(parts: Column, _: Column) -> Column:
             def merge(least: Column) -> Column:
-                def at(p: Column) -> Column:  # counted from 1
-                    rank, before = F.shiftright(least, RANK_AT), F.get(parts, p - 2)
-                    fresh = numbered(rank, id_of(F.get(parts, p + 1)), place_of(least))
-                    rest = F.slice(parts, p + 2, F.size(parts))
-                    left = F.array(numbered(id_of(before), rank, place_of(before)), fresh)
-                    return F.when(p > 1, F.concat(F.slice(parts, F.lit(1), p - 2), left, rest)).otherwise(F.concat(F.array(fresh), rest))
+                def at(p: Column) -> Column:  # of the least part, counted from 1
+                    def put(before: Column) -> Column:
+                        rank = F.shiftright(least, RANK_AT)
+                        fresh = numbered(rank, id_of(F.get(parts, p + 1)), place_of(least))
+                        left = numbered(id_of(before), rank, place_of(before))
+                        return F.transform(F.array_remove(parts, F.get(parts, p)), lambda part: F.when(part == least, fresh).when(part == before, left).otherwise(part))
 
-                return F.when(least >= F.lit(NO_RANK << RANK_AT), parts).otherwise(let(F.array_position(parts, least).cast("int"), at))
+                    return let(F.coalesce(F.get(parts, p - 2), F.lit(-1)), put)
+
+                return F.when(least >= F.lit(NO_RANK), parts).otherwise(let(F.array_position(parts, least).cast("int"), at))
 
             return let(F.array_min(parts), merge)
 
@@ -139,16 +143,17 @@ class Codec:
         counts = every_word.filter((F.col("count") > 1) & (F.octet_length("word") <= KNOWN_BYTES))
         counts = stored(counts.withColumn("level", F.floor(F.log2("count") * 8).cast("int")), "bpe-words")
         self.longest = seen.get["longest"] or 0
-        level, held = 0, 0
+        cuts, held = {OFTEN: 0, KNOWN: 0}, 0
         for row in counts.groupBy("level").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("level")).collect():  # at most 8 levels for each doubling of a count
             held += row.n
-            if held > KNOWN:
-                level = row.level + 1
-                break
-        often = counts.filter(F.col("level") >= level).select("word", F.pmod(F.xxhash64("word"), F.lit(WORD_BUCKETS)).alias("bucket"))
-        maps = often.withColumn("pairs", self.scalar("pairs"))
-        ids = maps.select("bucket", F.col("word").alias("key"), let(F.struct("pairs"), lambda m: self.folded(F.col("word"), m["pairs"])).alias("value"))  # read once, else Spark would make a column of it
-        self.known = stored(in_buckets(ids, WORD_BUCKETS).toDF("known"), "bpe-known")
+            for most in cuts:
+                cuts[most] = cuts[most] or (row.level + 1 if held > most else 0)
+        often = F.col("level") >= cuts[OFTEN]
+        maps = counts.filter(F.col("level") >= cuts[KNOWN]).withColumn("pairs", self.scalar("pairs"))
+        ids = stored(maps.select(often.alias("often"), F.col("word").alias("key"), let(F.struct("pairs"), lambda m: self.folded(F.col("word"), m["pairs"])).alias("value")), "bpe-folded")  # read once, else Spark would make a column of it
+        tables = [in_buckets(ids.filter(F.col("often") == (k == 0)).select("key", "value", F.pmod(F.xxhash64("key"), F.lit(n)).alias("bucket")), n).toDF(f"known{k}") for k, n in enumerate(WORD_BUCKETS)]
+        self.known = stored(tables[0].crossJoin(tables[1]), "bpe-known")  # one row each
+        release(ids)
         release(counts)
 
 
@@ -191,12 +196,13 @@ def encoded(docs: DataFrame, codec: Codec, path: str = RANKS, pattern: str = PAT
 
     def finished(rows: DataFrame, joined: Callable[[Column], Column]) -> DataFrame:
         names = ["pairs", "codes", "pieces"]
-        with_maps = rows.withColumns({f"__{x}": codec.scalar(x) for x in names} | {"__known": codec.known.scalar()})
-        maps = F.struct(*[F.col(f"__{x}").alias(x) for x in [*names, "known"]])
+        known = [f"known{k}" for k in range(len(WORD_BUCKETS))]
+        with_maps = rows.withColumns({f"__{x}": codec.scalar(x) for x in names} | {f"__{x}": codec.known.select(x).scalar() for x in known})
+        maps = F.struct(*[F.col(f"__{x}").alias(x) for x in [*names, *known]])
 
         def made(m: Column) -> Column:
-            known = lambda w: F.get(m["known"], F.pmod(F.xxhash64(w), F.lit(WORD_BUCKETS)).cast("int"))[w]
-            short = lambda w: F.coalesce(known(w), F.when(F.octet_length(w) <= LONG, codec.folded(w, m["pairs"])).otherwise(F.array().cast("array<int>")))
+            held = lambda w: [F.get(m[x], F.pmod(F.xxhash64(w), F.lit(n)).cast("int"))[w] for x, n in zip(known, WORD_BUCKETS, strict=True)]
+            short = lambda w: F.coalesce(*held(w), F.when(F.octet_length(w) <= LONG, codec.folded(w, m["pairs"])).otherwise(F.array().cast("array<int>")))
             whole = lambda ids: F.struct(ids.alias("ids"), digits(ids, m["codes"]).alias("codes"), digits(ids, m["pieces"]).alias("pieces"))
             return let(let(F.transform(words(F.col("text"), pattern), short), joined), whole)
 
