@@ -108,7 +108,9 @@ class Pieces:
         return out
 
     def counts(self, units: list[str]) -> np.ndarray:
-        """For each unit, the count at every prefix; prefixes past its end repeat the last."""
+        """For each unit, the count at every prefix; prefixes past its end repeat the last. Without units, one row of no counts."""
+        if not units:
+            return np.zeros((1, 0), np.int32)
         width = max(map(len, units), default=0)
         codes = np.array(units, dtype=f"<U{max(width, 1)}").view(np.uint32).reshape(len(units), -1)
         sizes = np.array([len(x) for x in units])
