@@ -38,9 +38,13 @@ from formlens.llm.suffixes import BASES, BORDER, GRAM, WORD_GRAM, anchors, commo
 from formlens.llm.suffixes import words as words_of
 
 MATCH = 400
+#: Least words of a passage.
+PASSAGE_WORDS = 51
 CHUNK = 4 << 20
 #: Mean bytes of a shard; a group of regions with more is spread.
 SHARD_BYTES = 2 << 20
+#: Most windows of a region.
+PIECE = 1 << 18
 #: Windows of words that are handed on at once.
 WINDOWS = 1 << 16
 
@@ -108,8 +112,8 @@ def repeated_passages(texts: DataFrame, words: int) -> DataFrame:
     return spans
 
 
-def regions(texts: DataFrame, match: int = MATCH) -> DataFrame:
-    """(key, start, bytes, hashes, places, group): the parts of texts whose windows hold a repeated anchor."""
+def regions(texts: DataFrame, match: int = MATCH, piece: int = PIECE) -> DataFrame:
+    """(key, start, bytes, hashes, places, group): the parts of texts whose windows hold a repeated anchor; a part of over piece windows is cut so that each window is in one."""
     found = texts.select("key", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select("key", F.col("x.hashes").alias("hash"), F.col("x.places").alias("place"))
     where = F.xxhash64("key", "place")
     repeated = stored(found.groupBy("hash").agg(F.min(where).alias("lo"), F.max(where).alias("hi")).filter("lo <> hi").select("hash"), "span-anchors")  # else the join below can't be split where an anchor is hot
@@ -130,7 +134,11 @@ def regions(texts: DataFrame, match: int = MATCH) -> DataFrame:
                 lo, hi = np.maximum(at - (match - GRAM), 0), np.minimum(at + match, len(text))
                 cuts = np.concatenate([[0], np.flatnonzero(lo[1:] > hi[:-1]) + 1, [len(at)]])
                 for a, b in zip(cuts, cuts[1:], strict=False):
-                    rows.append((keys[i], int(lo[a]), text[lo[a] : hi[b - 1]], named[a:b], (at[a:b] - lo[a]).astype(np.int32), int(named[a:b].min())))
+                    for first in range(int(lo[a]), int(hi[b - 1]) - match + 1, piece):  # windows that start from first to last
+                        last = min(first + piece, int(hi[b - 1]) - match + 1) - 1
+                        some = slice(a + int(np.searchsorted(at[a:b], first)), a + int(np.searchsorted(at[a:b], last + match - GRAM, "right")))
+                        if some.start < some.stop:
+                            rows.append((keys[i], first, text[first : last + match], named[some], (at[some] - first).astype(np.int32), int(named[some].min())))
             columns = list(zip(*rows, strict=True)) or [()] * 6
             kinds = [pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["key", "start", "bytes", "hashes", "places", "group"])
@@ -173,10 +181,10 @@ def searched(left: pa.Table, right: pa.Table, match: int, ranges: int) -> pa.Tab
     out = {"shard": [], "range": [None] * n, "prints": [None] * n, "places": [None] * n}
     row_of = {x: i for i, x in enumerate(zip(keys, starts, strict=True))}
     edges = np.zeros(len(data) + 1, np.int64)
-    for key, start, place in zip(right["key"].to_pylist(), right["start"].to_pylist(), right["place"].to_pylist(), strict=True):
-        base = bases[row_of[key, start]]
-        edges[base + max(0, place - (match - GRAM))] += 1
-        edges[base + place + 1] -= 1
+    for key, start, asked in zip(right["key"].to_pylist(), right["start"].to_pylist(), right["asked"], strict=True):
+        base, places = bases[row_of[key, start]], asked.values.to_numpy()
+        np.add.at(edges, base + np.maximum(0, places - (match - GRAM)), 1)
+        np.add.at(edges, base + places + 1, -1)
     at = np.flatnonzero((np.cumsum(edges[:-1]) > 0) & whole & ~repeats)
     if len(at):
         first, second = (window_hashes(data, match, base)[at] for base in BASES)
@@ -242,7 +250,7 @@ def repeated_spans(texts: DataFrame, match: int = MATCH, shard_bytes: int = SHAR
     release(parts)
     held = found.select("shard", "key", "start", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select("shard", "key", "start", F.col("x.hashes").alias("hash"), F.col("x.places").alias("place"))
     crossing = stored(held.groupBy("hash").agg(F.min("shard").alias("lo"), F.max("shard").alias("hi")).filter("lo <> hi").select("hash"), "span-crossing")
-    asked = held.join(crossing, "hash", "left_semi").select("shard", "key", "start", "place").toDF("of_shard", "key", "start", "place")
+    asked = held.join(crossing, "hash", "left_semi").groupBy("shard", "key", "start").agg(F.collect_list("place").alias("asked")).toDF("of_shard", "key", "start", "asked")  # a row a region at most
     ranges = 4 * shards
     by_shard = found.select("shard", "key", "start", "bytes").groupBy("shard").cogroup(asked.groupBy("of_shard"))
     kinds = "shard int, key binary, start int, base int, spans array<int>, range int, prints binary, places binary"
@@ -258,6 +266,8 @@ def repeated_spans(texts: DataFrame, match: int = MATCH, shard_bytes: int = SHAR
 def joined_spans(spans: np.ndarray) -> np.ndarray:
     """Rows of start and end, apart and in order."""
     pairs = spans.reshape(-1, 2)
+    if not len(pairs):
+        return pairs
     pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
     ends = np.maximum.accumulate(pairs[:, 1])
     first = np.concatenate([[True], pairs[1:, 0] > ends[:-1]])
@@ -286,48 +296,69 @@ def left_of(text: np.ndarray, spans: np.ndarray) -> bytes:
 
 
 def verdicts(docs: DataFrame, match: int = MATCH, shard_bytes: int = SHARD_BYTES, with_text: bool = False, *, words: int = 0) -> DataFrame:
-    """(key, n_removed, n_spans, kept_sha256, and kept_text if asked for) of each text that loses bytes."""
+    """(key, n_removed, n_spans, kept_sha256, n_passage_bytes, and kept_text if asked for) of each text that loses bytes or holds a repeated passage.
+
+    The first three are of strings of match bytes alone, n_passage_bytes of runs of so many
+    words alone (0 if words is 0); kept_text is without both. n_removed and n_passage_bytes
+    are null for texts that stand several times, of which all goes.
+    """
     texts = stored(anchored_texts(docs, match, words), "span-texts")
-    spans = repeated_spans(texts, match, shard_bytes)
+    spans = repeated_spans(texts, match, shard_bytes).select("key", "spans", F.array().cast("array<int>").alias("passages"))
     if words:
-        spans = repeated_passages(texts, words).unionByName(spans).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        spans = repeated_passages(texts, words).select("key", F.array().cast("array<int>").alias("spans"), F.col("spans").alias("passages")).unionByName(spans)
+        spans = spans.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("passages")).alias("passages"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opener = zstandard.ZstdDecompressor()
         for batch in chunks(batches, "packed", CHUNK):
-            removed, count, digest, kept = [], [], [], []
-            for packed, own in zip(batch.column("packed"), batch.column("spans"), strict=True):
+            removed, count, digest, of_words, kept = [], [], [], [], []
+            for packed, own, passages in zip(batch.column("packed"), batch.column("spans"), batch.column("passages"), strict=True):
                 text = np.frombuffer(opener.decompress(packed.as_buffer()), np.uint8)
-                found = joined_spans(own.values.to_numpy())
+                found, more = joined_spans(own.values.to_numpy()), joined_spans(passages.values.to_numpy())
                 removed.append(int((found[:, 1] - found[:, 0]).sum()))
                 count.append(len(found))
                 digest.append(hashlib.sha256(left_of(text, found)).hexdigest())
+                of_words.append(int((more[:, 1] - more[:, 0]).sum()))
                 if with_text:
-                    kept.append(left_of(text, whole_characters(text, found)).decode())
-            columns = [batch.column("key"), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.string())] * with_text, names=["key", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * with_text)
+                    kept.append(left_of(text, whole_characters(text, joined_spans(np.concatenate([found, more])))).decode())
+            columns = [batch.column("key"), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string()), pa.array(of_words, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.string())] * with_text, names=["key", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes"] + ["kept_text"] * with_text)
 
-    kinds = "key binary, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_text string" * with_text
+    kinds = "key binary, n_removed bigint, n_spans bigint, kept_sha256 string, n_passage_bytes bigint" + ", kept_text string" * with_text
     parts = texts.filter("copies = 1").select("key", "packed").join(spans, "key").mapInArrow(run, kinds)
-    gone = texts.filter("copies > 1").select("key", F.lit(None).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256().hexdigest()).alias("kept_sha256"), *[F.lit("").alias("kept_text")] * with_text)
+    has = lambda column: F.size(column) > 0
+    all_of = lambda held: F.when(held, F.lit(None)).otherwise(F.lit(0)).cast("long")
+    gone = texts.filter("copies > 1").select(
+        "key",
+        all_of(has("hashes")).alias("n_removed"),
+        has("hashes").cast("long").alias("n_spans"),
+        F.when(has("hashes"), F.lit(hashlib.sha256().hexdigest())).alias("kept_sha256"),
+        all_of(has("word_hashes") if words else F.lit(False)).alias("n_passage_bytes"),
+        *[F.lit("").alias("kept_text")] * with_text,
+    )
     return stored(parts.unionByName(gone), "span-verdicts")
 
 
 def remove_repeats(docs: DataFrame, match: int = MATCH, words: int = 0) -> DataFrame:
     """docs without the repeated bytes, and the repeated runs of words if asked for, in text, and with n_chars, where it is a column, of what is left."""
-    found = verdicts(docs, match, with_text=True, words=words).select(F.col("key").alias("__key"), "kept_text")
+    found = verdicts(docs, match, with_text=True, words=words).select(F.col("key").alias("__key"), F.col("kept_text").alias("__kept_text"))
     keyed = docs.withColumn("__key", text_key()).join(found, "__key", "left")
-    text = F.when(F.col("text").isNotNull(), F.coalesce("kept_text", "text"))
-    changed = {"text": text} | ({"n_chars": F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.char_length("kept_text").cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
+    text = F.when(F.col("text").isNotNull(), F.coalesce("__kept_text", "text"))
+    changed = {"text": text} | ({"n_chars": F.when(F.col("__kept_text").isNull(), F.col("n_chars")).otherwise(F.char_length("__kept_text").cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
     return keyed.withColumns(changed).select(*docs.columns)
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes removed from every document, and the digest of the rest."""
+    """Bytes removed from every document, and the digest of the rest; n_passage_bytes are those in runs of PASSAGE_WORDS words that also start elsewhere, whatever their bytes, and are not removed for it."""
     docs = documents(spark, sf_dir)
-    found = verdicts(docs)
+    found = verdicts(docs, words=PASSAGE_WORDS)
     rows = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), text_key().alias("key"))
-    lost = F.when(F.col("n_spans").isNull(), F.lit(0)).otherwise(F.coalesce("n_removed", "n_bytes")).cast("long")
+    of_all = lambda column: F.when(F.col("n_spans").isNull(), F.lit(0)).otherwise(F.coalesce(column, "n_bytes")).cast("long")
     return rows.join(found, "key", "left").select(
-        "doc_id", "n_bytes", lost.alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", F.lower(F.hex("key"))).alias("kept_sha256")
+        "doc_id",
+        "n_bytes",
+        of_all("n_removed").alias("n_removed"),
+        F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
+        F.coalesce("kept_sha256", F.lower(F.hex("key"))).alias("kept_sha256"),
+        of_all("n_passage_bytes").alias("n_passage_bytes"),
     )
