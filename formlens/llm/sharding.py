@@ -1,9 +1,13 @@
 """Sharding by sampled splitters, so that shards hold nearly the same number of bytes.
 
 The key of a record is a hash of its text, so equal texts lie side by side. A
-size-weighted sample of keys gives quantile boundaries of many small ranges; exact
+size-weighted sample of keys gives quantile boundaries of small ranges; exact
 bytes per range then lay the ranges out over the shards in order, and ranges that hold
-more than their part are divided by a second key.
+more than their part are divided by a second key. The number of ranges is fixed for a
+number of shards, and with it the sample and the table of ranges, whatever the input.
+Both keys come from doc_id and text, so a row's place does not depend on how the input
+is split into partitions; rows that are equal in both are interchangeable, and only where
+over ALIKE of these overfill a range are they told apart by a row number.
 
 Defined cases: null text has no bytes and size 1, as has the empty text; repeated rows
 are records of their own; a null doc_id is kept; an empty table gives no rows; columns
@@ -19,13 +23,14 @@ from pyspark.sql import functions as F
 from formlens.llm.common import documents, stored
 
 SHARDS = 8
-#: Ranges a shard is laid out from; their number rises with the rows, so that one task ranks ROWS_A_RANGE rows or so.
-RANGES_A_SHARD = 64
-ROWS_A_RANGE = 50_000
+#: Ranges a shard is laid out from; one task ranks the rows of one range, which Spark sorts outside memory where they are many.
+RANGES_A_SHARD = 256
 #: Sampled keys a range.
 SAMPLE = 8
 #: A range is divided when it holds this many times the mean.
 OVERFULL = 2.0
+#: So many rows that are equal in doc_id and text stay in one piece.
+ALIKE = 64
 UNIT = float(1 << 53)
 
 
@@ -35,16 +40,16 @@ def keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     with_row = docs.withColumn("row_id", F.monotonically_increasing_id())
     return with_row.select(
-        *[c for c in with_row.columns if c not in ("size", "text_crc32", "key", "second")],
+        *[c for c in with_row.columns if c not in ("size", "text_crc32", "key", "second", "shard", "slot")],
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         bits(F.xxhash64(text)).alias("key"),
-        bits(F.xxhash64(F.col("doc_id"), F.col("row_id"))).alias("second"),
+        bits(F.xxhash64(F.lit("second"), F.col("doc_id"), text)).alias("second"),
     )
 
 
 def boundaries(records: DataFrame, total: int, ranges: int) -> list[float]:
-    """Quantiles of a size-weighted sample of keys; the sample is about SAMPLE keys a range, whatever the input."""
+    """Quantiles of a size-weighted sample of keys; the sample is about SAMPLE keys a range."""
     chance = F.lit(float(SAMPLE * ranges)) * F.col("size") / F.lit(float(total))
     drawn = records.filter(F.col("second") / F.lit(UNIT) < chance).select("key").orderBy("key").collect()
     keys = [x.key for x in drawn]
@@ -57,20 +62,25 @@ def sharded(records: DataFrame, shards: int = SHARDS) -> DataFrame:
     n, total = records.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     if not n:
         return records.withColumn("shard", F.lit(0)).withColumn("slot", F.lit(0).cast("long"))
-    ranges = max(shards * RANGES_A_SHARD, n // ROWS_A_RANGE)
+    ranges = shards * RANGES_A_SHARD
     in_range = Bucketizer(splits=boundaries(records, total, ranges), inputCol="key", outputCol="__range").transform(records)
     mean = total / ranges
     sums = in_range.groupBy("__range").agg(F.sum("size").alias("__bytes"))
-    parts = F.greatest(F.when(F.col("__bytes") > F.lit(OVERFULL * mean), F.ceil(F.col("__bytes") / F.lit(mean))).otherwise(1), F.lit(1)).cast("int")
-    divided = in_range.join(sums.select("__range", parts.alias("__parts")), "__range").withColumn("__part", F.floor(F.col("second") / F.lit(UNIT) * F.col("__parts")).cast("int"))
+    overfull = F.col("__bytes") > F.lit(OVERFULL * mean)
+    parts = F.greatest(F.when(overfull, F.ceil(F.col("__bytes") / F.lit(mean))).otherwise(1), F.lit(1)).cast("int")
+    alike = in_range.join(F.broadcast(sums.filter(overfull).select("__range")), "__range").groupBy("key", "second").agg(F.sum("size").alias("__bytes"), F.count(F.lit(1)).alias("__n")).filter((F.col("__bytes") > F.lit(mean)) & (F.col("__n") > ALIKE))  # fewer than the ranges, as each is over the mean
+    alike = F.broadcast(alike.select("key", "second", F.lit(True).alias("__alike")))
+    shared = F.shiftrightunsigned(F.xxhash64("row_id"), 11).cast("double")
+    divided = in_range.join(F.broadcast(sums.select("__range", parts.alias("__parts"))), "__range").join(alike, ["key", "second"], "left")  # a row a range
+    divided = divided.withColumn("__part", F.floor(F.when(F.col("__alike"), shared).otherwise(F.col("second")) / F.lit(UNIT) * F.col("__parts")).cast("int")).drop("__alike")
     pieces = stored(divided.groupBy("__range", "__part").agg(F.sum("size").alias("__bytes"), F.count(F.lit(1)).alias("__n")), "shard-pieces")
-    before = Window.orderBy("__range", "__part").rowsBetween(Window.unboundedPreceding, -1)  # pieces, not records
+    before = Window.orderBy("__range", "__part").rowsBetween(Window.unboundedPreceding, -1)  # pieces, three times the ranges at most
     middle = F.coalesce(F.sum("__bytes").over(before), F.lit(0)) + F.col("__bytes") / 2
     placed = pieces.select("__range", "__part", "__n", F.least(F.floor(middle * shards / F.lit(total)), F.lit(shards - 1)).cast("int").alias("shard"))
     ahead = Window.partitionBy("shard").orderBy("__range", "__part").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("__first", F.coalesce(F.sum("__n").over(ahead), F.lit(0))).drop("__n")
     within = Window.partitionBy("__range", "__part").orderBy("key", "second", "row_id")
-    slotted = divided.join(placed, ["__range", "__part"]).withColumn("slot", (F.row_number().over(within) - 1 + F.col("__first")).cast("long"))
+    slotted = divided.join(F.broadcast(placed), ["__range", "__part"]).withColumn("slot", (F.row_number().over(within) - 1 + F.col("__first")).cast("long"))
     return slotted.drop("__range", "__part", "__parts", "__first")
 
 
