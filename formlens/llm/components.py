@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from formlens.llm.common import stored
 
-MOST_ROUNDS = 60
-
 
 def connected(links: DataFrame) -> DataFrame:
     """(node, root) of every node of links (u, v); root is the smallest node it is linked to, over any number of links.
@@ -18,7 +16,7 @@ def connected(links: DataFrame) -> DataFrame:
     """
     edges = stored(links.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     last = None
-    for _ in range(MOST_ROUNDS):
+    while True:  # the links settle after a number of rounds that grows with the logarithm of the nodes
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -30,6 +28,4 @@ def connected(links: DataFrame) -> DataFrame:
         if now == last:
             break
         last = now
-    else:
-        raise RuntimeError("the links didn't settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

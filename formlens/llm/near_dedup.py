@@ -119,11 +119,11 @@ def signed(docs: DataFrame, percent: float = THRESHOLD) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key bigint, n_shingles bigint, set_id binary, bands array<bigint>")
+    return docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key binary, n_shingles bigint, set_id binary, bands array<bigint>")
 
 
 def text_key() -> Column:
-    return F.xxhash64("text")
+    return F.unhex(F.md5(F.col("text").cast("binary")))
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -248,7 +248,7 @@ def one_of_each(docs: DataFrame, percent: float = THRESHOLD) -> DataFrame:
     dropped = judged.filter("NOT kept").select("doc_id", "text_key").distinct()
     few = dropped.count() <= BROADCAST_ROWS
     keyed = docs.withColumn("__text_key", text_key())
-    same = lambda x: keyed["doc_id"].eqNullSafe(x["doc_id"]) & (keyed["__text_key"] == x["text_key"])
+    same = lambda x: keyed["doc_id"].eqNullSafe(x["doc_id"]) & keyed["__text_key"].eqNullSafe(x["text_key"])
     kept = keyed.join(F.broadcast(dropped) if few else dropped, same(dropped), "left_anti")
     if not judged.filter("kept AND n_shingles > 0").groupBy("doc_id", "text_key").count().filter("count > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id", "__text_key"])
