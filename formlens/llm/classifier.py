@@ -188,15 +188,16 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, passages:
         for batch in chunks(batches, "text", CHUNK):
             x, owner = encoded(*flat_bytes(batch.column("text")))
             bags = [x[a:b] for a, b in zip(*(np.searchsorted(owner, np.arange(batch.num_rows), side) for side in ("left", "right")), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("quality"), pa.array([x.tobytes() for x in bags], pa.binary())], names=["doc_id", "quality", "bag"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([x.tobytes() for x in bags], pa.binary())], names=["doc_id", "quality", "bag"])
 
+    kind = docs.schema["doc_id"].dataType.simpleString()
     drawn = labels.filter(F.col("quality").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     order = [F.xxhash64(F.lit("mil"), "doc_id"), F.col("doc_id")]
     drawn = drawn.orderBy(*order).limit(rows)
-    found = stored(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").mapInArrow(run, "doc_id bigint, quality int, bag binary"), "train-bags")
+    found = stored(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").mapInArrow(run, f"doc_id {kind}, quality int, bag binary"), "train-bags")
     sizes = found.groupBy("doc_id").agg(F.sum(F.octet_length("bag")).alias("n")).orderBy(*order).toArrow()
     taken = fitting(list(zip(sizes["doc_id"].to_pylist(), sizes["n"].to_pylist(), strict=True)), rows * passages * WIDTH * 4)
-    whole = found if len(taken) == sizes.num_rows else found.join(F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in taken], "doc_id bigint")), "doc_id", "left_semi")
+    whole = found if len(taken) == sizes.num_rows else found.join(F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in taken], f"doc_id {kind}")), "doc_id", "left_semi")
     return whole.toArrow().sort_by("doc_id")
 
 
