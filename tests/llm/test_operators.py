@@ -144,6 +144,12 @@ def test_classifier_trains_on_whole_documents(spark, docs):
     assert size(classifier.sample(table, labels, 12, 5)) == {i: n for i, n in wanted.items() if n == 1}
 
 
+def test_classifier_takes_ids_of_text(spark, docs):
+    table = docs([(i, f"word {i} " * (30 if i % 2 else 3), "s") for i in range(40)]).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    labels = table.select("doc_id", (F.substring("doc_id", 2, 9).cast("int") % 2).alias("quality"))
+    assert classifier.trained(table, labels).trained
+
+
 def test_classifier_gradients():
     rng = np.random.default_rng(1)
     model, x, owner, y = classifier.Model(5), rng.normal(size=(9, 5)), np.array([0, 0, 0, 1, 2, 2, 3, 3, 3]), np.array([1.0, 0, 1, 0])
@@ -167,6 +173,29 @@ def test_token_counts(spark, folder):
         assert (found[i].n_tokens, found[i].n_bytes) == (len(library.encode(t or "")), len((t or "").encode())), (i, t)
 
 
+@pytest.mark.parametrize("some", [["a" * 60], ["", None], ["日本語" * 40], ["x" * 48, "y" * 49], []])
+def test_token_counts_of_odd_slices(spark, folder, some):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=token_counts.MODEL)
+    found = {r.doc_id: r.n_tokens for r in token_counts.op6_token_counts(spark, folder([(i, t, "s") for i, t in enumerate(some)])).collect()}
+    assert found == {i: len(library.encode(t or "")) for i, t in enumerate(some)}
+
+
+def test_token_counts_at_every_prefix_and_budget(spark, docs):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=token_counts.MODEL)
+    some = ["Hello  world\nnew line", " lead", "\n", "tab\there 日本語 🙂 x", "w" * 60 + " end", "", "▁a ▁▁b", "\0zero"]
+    for limit in (0, 1, 3, 7):
+        found = {r.doc_id: r for r in token_counts.token_counts(docs([(i, t, "s") for i, t in enumerate(some)]), limit=limit, every=True).collect()}
+        for i, t in enumerate(some):
+            counts = [len(library.encode(t[:k])) for k in range(len(t) + 1)]
+            assert found[i].prefix_tokens == counts, t
+            assert found[i].fits_chars == max(k for k, n in enumerate(counts) if n <= limit), (t, limit)
+            assert found[i].over_limit == (counts[-1] > limit)
+
+
 def test_chat(spark, tmp_path):
     turns = [(1, 0, "user", "hi"), (1, 1, "bot", "yes"), (2, 0, "user", "hi"), (3, 0, "user", "hi"), (3, 1, "bot", "yes"), (3, 2, "user", None), (4, 0, "user", "hi"), (4, 1, "bot", "yes"), (4, 2, "user", None), (5, 0, "user", ""), (None, 0, "user", "x"), (6, 1, "user", "a"), (6, 1, "bot", "a")]
     spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
@@ -202,6 +231,29 @@ def test_repeated_spans(spark, folder, shard_bytes, monkeypatch):
         assert (found[i].n_bytes, found[i].n_removed, found[i].n_spans, found[i].kept_sha256) == (len(t), sum(mark), runs, hashlib.sha256(kept).hexdigest()), i
 
 
+def test_repeated_spans_of_long_and_hot_texts(spark, folder, monkeypatch):
+    monkeypatch.setattr(span_dedup.regions, "__defaults__", (span_dedup.MATCH, 300))
+    rng = random.Random(6)
+    prose = lambda n: " ".join(f"w{rng.randrange(10**5)}" for _ in range(n))
+    line, long = prose(80) + "\n", prose(1500)
+    some = [prose(20) + line * 3 + prose(i) for i in range(12)] + [long, "ä" + long, prose(3) + long[3000:9000], "ab" * 3000, long, prose(70)]
+    passage = prose(55)
+    some += [f"{prose(5)} {passage} {prose(5)}", f"{passage.replace(' ', chr(10))} b"]
+    data = [t.encode() for t in some]
+    found = {r.doc_id: r for r in span_dedup.op8_suffix_array_dedup(spark, folder([(i, t, "s") for i, t in enumerate(some)])).collect()}
+    for i, (t, mark) in enumerate(zip(data, covered(data, span_dedup.MATCH), strict=True)):
+        kept = bytes(b for b, m in zip(t, mark, strict=True) if not m)
+        assert (found[i].n_removed, found[i].n_spans, found[i].kept_sha256) == (sum(mark), len(re.findall(b"\1+", mark)), hashlib.sha256(kept).hexdigest()), i
+    assert found[17].n_passage_bytes == found[15].n_passage_bytes == 0
+    assert found[18].n_passage_bytes == found[19].n_passage_bytes == len(passage) and found[18].n_removed == 0
+
+
+def test_columns_named_as_the_kept_text_stay(spark, docs):
+    table = docs([(1, "a", "s", "k", 1), (2, None, "s", "k", 1)], ", kept_text string, n_passage_bytes int")
+    found = span_dedup.remove_repeats(table)
+    assert collected(found) == collected(table)
+
+
 def test_removed_spans_keep_whole_characters(spark, folder):
     docs = spark.read.parquet(f"{folder()}/documents.parquet")
     found = span_dedup.remove_repeats(docs)
@@ -240,6 +292,34 @@ def test_shards(spark, folder, rows):
     assert all(by_id[i].size == len((t or "").encode()) + 1 and by_id[i].text_crc32 == zlib.crc32((t or "").encode()) for i, t in enumerate(texts()))
 
 
+def test_shards_do_not_depend_on_partitions(spark, folder, tmp_path):
+    path = folder([(i if i % 9 else None, f"text {i % 300} " * (i % 40), "s") for i in range(3000)])
+    first = collected(sharding.op9_sharding(spark, path))
+    spark.read.parquet(f"{path}/documents.parquet").repartition(7, "n_chars", "text").write.parquet(f"{tmp_path}/other/documents.parquet")
+    second = sharding.op9_sharding(spark, f"{tmp_path}/other")
+    assert collected(second) == first
+    by_shard = {}
+    for r in second.collect():
+        by_shard.setdefault(r.shard, []).append(r)
+    assert max(sum(r.size for r in x) for x in by_shard.values()) - min(sum(r.size for r in x) for x in by_shard.values()) < 4000
+    assert all(sorted(r.slot for r in x) == list(range(len(x))) for x in by_shard.values())
+
+
+def test_rows_alike_in_all_are_spread_over_shards(spark, folder):
+    path = folder([(None, "the same text in all rows", "s")] * 2000 + [(i, f"other {i}", "s") for i in range(1000)])
+    found = sharding.op9_sharding(spark, path).groupBy("shard").agg(F.sum("size").alias("n"), F.count("*").alias("rows"), F.max("slot").alias("last")).collect()
+    assert len(found) == 8 and max(r.n for r in found) < 1.15 * min(r.n for r in found)
+    assert all(r["last"] == r["rows"] - 1 for r in found)
+
+
+def test_written_shards_replace_clashing_columns(spark, docs, tmp_path):
+    table = docs([(i, f"text {i}", "s", 7, 7, 7) for i in range(50)], ", shard int, slot int, size int")
+    sharding.write_shards(table, f"{tmp_path}/out", 3)
+    found = spark.read.parquet(f"{tmp_path}/out")
+    assert found.count() == 50 and sorted(r.shard for r in found.select("shard").distinct().collect()) == [0, 1, 2]
+    assert {r.slot for r in found.filter("shard = 0").collect()} == set(range(found.filter("shard = 0").count()))
+
+
 @pytest.mark.parametrize("block", [near_dedup.BLOCK, 2])
 def test_near_duplicates(spark, folder, block, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
