@@ -38,8 +38,6 @@ from formlens.llm.suffixes import BASES, BORDER, GRAM, WORD_GRAM, anchors, commo
 from formlens.llm.suffixes import words as words_of
 
 MATCH = 400
-#: Least words of a passage.
-PASSAGE_WORDS = 51
 CHUNK = 4 << 20
 #: Mean bytes of a shard; a group of regions with more is spread.
 SHARD_BYTES = 2 << 20
@@ -349,16 +347,15 @@ def remove_repeats(docs: DataFrame, match: int = MATCH, words: int = 0) -> DataF
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes removed from every document, and the digest of the rest; n_passage_bytes are those in runs of PASSAGE_WORDS words that also start elsewhere, whatever their bytes, and are not removed for it."""
+    """Bytes removed from every document, and the digest of the rest."""
     docs = documents(spark, sf_dir)
-    found = verdicts(docs, words=PASSAGE_WORDS)
+    found = verdicts(docs)
     rows = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), text_key().alias("key"))
-    of_all = lambda column: F.when(F.col("n_spans").isNull(), F.lit(0)).otherwise(F.coalesce(column, "n_bytes")).cast("long")
+    removed = F.when(F.col("n_spans").isNull(), F.lit(0)).otherwise(F.coalesce("n_removed", "n_bytes")).cast("long")
     return rows.join(found, "key", "left").select(
         "doc_id",
         "n_bytes",
-        of_all("n_removed").alias("n_removed"),
+        removed.alias("n_removed"),
         F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
         F.coalesce("kept_sha256", F.lower(F.hex("key"))).alias("kept_sha256"),
-        of_all("n_passage_bytes").alias("n_passage_bytes"),
     )
