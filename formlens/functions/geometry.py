@@ -117,6 +117,11 @@ def rotated(b: Box, degrees: Column, width: Column, height: Column, clockwise: b
     return Box(F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys))
 
 
+def truncated(b: Box) -> Box:
+    """The box in whole pixels, cut towards zero."""
+    return Box(*[v.cast("int") for v in b])
+
+
 def clipped(b: Box, width: Column, height: Column) -> Box:
     """Where the far corner leaves the page, both far sides move to a pixel inside at most."""
     outside = (b.x1 > width) | (b.y1 > height)

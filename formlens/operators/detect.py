@@ -35,13 +35,13 @@ def matches(gt: DataFrame, pred: DataFrame, keys: Sequence[str], threshold: floa
     return arrays.select(*keys, F.size("g").cast("long").alias("n_gt"), F.size("p").cast("long").alias("n_pred"), tp.cast("long").alias("tp"))
 
 
-def report(gt: DataFrame, pred: DataFrame, image: Sequence[str], threshold: float = THRESHOLD) -> DataFrame:
-    """images, instances, precision, recall, f1 and map50 of each class, and of all; map50 is the precision, as there is one threshold, and of all the mean over classes."""
+def report(gt: DataFrame, pred: DataFrame, image: Sequence[str], pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """images (of all, those of pages, with boxes or without), instances, precision, recall, f1 and map50 of each class, and of all; map50 is the precision, as there is one threshold, and of all the mean over classes."""
     found = matches(gt, pred, [*image, "category"], threshold)
     each = found.groupBy("category").agg(F.count_if(F.col("n_gt") > 0).alias("images"), F.sum("n_gt").alias("instances"), F.sum("n_pred").alias("n_pred"), F.sum("tp").alias("tp"))
     precision, recall = ratio(F.col("tp"), F.col("n_pred")), ratio(F.col("tp"), F.col("instances"))
     shown = lambda rows, map50: rows.select("category", "images", "instances", precision.alias("precision"), recall.alias("recall"), f1(precision, recall).alias("f1"), map50.alias("map50"))
-    images = found.select(*image).distinct().agg(F.count(F.lit(1)).alias("images"))
+    images = pages.select(*image).distinct().agg(F.count(F.lit(1)).alias("images"))
     sums = each.agg(F.coalesce(F.sum("instances"), F.lit(0)).alias("instances"), F.coalesce(F.sum("n_pred"), F.lit(0)).alias("n_pred"), F.coalesce(F.sum("tp"), F.lit(0)).alias("tp"), F.avg(precision).alias("mean"))
     every = sums.select(F.lit("all").alias("category"), images.scalar().alias("images"), "instances", "n_pred", "tp", "mean")
     return shown(each, precision).unionByName(shown(every, F.coalesce("mean", F.lit(0.0))))

@@ -23,6 +23,8 @@ SOMETIMES = 0.2
 #: How a scanned page is changed, of which STEPS are drawn; the two named together exclude each other.
 CHANGES = ["compression", "shadow", "vignette", "brightness", "lighting", "rotation", "lines"]
 STEPS = 3
+#: The step that each made copy has besides.
+PASTE = "paste"
 
 
 def addresses(parts: DataFrame, seed: str = "address") -> DataFrame:
@@ -78,12 +80,13 @@ def adjusted(value: Column, category: Column, *keys: Column, seed: str = "adjust
 
 
 def scan_plan(docs: DataFrame, copies: int = 3, seed: str = "scan") -> DataFrame:
-    """(doc_id, copy, step, change): the changes of each made copy of a page, in drawn order; where both are drawn, shadow rules brightness out."""
+    """(doc_id, copy, step, change): the changes of each made copy of a page, with the paste among them, in an order of its own draw; where both are drawn, shadow rules brightness out."""
     changes = F.array(*[F.lit(c) for c in CHANGES])
     each = docs.select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(copies))).alias("copy"))
     ordered = F.sort_array(F.transform(changes, lambda c: F.struct(uniform(seed, F.col("doc_id"), F.col("copy"), c).alias("u"), c.alias("c"))))
-    drawn = F.slice(F.transform(ordered, lambda x: x["c"]), 1, STEPS)
-    kept = F.filter(drawn, lambda c: (c != "brightness") | ~F.array_contains(drawn, "shadow"))
+    drawn = F.concat(F.slice(F.transform(ordered, lambda x: x["c"]), 1, STEPS), F.array(F.lit(PASTE)))
+    mixed = F.sort_array(F.transform(drawn, lambda c: F.struct(uniform(f"{seed}-order", F.col("doc_id"), F.col("copy"), c).alias("u"), c.alias("c"))))
+    kept = F.filter(F.transform(mixed, lambda x: x["c"]), lambda c: (c != "brightness") | ~F.array_contains(drawn, "shadow"))
     return each.select("doc_id", "copy", F.posexplode(kept).alias("step", "change"))
 
 

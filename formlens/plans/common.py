@@ -16,7 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    """The documents; where the scan has fewer partitions than cores can work on, dealt out, as a file of one row group is read in one task."""
+    found = table(spark, sf_dir, "documents")
+    wanted = min(SPREAD, spark.sparkContext.defaultParallelism)
+    return found if found.rdd.getNumPartitions() >= wanted else found.repartition(wanted)
 
 
 def annotated(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:

@@ -46,7 +46,7 @@ def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detection_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(detect.report(*sides(spark, sf_dir), KEYS), *RATES, "map50")
+    return _rounded(detect.report(*sides(spark, sf_dir), KEYS, tokens.pages(docs(spark, sf_dir))), *RATES, "map50")
 
 
 def bio_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,13 +71,13 @@ def bbox_scale_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bbox_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes zoomed and clipped, pasted, and rotated both ways, rounded."""
+    """Boxes zoomed and clipped, pasted, and rotated both ways and truncated, rounded."""
     rows = _tagged(spark, sf_dir)
     w, h = F.lit(geo.PAGE_WIDTH), F.lit(geo.PAGE_HEIGHT)
     angle = (F.col("doc_id") % 7 - 3).cast("double")
     moved = {
         "c_": geo.clipped(geo.zoomed(Box.of(), F.lit(1.5)), w, h), "p_": geo.pasted(Box.of(), F.lit(0.75), F.lit(12), F.lit(30)),
-        "r_": geo.rotated(Box.of(), angle, w, h), "q_": geo.rotated(Box.of(), angle, w, h, clockwise=True),
+        "r_": geo.truncated(geo.rotated(Box.of(), angle, w, h)), "q_": geo.truncated(geo.rotated(Box.of(), angle, w, h, clockwise=True)),
     }
     return rows.select("doc_id", "i", *[F.round(c.cast("double"), 4).alias(f"{k}{n}") for k, b in moved.items() for n, c in zip(Box._fields, b, strict=True)])
 
@@ -91,7 +91,7 @@ _CELLS = """, boxed AS (
          coalesce(bit_or(1::BIGINT << (gy * 4 + gx)), 0) AS mask
   FROM pages p LEFT JOIN (SELECT * FROM boxed WHERE tag <> 'O') b ON p.doc_id = b.doc_id AND p.page = b.page GROUP BY ALL
 )"""
-_HEAT = """, edges AS (SELECT range / 10.0::DOUBLE AS e FROM range(1, 10)), centres AS (
+_HEAT = """, edges AS (SELECT range * 0.1::DOUBLE AS e FROM range(1, 10)), centres AS (
   SELECT lang, (x0 + x1) / 2.0::DOUBLE / 770 AS cx, 1 - (y0 + y1) / 2.0::DOUBLE / 1048 AS cy FROM golden WHERE tag <> 'O'
 ), binned AS (
   SELECT lang, len(list_filter((SELECT list(e) FROM edges), lambda e: e <= cx))::INT AS bx, len(list_filter((SELECT list(e) FROM edges), lambda e: e <= cy))::INT AS "by"
@@ -99,7 +99,7 @@ _HEAT = """, edges AS (SELECT range / 10.0::DOUBLE AS e FROM range(1, 10)), cent
 ), heat AS (SELECT bx, "by", count(*)::BIGINT AS n FROM binned GROUP BY bx, "by")"""
 _ROUNDED = lambda prefix, exprs: ", ".join(f"round(({e})::DOUBLE, 4) AS {prefix}{n}" for n, e in zip(("x0", "y0", "x1", "y1"), exprs, strict=True))
 _TURNED = lambda sign: [
-    f"{pick}({', '.join(corner.format(x=x, y=y, s=sign) for x in ('x0', 'x1') for y in ('y0', 'y1'))})"
+    f"trunc({pick}({', '.join(corner.format(x=x, y=y, s=sign) for x in ('x0', 'x1') for y in ('y0', 'y1'))}))"
     for pick, corner in (
         ("least", "(({x} - 385.0) * co - ({y} - 524.0) * si * {s} + 385.0)"), ("least", "(({x} - 385.0) * si * {s} + ({y} - 524.0) * co + 524.0)"),
         ("greatest", "(({x} - 385.0) * co - ({y} - 524.0) * si * {s} + 385.0)"), ("greatest", "(({x} - 385.0) * si * {s} + ({y} - 524.0) * co + 524.0)"),

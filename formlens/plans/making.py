@@ -106,8 +106,9 @@ ORACLES = {
     + f" CASE WHEN {_BITS('address-sign', 'doc_id')} % 2 = 0 THEN array_to_string(o, ', ') ELSE array_to_string(o, ' ') END AS address,"
     + f" concat_ws(' ', {_PICK(['Ada', 'Ben', 'Cleo'], 'name-first_name')}, CASE WHEN {_U('name', 'doc_id')} <= 0.2 THEN {_PICK(['Mary', 'Lee'], 'name-middle_name')} END, {_PICK(['Stone', 'Rivers', 'Marsh'], 'name-last_name')}) AS full_name FROM ordered",
     "scan_plan": f"""WITH drawn AS (SELECT doc_id, copy, c, row_number() OVER (PARTITION BY doc_id, copy ORDER BY {_U('scan', "doc_id || ':' || copy || ':' || c")}, c) AS k
-  FROM documents, (SELECT unnest([1, 2, 3]) AS copy), (SELECT unnest([{_CHANGES}]) AS c)), few AS (SELECT *, bool_or(c = 'shadow') OVER (PARTITION BY doc_id, copy) AS dark FROM drawn WHERE k <= 3)
-SELECT doc_id, copy, (row_number() OVER (PARTITION BY doc_id, copy ORDER BY k) - 1)::INT AS step, c AS change FROM few WHERE NOT (dark AND c = 'brightness')""",
+  FROM documents, (SELECT unnest([1, 2, 3]) AS copy), (SELECT unnest([{_CHANGES}]) AS c)), few AS (SELECT doc_id, copy, c FROM drawn WHERE k <= 3 UNION ALL SELECT doc_id, copy, 'paste' FROM documents, (SELECT unnest([1, 2, 3]) AS copy)),
+mixed AS (SELECT *, bool_or(c = 'shadow') OVER (PARTITION BY doc_id, copy) AS dark, {_U('scan-order', "doc_id || ':' || copy || ':' || c")} AS u FROM few)
+SELECT doc_id, copy, (row_number() OVER (PARTITION BY doc_id, copy ORDER BY u, c) - 1)::INT AS step, c AS change FROM mixed WHERE NOT (dark AND c = 'brightness')""",
     "catalogue_rows": "SELECT doc_id, substr(md5('catalogue:' || doc_id), 1, 7) AS short_id, " + ", ".join(f"{_PICK(v, f'catalogue-{k}')} AS {k}" for k, v in VOCABULARY.items()) + " FROM documents",
     "fence_extract": _ANSWERS + " SELECT doc_id, CASE n_chars % 3 WHEN 0 THEN inside WHEN 1 THEN chr(10) || inside || chr(10) || chr(10) || chr(10) || inside || chr(10) ELSE '<i>' || text || '</i>' END AS html FROM blocks",
     "font_shrink": _ANSWERS

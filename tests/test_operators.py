@@ -30,7 +30,9 @@ def test_geometry(spark):
 
 def test_bin_edges_and_masks(spark):
     row = one(spark, a=diversity.bin_of(F.lit(0.3), 10), b=diversity.bin_of(F.lit(1.0), 10), c=diversity.bin_of(F.lit(1.1), 10), d=diversity.bin_of(F.lit(0.0), 10))
-    assert (row.a, row.b, row.c, row.d) == (3, 9, None, 0)
+    assert (row.a, row.b, row.c, row.d) == (2, 9, None, 0)
+    edges = one(spark, a=diversity.bin_of(F.lit(0.6), 10), b=diversity.bin_of(F.lit(0.7), 10), c=diversity.bin_of(F.lit(0.30000000000000004), 10), d=diversity.bin_of(F.lit(0.5), 10))
+    assert (edges.a, edges.b, edges.c, edges.d) == (5, 6, 3, 5)
     boxes = spark.createDataFrame([(1, 0, 0, 10, 10), (1, 760, 1040, 770, 1048), (2, 0, 0, 10, 10), (3, 5, 5, 6, 6)], "doc_id int, x0 int, y0 int, x1 int, y1 int")
     masks = diversity.by_document(boxes, ["doc_id"], spark.createDataFrame([(1,), (2,), (3,), (4,)], "doc_id int"))
     assert {r.doc_id: (r.mask, r.cells) for r in masks.collect()} == {1: (32769, 12.5), 2: (1, 6.25), 3: (1, 6.25), 4: (0, 0.0)}
