@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formlens.llm.common import stored
+from formlens.llm.common import release, stored
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -23,7 +23,8 @@ def connected(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = stored(small.filter("u <> v").distinct(), "links")
+        before, edges = edges, stored(small.filter("u <> v").distinct(), "links")
+        release(before)
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == last:
             break

@@ -218,18 +218,22 @@ def class_roots(classes: DataFrame, docs: DataFrame, percent: float = THRESHOLD)
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("cls")).alias("held"), F.min("cls").alias("centre")).filter("size > 1")
     once = shared.groupBy("size", "held").agg(F.min(F.struct("bucket", "centre")).alias("x")).select("x.bucket", "x.centre")  # bands with the same members count once
     members = stored(members.join(once, "bucket"), "near-members")
-    sets = stored(full_sets(docs, stored(members.select("text_key").distinct(), "near-wanted")), "near-sets")
+    wanted = stored(members.select("text_key").distinct(), "near-wanted")
+    sets = stored(full_sets(docs, wanted), "near-sets")
+    release(wanted)
     first = members.groupBy(F.col("cls").alias("b")).agg(F.min("centre").alias("a")).filter("a <> b")
     roots = merged(None, compared(first, sets).filter(similar(percent)))
     state = stored(mixed_buckets(members, roots), "near-mixed")
     if not state.isEmpty():
-        roots = merged(roots, stored(remaining_links(state, sets, percent).distinct(), "near-links"))
+        links = stored(remaining_links(state, sets, percent).distinct(), "near-links")
+        roots = merged(roots, links)
+        release(links)
     release(sets, members, state)
     return roots
 
 
-def near_duplicates(docs: DataFrame, percent: float = THRESHOLD) -> DataFrame:
-    """(doc_id, text_key, n_shingles, component_id, kept) of each row of docs; pairs of percent similarity or more are linked."""
+def judged(docs: DataFrame, percent: float = THRESHOLD) -> tuple[DataFrame, list[DataFrame]]:
+    """The rows of near_duplicates(), and stored tables that they are made from."""
     signs = stored(signed(docs, percent), "near-signs")
     classes = stored(signs.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n"), F.min("text_key").alias("text_key"), F.first("bands").alias("bands")), "near-classes")
     roots = class_roots(classes, docs, percent)
@@ -239,18 +243,26 @@ def near_duplicates(docs: DataFrame, percent: float = THRESHOLD) -> DataFrame:
     rows = signs.select("doc_id", "text_key", "n_shingles", "set_id")
     joined = rows.join(by_class, "set_id", "left")
     component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return joined.select("doc_id", "text_key", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = joined.select("doc_id", "text_key", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return found, [signs, classes]
+
+
+def near_duplicates(docs: DataFrame, percent: float = THRESHOLD) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component_id, kept) of each row of docs; pairs of percent similarity or more are linked."""
+    return judged(docs, percent)[0]
 
 
 def one_of_each(docs: DataFrame, percent: float = THRESHOLD) -> DataFrame:
     """The rows of docs of which near_duplicates() keeps one a component."""
-    judged = stored(near_duplicates(docs, percent), "near-verdicts")
-    dropped = judged.filter("NOT kept").select("doc_id", "text_key").distinct()
+    found, made_from = judged(docs, percent)
+    found = stored(found, "near-verdicts")
+    release(*made_from)
+    dropped = found.filter("NOT kept").select("doc_id", "text_key").distinct()
     few = dropped.count() <= BROADCAST_ROWS
     keyed = docs.withColumn("__text_key", text_key())
     same = lambda x: keyed["doc_id"].eqNullSafe(x["doc_id"]) & keyed["__text_key"].eqNullSafe(x["text_key"])
     kept = keyed.join(F.broadcast(dropped) if few else dropped, same(dropped), "left_anti")
-    if not judged.filter("kept AND n_shingles > 0").groupBy("doc_id", "text_key").count().filter("count > 1").isEmpty():
+    if not found.filter("kept AND n_shingles > 0").groupBy("doc_id", "text_key").count().filter("count > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id", "__text_key"])
     return kept.drop("__text_key")
 

@@ -75,16 +75,16 @@ def anchored_texts(docs: DataFrame, match: int = MATCH, words: int = 0) -> DataF
 
 
 def in_several(found: DataFrame, values: list[str], name: str) -> DataFrame:
-    """The rows of found (key, place, values) whose values stand at several places."""
+    """The values of found (key, place, values) that stand at several places; stored, else a join on them can't be split where a value is hot."""
     where = F.xxhash64("key", "place")
-    repeated = found.groupBy(*values).agg(F.min(where).alias("lo"), F.max(where).alias("hi")).filter("lo <> hi").select(*values)
-    return found.join(stored(repeated, name), values, "left_semi")  # stored, else the join can't be split where a value is hot
+    return stored(found.groupBy(*values).agg(F.min(where).alias("lo"), F.max(where).alias("hi")).filter("lo <> hi").select(*values), name)
 
 
 def repeated_passages(texts: DataFrame, words: int) -> DataFrame:
     """(key, spans) of the runs of so many words that also start elsewhere."""
     found = texts.select("key", F.explode(F.arrays_zip("word_hashes", "word_places")).alias("x")).select("key", F.col("x.word_hashes").alias("hash"), F.col("x.word_places").alias("place"))
-    own = in_several(found, ["hash"], "passage-anchors").groupBy("key").agg(F.sort_array(F.collect_list("place")).alias("own"))
+    repeated = in_several(found, ["hash"], "passage-anchors")
+    own = found.join(repeated, "hash", "left_semi").groupBy("key").agg(F.sort_array(F.collect_list("place")).alias("own"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opener = zstandard.ZstdDecompressor()
@@ -105,16 +105,17 @@ def repeated_passages(texts: DataFrame, words: int) -> DataFrame:
                     rows = []
 
     found = stored(texts.select("key", "packed").join(own, "key").mapInArrow(windows, "key binary, place int, end int, h1 bigint, h2 bigint"), "passage-windows")
-    spans = stored(in_several(found, ["h1", "h2"], "passage-prints").groupBy("key").agg(F.flatten(F.collect_list(F.array("place", "end"))).alias("spans")), "passage-spans")
-    release(found)
+    release(repeated)
+    prints = in_several(found, ["h1", "h2"], "passage-prints")
+    spans = stored(found.join(prints, ["h1", "h2"], "left_semi").groupBy("key").agg(F.flatten(F.collect_list(F.array("place", "end"))).alias("spans")), "passage-spans")
+    release(found, prints)
     return spans
 
 
 def regions(texts: DataFrame, match: int = MATCH, piece: int = PIECE) -> DataFrame:
     """(key, start, bytes, hashes, places, group): the parts of texts whose windows hold a repeated anchor; a part of over piece windows is cut so that each window is in one."""
     found = texts.select("key", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select("key", F.col("x.hashes").alias("hash"), F.col("x.places").alias("place"))
-    where = F.xxhash64("key", "place")
-    repeated = stored(found.groupBy("hash").agg(F.min(where).alias("lo"), F.max(where).alias("hi")).filter("lo <> hi").select("hash"), "span-anchors")  # else the join below can't be split where an anchor is hot
+    repeated = in_several(found, ["hash"], "span-anchors")
     own = found.join(repeated, "hash", "left_semi").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("place", "hash"))).alias("own"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,12 +254,14 @@ def repeated_spans(texts: DataFrame, match: int = MATCH, shard_bytes: int = SHAR
     by_shard = found.select("shard", "key", "start", "bytes").groupBy("shard").cogroup(asked.groupBy("of_shard"))
     kinds = "shard int, key binary, start int, base int, spans array<int>, range int, prints binary, places binary"
     local = stored(by_shard.applyInArrow(lambda left, right: searched(left, right, match, ranges), kinds), "span-local")
-    release(found)
+    release(found, crossing)
     answers = local.filter("range IS NOT NULL").select("range", "shard", "prints", "places").groupBy("range").applyInArrow(looked_up, "of_shard int, places binary")
     layout = local.filter("key IS NOT NULL").select("shard", "key", "start", "base")
     across = layout.groupBy("shard").cogroup(answers.groupBy("of_shard")).applyInArrow(lambda left, right: placed(left, right, match), "key binary, spans array<int>")
     both = local.filter("size(spans) > 0").select("key", "spans").unionByName(across)
-    return both.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = stored(both.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans")), "span-spans")
+    release(local)
+    return spans
 
 
 def joined_spans(spans: np.ndarray) -> np.ndarray:
@@ -301,9 +304,11 @@ def verdicts(docs: DataFrame, match: int = MATCH, shard_bytes: int = SHARD_BYTES
     are null for texts that stand several times, of which all goes.
     """
     texts = stored(anchored_texts(docs, match, words), "span-texts")
-    spans = repeated_spans(texts, match, shard_bytes).select("key", "spans", F.array().cast("array<int>").alias("passages"))
+    none = F.array().cast("array<int>")
+    by_words = repeated_passages(texts, words).select("key", none.alias("spans"), F.col("spans").alias("passages")) if words else None  # first, as it needs the most disk
+    spans = repeated_spans(texts, match, shard_bytes).select("key", "spans", none.alias("passages"))
     if words:
-        spans = repeated_passages(texts, words).select("key", F.array().cast("array<int>").alias("spans"), F.col("spans").alias("passages")).unionByName(spans)
+        spans = by_words.unionByName(spans)
         spans = spans.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("passages")).alias("passages"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +339,9 @@ def verdicts(docs: DataFrame, match: int = MATCH, shard_bytes: int = SHARD_BYTES
         all_of(has("word_hashes") if words else F.lit(False)).alias("n_passage_bytes"),
         *[F.lit("").alias("kept_text")] * with_text,
     )
-    return stored(parts.unionByName(gone), "span-verdicts")
+    found = stored(parts.unionByName(gone), "span-verdicts")
+    release(texts)
+    return found
 
 
 def remove_repeats(docs: DataFrame, match: int = MATCH, words: int = 0) -> DataFrame:
