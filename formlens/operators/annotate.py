@@ -80,18 +80,24 @@ def unmatched(entities: DataFrame, found: DataFrame, pages: DataFrame, *keys: st
 def chunks(tokens: DataFrame, keys: Sequence[str], size: str, most: int = CHUNK_TOKENS) -> DataFrame:
     """tokens with chunk: words are packed in order until the next would pass most; a first word that passes alone leaves chunk 0 empty.
 
-    A fold over the ordered words of a document, as the running sum starts anew with each chunk.
+    A fold over the ordered words of a document, as the running sum starts anew with each
+    chunk; it keeps the places where chunks start, and the words travel with it. No column may
+    be a map, as words are sorted.
     """
-    arrays = tokens.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("idx", F.col(size).cast("int").alias("n")))).alias("w"))
+    rest = [c for c in tokens.columns if c not in keys]
+    row = F.struct(F.col("idx").alias("__at"), F.col(size).cast("int").alias("__n"), F.struct(*rest).alias("__row"))
+    arrays = tokens.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("__w"))
 
     def step(held, w):
-        over = held["used"] + w["n"] > most
-        chunk = held["chunk"] + F.when(over, 1).otherwise(0)
-        return F.struct(chunk.alias("chunk"), F.when(over, w["n"]).otherwise(held["used"] + w["n"]).alias("used"), F.concat(held["out"], F.array(F.struct(w["idx"].alias("idx"), chunk.alias("chunk")))).alias("out"))
+        over = held["used"] + w["__n"] > most
+        starts = F.when(over, F.concat(held["starts"], F.array(held["pos"]))).otherwise(held["starts"])
+        return F.struct((held["pos"] + 1).alias("pos"), F.when(over, w["__n"]).otherwise(held["used"] + w["__n"]).alias("used"), starts.alias("starts"))
 
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("used"), F.array().cast("array<struct<idx:int,chunk:int>>").alias("out"))
-    dealt = arrays.select(*keys, F.explode(F.aggregate("w", start, step, lambda held: held["out"])).alias("x")).select(*keys, "x.idx", "x.chunk")
-    return tokens.join(dealt, [*keys, "idx"])
+    start = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("used"), F.array().cast("array<int>").alias("starts"))
+    dealt = arrays.withColumn("__starts", F.aggregate("__w", start, step, lambda held: held["starts"]))
+    rows = dealt.select(*keys, "__starts", F.posexplode("__w.__row").alias("__pos", "__row"))
+    chunk = F.size(F.filter("__starts", lambda at: at <= F.col("__pos")))
+    return rows.select(*keys, "__row.*", chunk.alias("chunk"))
 
 
 def first_of_word(subtokens: DataFrame, *keys: str) -> DataFrame:
@@ -99,21 +105,29 @@ def first_of_word(subtokens: DataFrame, *keys: str) -> DataFrame:
     return subtokens.filter("word_id IS NOT NULL").groupBy(*keys, "word_id").agg(F.min_by("pred", "idx").alias("pred"))
 
 
-def spans(tokens: DataFrame, keys: Sequence[str], tag: str = "tag") -> DataFrame:
-    """(keys, category, start, end) of runs of tags: B starts one, and so does I after another class or O."""
+def _runs(tokens: DataFrame, keys: Sequence[str], tags: Sequence[str]) -> DataFrame:
+    """(keys, side, category, start, end) of the runs of each of tags, from one sort; side is the tag's place in tags."""
     order = Window.partitionBy(*keys).orderBy("idx")
-    named = tokens.filter(F.col(tag).isNotNull()).select(*keys, "idx", F.substring(tag, 1, 1).alias("__mark"), F.when(F.col(tag) == "O", "O").otherwise(F.substr(F.col(tag), F.lit(3))).alias("category"))
-    fresh = (F.col("__mark") == "B") | ~F.col("category").eqNullSafe(F.lag("category").over(order))
-    runs = named.withColumn("__run", F.sum(F.when(fresh, 1).otherwise(0)).over(order)).filter(F.col("category") != "O")
-    return runs.groupBy(*keys, "category", "__run").agg(F.min("idx").alias("start"), F.max("idx").alias("end")).drop("__run")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    named = tokens.select(*keys, "idx", *[x for n, tag in enumerate(tags) for x in (F.substring(tag, 1, 1).alias(f"__m{n}"), F.when(F.col(tag) == "O", "O").otherwise(F.substr(F.col(tag), F.lit(3))).alias(f"__c{n}"))])
+    fresh = [F.col(f"__c{n}").isNotNull() & ((F.col(f"__m{n}") == "B") | ~F.col(f"__c{n}").eqNullSafe(F.last(f"__c{n}", ignorenulls=True).over(before))) for n in range(len(tags))]
+    marked = named.select("*", *[F.when(x, 1).otherwise(0).alias(f"__f{n}") for n, x in enumerate(fresh)])
+    runs = marked.select(*keys, "idx", *[F.when(F.col(f"__c{n}") != "O", F.struct(F.lit(n).alias("side"), F.col(f"__c{n}").alias("category"), F.sum(f"__f{n}").over(order).alias("run"))).alias(f"__r{n}") for n in range(len(tags))])
+    rows = runs.select(*keys, "idx", F.explode(F.array_compact(F.array(*[f"__r{n}" for n in range(len(tags))]))).alias("__x")).select(*keys, "idx", "__x.*")
+    return rows.groupBy(*keys, "side", "category", "run").agg(F.min("idx").alias("start"), F.max("idx").alias("end")).drop("run")
+
+
+def spans(tokens: DataFrame, keys: Sequence[str], tag: str = "tag") -> DataFrame:
+    """(keys, category, start, end) of runs of tags: B starts one, and so does I after another class or O; rows without a tag are passed over."""
+    return _runs(tokens, keys, [tag]).drop("side")
 
 
 def sequence_metrics(tokens: DataFrame, keys: Sequence[str]) -> DataFrame:
     """precision, recall, f1 and support of spans by class and for all, from tag and pred_tag."""
     from formlens.functions.text import f1, ratio
 
-    sides = spans(tokens, keys).withColumns({"g": F.lit(1), "p": F.lit(0)}).unionByName(spans(tokens, keys, "pred_tag").withColumns({"g": F.lit(0), "p": F.lit(1)}))
-    both = sides.groupBy(*keys, "category", "start", "end").agg(F.max("g").alias("g"), F.max("p").alias("p"))
+    side = lambda n: F.max((F.col("side") == n).cast("int"))
+    both = _runs(tokens, keys, ["tag", "pred_tag"]).groupBy(*keys, "category", "start", "end").agg(side(0).alias("g"), side(1).alias("p"))
     each = both.groupBy("category").agg(F.sum("g").alias("n_gt"), F.sum("p").alias("n_pred"), F.sum(F.col("g") * F.col("p")).alias("tp"))
     every = each.agg(F.lit("all").alias("category"), *[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("n_gt", "n_pred", "tp")])
     precision, recall = ratio(F.col("tp"), F.col("n_pred")), ratio(F.col("tp"), F.col("n_gt"))

@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formlens.functions.geometry import Box, iou
+from formlens.functions.geometry import Box, iou, touching
 from formlens.functions.text import f1, ratio
 from formlens.operators.evaluate import sided
 
 THRESHOLD = 0.7
 
 
-def matches(gt: DataFrame, pred: DataFrame, keys: Sequence[str], threshold: float = THRESHOLD) -> DataFrame:
+def matches(gt: DataFrame, pred: DataFrame | None, keys: Sequence[str], threshold: float = THRESHOLD) -> DataFrame:
     """n_gt, n_pred and tp by keys: each prediction, in order of id, takes the box that it overlaps most of those left, the first of equal ones.
 
     Keys name the image and the class, so matches never cross images, and the fold runs over the boxes of one of them.
@@ -22,20 +22,21 @@ def matches(gt: DataFrame, pred: DataFrame, keys: Sequence[str], threshold: floa
     arrays = sided(gt, pred, keys).groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(F.col("is_gt"), F.col("e")))).alias("g"), F.sort_array(F.collect_list(F.when(~F.col("is_gt"), F.col("e")))).alias("p"))
     box = lambda e: Box(*[e[x] for x in Box._fields])
 
-    def step(taken, p):
-        def marked(best):
-            hit = best["v"] >= threshold
-            return F.when(hit, F.concat(taken, F.array(-best["i"]))).otherwise(taken)
+    def near(p):
+        """The boxes that overlap p enough, worked out once; p takes one of these or none."""
+        overlap = F.transform("g", lambda g, i: F.struct(F.when(touching(box(p), box(g)), iou(box(p), box(g))).otherwise(0.0).alias("v"), (-i).alias("i")))
+        return F.filter(overlap, lambda x: x["v"] >= threshold)
 
-        overlap = F.transform("g", lambda g, i: F.struct(F.when(F.array_contains(taken, i), F.lit(-1.0)).otherwise(iou(box(p), box(g))).alias("v"), (-i).alias("i")))
-        best = F.array_max(overlap)
-        return F.get(F.transform(F.array(best), marked), F.lit(0))
+    def step(taken, options):
+        left = F.array_max(F.filter(options, lambda x: ~F.array_contains(taken, x["i"])))
+        return F.concat(taken, F.transform(F.array_compact(F.array(left)), lambda x: x["i"]))
 
-    tp = F.when(F.size("g") == 0, F.lit(0)).otherwise(F.size(F.aggregate("p", F.array().cast("array<int>"), step)))
+    arrays = arrays.withColumn("near", F.filter(F.transform("p", near), lambda x: F.size(x) > 0))
+    tp = F.when(F.size("g") == 0, F.lit(0)).otherwise(F.size(F.aggregate("near", F.array().cast("array<int>"), step)))
     return arrays.select(*keys, F.size("g").cast("long").alias("n_gt"), F.size("p").cast("long").alias("n_pred"), tp.cast("long").alias("tp"))
 
 
-def report(gt: DataFrame, pred: DataFrame, image: Sequence[str], pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def report(gt: DataFrame, pred: DataFrame | None, image: Sequence[str], pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """images (of all, those of pages, with boxes or without), instances, precision, recall, f1 and map50 of each class, and of all; map50 is the precision, as there is one threshold, and of all the mean over classes."""
     found = matches(gt, pred, [*image, "category"], threshold)
     each = found.groupBy("category").agg(F.count_if(F.col("n_gt") > 0).alias("images"), F.sum("n_gt").alias("instances"), F.sum("n_pred").alias("n_pred"), F.sum("tp").alias("tp"))

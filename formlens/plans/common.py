@@ -26,10 +26,9 @@ def annotated(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     return tokens.annotated(docs(spark, sf_dir), *more)
 
 
-def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Annotated and predicted entities of all pages."""
-    rows = annotated(spark, sf_dir)
-    return evaluate.entities(rows, KEYS), evaluate.entities(rows, KEYS, "pred_tag", "shift")
+def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, None]:
+    """Annotated and predicted entities of all pages, in one table."""
+    return evaluate.both_sides(annotated(spark, sf_dir), KEYS, shift="shift"), None
 
 
 TOKENS = r"""
