@@ -149,3 +149,24 @@ def test_results_hold_for_any_partitions(spark, parts):
     v = np.array([r.embedding for r in rows.orderBy("vec_id").collect()])
     d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(-1))[np.triu_indices(30, 1)]
     assert embeddings.intradiversity(rows).first().intradiversity == pytest.approx(d.mean(), abs=1e-9)
+
+
+def test_both_sides_in_one_pass_are_the_two(spark):
+    tags = [("B-a", "B-a"), ("O", "I-b"), ("I-b", "O"), ("O", "O"), ("B-b", None), ("B-a", "B-b")]
+    rows = spark.createDataFrame([(d, i, 10 * i, 0, 10 * i + 9, 8, t, p, i % 2) for d in (1, 2) for i, (t, p) in enumerate(tags)], "doc_id int, i int, x0 int, y0 int, x1 int, y1 int, tag string, pred_tag string, shift int")
+    two = evaluate.entities(rows, ["doc_id"]), evaluate.entities(rows, ["doc_id"], "pred_tag", "shift")
+    one_pass = evaluate.both_sides(rows, ["doc_id"], shift="shift")
+    rows_of = lambda df: sorted(map(str, df.collect()))
+    assert rows_of(evaluate.sided(one_pass, None, ["doc_id", "category"])) == rows_of(evaluate.sided(*two, ["doc_id", "category"]))
+    counts = evaluate.nested_counts(*two, ["doc_id"])
+    columns = ["doc_id", "category", "n_gt", "n_pred", "tp", "correct"]
+    apart = evaluate.counted(*two, ["doc_id", "category"]).select(columns).unionByName(evaluate.counted(*two, ["doc_id"]).withColumn("category", F.lit(None).cast("string")).select(columns))
+    assert rows_of(counts.select(columns)) == rows_of(apart)
+    assert evaluate.nested_counts(*[x.filter("doc_id > 9") for x in two], ["doc_id"]).count() == 0
+
+
+def test_runs_pass_over_missing_tags(spark):
+    rows = spark.createDataFrame([(1, 0, "B-a", "I-a"), (1, 1, None, "O"), (1, 2, "I-a", "I-a")], "doc_id int, idx int, tag string, pred_tag string")
+    assert [(r.start, r.end) for r in annotate.spans(rows, ["doc_id"]).collect()] == [(0, 2)]
+    found = {r.category: (r.precision, r.recall, r.support) for r in annotate.sequence_metrics(rows, ["doc_id"]).collect()}
+    assert found == {"a": (0.0, 0.0, 1), "all": (0.0, 0.0, 1)}

@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+import baseline
 from formlens.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -41,3 +42,15 @@ def test_query(spark, tables, name):
     assert sorted(wanted.columns) == columns
     at = [wanted.columns.index(c) for c in columns]
     assert in_order(rows) == in_order([tuple(plain(r[i]) for i in at) for r in wanted.fetchall()])
+
+
+@pytest.mark.parametrize("name", sorted(baseline.PLAIN))
+def test_query_is_the_plain_one(spark, name):
+    columns = baseline.COLUMNS[name]
+    found = [[r[c] for c in columns] for r in catalogue.QUERIES[name](spark, SF).collect()]
+    if name == "emb_intradiversity":
+        assert found[0] == pytest.approx(baseline.PLAIN[name](SF), abs=1e-6)
+        return
+    # sums of shares in another order may differ in the last place shown
+    near = lambda rows: [[pytest.approx(x, abs=2e-6) if isinstance(x, float) else x for x in row] for row in rows]
+    assert sorted(found, key=lambda r: str(r[0])) == near(sorted(map(list, baseline.PLAIN[name](SF)), key=lambda r: str(r[0])))
