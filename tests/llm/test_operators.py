@@ -47,6 +47,8 @@ def folder(spark, rows, tmp_path):
         spark.createDataFrame(more, "doc_id bigint, text string, source string" + EXTRA).repartition(3).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
         spark.createDataFrame([(i, i % 2, 0) for i in range(16)], "doc_id bigint, quality int, toxic int").write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
         spark.createDataFrame([(1, 0, "user", "hi")], "conv_id bigint, turn bigint, role string, text string").write.mode("overwrite").parquet(f"{tmp_path}/conversations.parquet")
+        spark.createDataFrame([(1, "one two words and gehen"), (2, None)], "item_id bigint, text string").write.mode("overwrite").parquet(f"{tmp_path}/benchmark.parquet")
+        spark.createDataFrame([(i, [float(i), 1.0], 1) for i in range(5 if some else 0)], "vec_id bigint, embedding array<float>, label int").write.mode("overwrite").parquet(f"{tmp_path}/embeddings.parquet")
         return str(tmp_path)
 
     return make
@@ -59,7 +61,7 @@ def collected(df):
 
 def by_sql(path, sql):
     con = duckdb.connect()
-    for name in ("documents", "labels", "conversations"):
+    for name in ("documents", "labels", "conversations", "benchmark"):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{path}/{name}.parquet/*.parquet'")
     found = con.sql(sql)
     at = [found.columns.index(c) for c in sorted(found.columns)]
