@@ -59,6 +59,19 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def free(name: str, *tables: DataFrame) -> str:
+    """name, with as many underscores behind it as make it no column of the tables."""
+    taken = {c.lower() for x in tables for c in x.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def nested(docs: DataFrame, *needed: Column | str) -> DataFrame:
+    """docs as one column, row, beside the needed ones, so that an operator's columns can't clash with others of the input; `row.*` has them back."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *needed)
+
+
 def word_count(text: Column) -> Column:
     """Number of words; null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -71,9 +84,10 @@ def join_keyed(rows: DataFrame, keyed: DataFrame, key: str, keyed_rows: int, spr
     copied SALTS times, so that the rows of one key go to SALTS partitions, chosen
     by spread.
     """
-    renamed = keyed.withColumnRenamed(key, "__key")
+    own, salt, by = (free(x, rows, keyed) for x in ("key_of_table", "salt_of_table", "salt_of_row"))
+    renamed = keyed.withColumnRenamed(key, own)
     if keyed_rows <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(renamed), rows[key].eqNullSafe(F.col("__key")), "left").drop("__key")
-    salted = renamed.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("__by", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-    return rows.join(salted, rows[key].eqNullSafe(F.col("__key")) & (F.col("__by") == F.col("__salt")), "left").drop("__key", "__salt", "__by")
+        return rows.join(F.broadcast(renamed), rows[key].eqNullSafe(F.col(own)), "left").drop(own)
+    salted = renamed.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn(by, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    return rows.join(salted, rows[key].eqNullSafe(F.col(own)) & (F.col(by) == F.col(salt)), "left").drop(own, salt, by)

@@ -10,8 +10,9 @@ is split into partitions; rows that are equal in both are interchangeable, and o
 over ALIKE of these overfill a range are they told apart by a row number.
 
 Defined cases: null text has no bytes and size 1, as has the empty text; repeated rows
-are records of their own; a null doc_id is kept; an empty table gives no rows; columns
-named as the added ones are replaced.
+are records of their own; a null doc_id is kept; an empty table gives no rows; where all rows are alike
+one range holds them and is divided; of the input's columns those named size, text_crc32,
+shard and slot are replaced, and all others stay. A task holds one text at a time.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from formlens.llm.common import documents, stored
+from formlens.llm.common import documents, nested, stored
 
 SHARDS = 8
 #: Ranges a shard is laid out from; one task ranks the rows of one range, which Spark sorts outside memory where they are many.
@@ -32,15 +33,16 @@ OVERFULL = 2.0
 #: So many rows that are equal in doc_id and text stay in one piece.
 ALIKE = 64
 UNIT = float(1 << 53)
+ADDED = ("size", "text_crc32", "shard", "slot")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs with size, text_crc32, two keys in [0, 2^53) and an id of the row."""
+    """(row, size, text_crc32, key, second, row_id): docs as one column, two keys in [0, 2^53) and an id of the row."""
     bits = lambda x: F.shiftrightunsigned(x, 11).cast("double")
     text = F.coalesce(F.col("text"), F.lit(""))
-    with_row = docs.withColumn("row_id", F.monotonically_increasing_id())
-    return with_row.select(
-        *[c for c in with_row.columns if c not in ("size", "text_crc32", "key", "second", "shard", "slot")],
+    return nested(docs, "doc_id", "text").select(
+        "row",
+        F.monotonically_increasing_id().alias("row_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         bits(F.xxhash64(text)).alias("key"),
@@ -49,12 +51,16 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def boundaries(records: DataFrame, total: int, ranges: int) -> list[float]:
-    """Quantiles of a size-weighted sample of keys; the sample is about SAMPLE keys a range."""
+    """The inner quantiles of a size-weighted sample of keys, about SAMPLE keys a range; rows that are alike are drawn together, as one row with their number."""
     chance = F.lit(float(SAMPLE * ranges)) * F.col("size") / F.lit(float(total))
-    drawn = records.filter(F.col("second") / F.lit(UNIT) < chance).select("key").orderBy("key").collect()
-    keys = [x.key for x in drawn]
-    picked = sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)} if keys else set())
-    return [float("-inf"), *picked, float("inf")]
+    drawn = sorted((x.key, x.n) for x in records.filter(F.col("second") / F.lit(UNIT) < chance).groupBy("key").agg(F.count(F.lit(1)).alias("n")).collect())
+    all_drawn, upto, picked = sum(n for _, n in drawn), 0, []
+    for key, n in drawn:
+        first = max(1, -(-upto * ranges // all_drawn))  # the first quantile at or behind this key's first row
+        upto += n
+        if first < ranges and all_drawn * first // ranges < upto:
+            picked.append(key)
+    return picked
 
 
 def sharded(records: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -63,7 +69,9 @@ def sharded(records: DataFrame, shards: int = SHARDS) -> DataFrame:
     if not n:
         return records.withColumn("shard", F.lit(0)).withColumn("slot", F.lit(0).cast("long"))
     ranges = shards * RANGES_A_SHARD
-    in_range = Bucketizer(splits=boundaries(records, total, ranges), inputCol="key", outputCol="__range").transform(records)
+    inner = boundaries(records, total, ranges)
+    bucketed = Bucketizer(splits=[float("-inf"), *inner, float("inf")], inputCol="key", outputCol="__range").transform if inner else lambda x: x.withColumn("__range", F.lit(0.0))
+    in_range = bucketed(records)
     mean = total / ranges
     sums = in_range.groupBy("__range").agg(F.sum("size").alias("__bytes"))
     overfull = F.col("__bytes") > F.lit(OVERFULL * mean)
@@ -87,11 +95,12 @@ def sharded(records: DataFrame, shards: int = SHARDS) -> DataFrame:
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
     """Whole records as Parquet, one folder a shard."""
     records = stored(keyed(docs), "shard-records")
-    sharded(records, shards).drop("key", "second", "row_id").write.partitionBy("shard").parquet(path)
+    own = [F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in ADDED]
+    sharded(records, shards).select(*own, *ADDED).write.partitionBy("shard").parquet(path)
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 8 shards of nearly the same bytes."""
-    records = stored(keyed(documents(spark, sf_dir)).select("doc_id", "size", "text_crc32", "key", "second", "row_id"), "shard-keys")
+    records = stored(keyed(documents(spark, sf_dir)).select("row.doc_id", "size", "text_crc32", "key", "second", "row_id"), "shard-keys")
     found = sharded(records)
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
