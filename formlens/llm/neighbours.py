@@ -257,7 +257,8 @@ def index_of(vectors: DataFrame, k: int = NEAREST, shard_bytes: int = SHARD_BYTE
     classes = stored(classes_of(vectors, k), "neighbour-classes")
     shards = classes.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) * F.col("dim") * 8 / F.lit(shard_bytes)).cast("int").alias("shards"))  # a row a length of vectors
     dealt = classes.join(shards, "dim").withColumn("shard", F.pmod(F.xxhash64("embedding"), F.col("shards")).cast("int")).drop("shards")
-    return stored(dealt.groupBy("dim", "shard").applyInArrow(built, INDEX), "neighbour-index")
+    each = max(1, shards.agg(F.coalesce(F.sum("shards"), F.lit(1))).first()[0])  # a task a shard, as building takes time and few bytes
+    return stored(dealt.repartition(each, "dim", "shard").groupBy("dim", "shard").applyInArrow(built, INDEX), "neighbour-index")
 
 
 def searched(index: DataFrame, queries: DataFrame, k: int = NEAREST, held: int = EF_SEARCH, block: int = QUERIES) -> DataFrame:
