@@ -15,8 +15,8 @@ grams of words then, and the windows of words at repeated ones are compared by 1
 
 Defined cases: null and empty text has no bytes and loses none; text under MATCH bytes
 loses none; a text that is there twice loses all; strings never cross texts; an empty table
-gives no rows; columns of the input stay, and those named as the added ones are replaced.
-remove_repeats() keeps the characters that are removed in part, so that text stays text.
+gives no rows; remove_repeats() returns all columns of the input and no others. A task's
+memory is a multiple of the longest text. remove_repeats() keeps the characters that are removed in part, so that text stays text.
 Grams are found by 64-bit hashes, where a chance hit costs time only; windows of different
 shards are compared by 64 bits and the range they fall into by as many others.
 """
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formlens.llm.arrow import chunks, flat_bytes
-from formlens.llm.common import documents, join_keyed, release, stored
+from formlens.llm.common import BROADCAST_ROWS, documents, join_keyed, nested, release, stored
 from formlens.llm.suffixes import BASES, BORDER, GRAM, WORD_GRAM, anchors, common_prefixes, runs, suffix_array, window_hashes
 from formlens.llm.suffixes import words as words_of
 
@@ -69,9 +69,16 @@ def anchored_texts(docs: DataFrame, match: int = MATCH, words: int = 0) -> DataF
 
     least = min(match, 2 * words - 1) if words else match  # a word takes a byte, and a space stands between two
     long = docs.filter(F.octet_length("text") >= least).select(text_key().alias("key"), "text")
-    found = long.mapInArrow(run, "key binary, packed binary, " + ", ".join(f"{x} array<{'int' if 'places' in x else 'bigint'}>" for x in names))
-    once = found.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first(F.struct("packed", *names)).alias("x"))
-    return once.select("key", "copies", "x.*")
+    made = lambda some: some.mapInArrow(run, "key binary, packed binary, " + ", ".join(f"{x} array<{'int' if 'places' in x else 'bigint'}>" for x in names))
+
+    def once(found: DataFrame) -> DataFrame:
+        return found.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first(F.struct("packed", *names)).alias("x")).select("key", "copies", "x.*")
+
+    several = stored(long.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "span-copies")
+    if several.count() > BROADCAST_ROWS:
+        return once(made(long))
+    alone = made(long.join(F.broadcast(several), "key", "left_anti")).select("key", F.lit(1).cast("long").alias("copies"), "packed", *names)  # texts without copies aren't shuffled
+    return alone.unionByName(once(made(long.join(F.broadcast(several), "key", "left_semi"))))
 
 
 def in_several(found: DataFrame, values: list[str], name: str) -> DataFrame:
@@ -346,11 +353,18 @@ def verdicts(docs: DataFrame, match: int = MATCH, shard_bytes: int = SHARD_BYTES
 
 def remove_repeats(docs: DataFrame, match: int = MATCH, words: int = 0) -> DataFrame:
     """docs without the repeated bytes, and the repeated runs of words if asked for, in text, and with n_chars, where it is a column, of what is left."""
-    found = verdicts(docs, match, with_text=True, words=words).select(F.col("key").alias("__key"), F.col("kept_text").alias("__kept_text"))
-    keyed = docs.withColumn("__key", text_key()).join(found, "__key", "left")
-    text = F.when(F.col("text").isNotNull(), F.coalesce("__kept_text", "text"))
-    changed = {"text": text} | ({"n_chars": F.when(F.col("__kept_text").isNull(), F.col("n_chars")).otherwise(F.char_length("__kept_text").cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
-    return keyed.withColumns(changed).select(*docs.columns)
+    found = verdicts(docs, match, with_text=True, words=words).select("key", "kept_text")
+    keyed = nested(docs, text_key().alias("key")).filter("row.text IS NOT NULL")
+    changed = {"text": F.col("kept_text")} | ({"n_chars": F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    with_kept = lambda rows: [changed[c].alias(c) if c in changed else F.col(f"row.`{c}`") for c in rows]
+    if found.count() > BROADCAST_ROWS:
+        joined = keyed.join(found, "key", "left")
+        parts = [joined.filter("kept_text IS NULL").select("row.*"), joined.filter("kept_text IS NOT NULL").select(*with_kept(docs.columns))]
+    else:  # only the rows that change are shuffled, and without their text
+        few = F.broadcast(found.select("key"))
+        slim = keyed.join(few, "key", "left_semi").select("key", F.col("row").dropFields("text").alias("row"))
+        parts = [keyed.join(few, "key", "left_anti").select("row.*"), slim.join(found, "key").select(*with_kept(docs.columns))]
+    return docs.filter("text IS NULL").unionByName(parts[0]).unionByName(parts[1])
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
