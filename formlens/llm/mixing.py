@@ -1,7 +1,9 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 Sizes are aggregated per source, targets are filled up by weight below a cap, and each
-document is emitted floor(rate) times plus once more with the probability of the rest.
+document is emitted floor(rate) times plus once more with the probability of the rest. The
+level to which targets are filled comes from running sums over the sources in the order in
+which they become full, so it takes one pass over them, however many there are.
 
 Defined cases: null or wordless text has size 0 and is taken 0 words; a null source is
 a source of its own, last in order; an empty table gives an empty result; rows with the
@@ -17,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from formlens.llm.common import documents, join_keyed, stored, word_count
+from formlens.llm.common import documents, free, join_keyed, stored, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -25,38 +27,38 @@ MOST = 2.0
 SEED = "mix-1"
 
 
-def ranked(totals: DataFrame) -> DataFrame:
-    """totals with `rank`, 0 for the first source by code point, null last.
+def with_sums_ahead(sources: DataFrame, order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:
+    """sources with the sum of each of sums over all rows that stand before in order.
 
-    Ranges of sources are ranked apart and shifted by the number of sources in the
-    ranges before, so no task needs all of them.
+    Ranges of rows are summed apart and shifted by the sums of the ranges before, so no
+    task needs all of them.
     """
-    ranges = stored(totals.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("__range", F.spark_partition_id()), "mix-sources")
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    shift = ranges.groupBy("__range").agg(F.count(F.lit(1)).alias("__n")).select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
-    within = Window.partitionBy("__range").orderBy(F.col("source").asc_nulls_last())
-    return ranges.join(F.broadcast(shift), "__range").withColumn("rank", F.row_number().over(within) - 1 + F.col("__shift")).drop("__range", "__shift")
+    ranges = stored(sources.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "mix-ranges")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    by_range = ranges.groupBy("range").agg(*[F.sum(x).alias(f"all_{k}") for k, x in sums.items()])
+    shift = by_range.select("range", *[F.coalesce(F.sum(f"all_{k}").over(before), F.lit(0)).alias(f"before_{k}") for k in sums])
+    within = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    added = {k: F.coalesce(F.sum(x).over(within), F.lit(0)) + F.col(f"before_{k}") for k, x in sums.items()}
+    return ranges.join(F.broadcast(shift), "range").withColumns(added).select(*sources.columns, *sums)
 
 
 def targets(totals: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> tuple[DataFrame, int]:
     """(source, source_size, target) and the number of sources.
 
     A source gets its weight's part of share * all sizes, most * its own size at most;
-    what is above that is shared among the others by weight until none is above. Each
-    round is one sum over the sources.
+    what is above that is shared among the others by weight until none is above. With the
+    sources in the order in which they become full, the level is the largest of what is
+    left for a source and those behind it, a unit of their weight.
     """
+    by_name = F.col("source").asc_nulls_last()
     weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.col("rank"), F.lit(len(weights))).cast("int"))
-    weighted = stored(ranked(totals).select("source", "source_size", weight.alias("weight")), "mix-weights")
-    n, total, weight_sum = weighted.agg(F.count(F.lit(1)), F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
-    budget, level = share * total, share * total / weight_sum if weight_sum else 0.0
-    cap = F.lit(most) * F.col("source_size")
-    while n:
-        full = cap <= F.lit(level) * F.col("weight")
-        used, free = weighted.agg(F.sum(F.when(full, cap).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))).first()
-        if not free or (budget - used) / free <= level:
-            break
-        level = (budget - used) / free
-    return weighted.select("source", "source_size", F.least(cap, F.lit(level) * F.col("weight")).alias("target")), n
+    cap = F.lit(float(most)) * F.col("source_size")
+    ranked = with_sums_ahead(totals, [by_name], {"rank": F.lit(1)}).select("source", "source_size", weight.alias("weight"), cap.alias("cap"))
+    filled = stored(with_sums_ahead(ranked, [F.col("cap") / F.col("weight"), by_name], {"used": F.col("cap"), "behind": F.col("weight")}), "mix-weights")
+    n, total, weight_sum = filled.agg(F.count(F.lit(1)), F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    left = (F.lit(share * total) - F.col("used")) / (F.lit(float(weight_sum)) - F.col("behind"))
+    level = filled.agg(F.coalesce(F.max(left), F.lit(0.0))).first()[0]
+    return filled.select("source", "source_size", F.least("cap", F.lit(level) * F.col("weight")).alias("target")), n
 
 
 def draw_key() -> Column:
@@ -67,27 +69,29 @@ def draw_key() -> Column:
 def mix(docs: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """docs with size, source_size, target, rate and copies (how often the mix holds the document).
 
-    totals: (source, source_size) if they are known already; docs then has size and __draw
+    totals: (source, source_size) if they are known already; docs then has size and draw
     (of draw_key()) and needs no text.
     """
-    sized = docs.withColumn("size", word_count(F.col("text"))).withColumn("__draw", draw_key()) if totals is None else docs
+    drawn_by = "draw" if totals is not None else free("draw", docs)
+    sized = docs.withColumn("size", word_count(F.col("text"))).withColumn(drawn_by, draw_key()) if totals is None else docs
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size")) if totals is None else totals
     by_source, n = targets(totals)
     clean = sized.drop("source_size", "target", "rate", "copies")
     rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}:"), F.col("__draw")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    rated = join_keyed(clean, by_source, "source", n, F.col("__draw")).withColumn("rate", rate)
-    return rated.withColumn("copies", (F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long")).drop("__draw")
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}:"), F.col(drawn_by)).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    rated = join_keyed(clean, by_source, "source", n, F.col(drawn_by)).withColumn("rate", rate)
+    return rated.withColumn("copies", (F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long")).drop(drawn_by)
 
 
 def emitted(mixed: DataFrame) -> DataFrame:
     """Each row of mix() as often as its copies say."""
-    return mixed.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).drop("__copy")
+    copy = free("copy", mixed)
+    return mixed.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).drop(copy)
 
 
 def op1_mixing_sources_to_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents: doc_id, size, source_size, target, taken."""
-    sized = stored(documents(spark, sf_dir).select("doc_id", "source", word_count(F.col("text")).alias("size"), draw_key().alias("__draw")), "mix-sizes")
+    sized = stored(documents(spark, sf_dir).select("doc_id", "source", word_count(F.col("text")).alias("size"), draw_key().alias("draw")), "mix-sizes")
     mixed = mix(sized, sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 

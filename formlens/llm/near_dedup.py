@@ -11,8 +11,9 @@ the links that join components, so no list of pairs is ever made and no link is
 Defined cases: null, empty and wordless text has an empty set, is linked with nothing
 and is its own component; fewer than SHINGLE words are one shingle; repeated rows are
 copies of each other; of null doc_ids a component takes none unless it has no other; an
-empty table gives no rows; columns named as the added ones are replaced. Shingles are
-compared by 64-bit hashes, sets by 128-bit ones. There are as many bands as a pair at the
+empty table gives no rows; near_duplicates() returns no other columns of the input, and
+one_of_each() all of them and no others. Shingles are compared by 64-bit hashes, sets by
+128-bit ones. A task's memory is a multiple of the longest text. There are as many bands as a pair at the
 threshold misses with a probability of MISS: 25 at 85 percent, 37 at 80.
 """
 
@@ -20,17 +21,18 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from formlens.llm.arrow import chunks
-from formlens.llm.common import BROADCAST_ROWS, documents, release, stored
+from formlens.llm.common import BROADCAST_ROWS, documents, nested, release, stored
 from formlens.llm.components import connected
 
 SHINGLE = 5
@@ -253,18 +255,24 @@ def near_duplicates(docs: DataFrame, percent: float = THRESHOLD) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, percent: float = THRESHOLD) -> DataFrame:
-    """The rows of docs of which near_duplicates() keeps one a component."""
+    """One row of docs a component of near_duplicates(), and each row without words.
+
+    Of rows that are equal in doc_id and text, that with the least hash of all columns
+    stays; rows that are equal in that too are the same but for columns that can't be hashed.
+    """
     found, made_from = judged(docs, percent)
     found = stored(found, "near-verdicts")
     release(*made_from)
-    dropped = found.filter("NOT kept").select("doc_id", "text_key").distinct()
-    few = dropped.count() <= BROADCAST_ROWS
-    keyed = docs.withColumn("__text_key", text_key())
-    same = lambda x: keyed["doc_id"].eqNullSafe(x["doc_id"]) & keyed["__text_key"].eqNullSafe(x["text_key"])
-    kept = keyed.join(F.broadcast(dropped) if few else dropped, same(dropped), "left_anti")
-    if not found.filter("kept AND n_shingles > 0").groupBy("doc_id", "text_key").count().filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "__text_key"])
-    return kept.drop("__text_key")
+    by_row = found.filter("n_shingles > 0").groupBy("doc_id", "text_key").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    marks = stored(by_row.filter("NOT kept OR n > 1").select(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_text"), "kept"), "near-marks")
+    release(found)
+    few = marks.count() <= BROADCAST_ROWS
+    hashed = [F.col(f"`{x.name}`") for x in docs.schema if not re.search("map|variant", x.dataType.simpleString())]
+    keyed = nested(docs, "doc_id", text_key().alias("text_key"), F.xxhash64(*hashed).alias("hash"))
+    joined = lambda some, how: keyed.join(F.broadcast(some) if few else some, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_text")), how)
+    first = F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy("hash"))
+    of_several = joined(marks.filter("kept"), "left_semi").withColumn("place", first).filter("place = 1")
+    return joined(marks, "left_anti").select("row.*").unionByName(of_several.select("row.*"))
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formlens.llm.common import SPACES, documents, join_keyed, stored
+from formlens.llm.common import SPACES, documents, free, join_keyed, stored
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -72,19 +72,20 @@ def counts(docs: DataFrame) -> DataFrame:
     dup_lines = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
     words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+", -1), "")
     of_words = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), repeat_words(w).alias("r")))
+    w = free("of_words", docs)
     return (
         docs.drop(*FEATURES)
-        .withColumn("__w", of_words)
+        .withColumn(w, of_words)
         .withColumns(
             {
-                "n_words": F.col("__w.n"),
+                "n_words": F.col(f"{w}.n"),
                 "word_chars": F.char_length(F.translate(text, SPACES, "")).cast("long"),
                 "n_symbols": (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long"),
                 "n_dup_lines": dup_lines.cast("long"),
-                "n_repeat_words": F.col("__w.r"),
+                "n_repeat_words": F.col(f"{w}.r"),
             }
         )
-        .drop("__w")
+        .drop(w)
     )
 
 

@@ -76,6 +76,14 @@ def test_an_empty_table_gives_no_rows(spark, folder, name):
     assert registry.QUERIES[name](spark, path).count() == 0
 
 
+def test_mix_is_its_sql(spark, folder, rows):
+    path = folder([r for r in rows if r[0] is not None] + [(100 + i, "w " * (i % 50), f"site{i % 37}") for i in range(400)])
+    found = {tuple(r) for r in mixing.op1_mixing_sources_to_target_weights(spark, path).collect()}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet/*.parquet'")
+    assert found == set(con.sql(mixing.OP1_SQL).fetchall())
+
+
 def test_mix(spark, folder, rows):
     found = [r.asDict() for r in mixing.op1_mixing_sources_to_target_weights(spark, folder()).collect()]
     assert len(found) == len(rows)
@@ -314,12 +322,47 @@ def test_rows_alike_in_all_are_spread_over_shards(spark, folder):
     assert all(r["last"] == r["rows"] - 1 for r in found)
 
 
+@pytest.mark.parametrize("text", ["a", "the same in all", "", None, "another text 5"])
+def test_shards_of_a_table_of_alike_rows(spark, folder, text):
+    path = folder([(None, text, "s")])
+    spark.range(60_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text")).write.mode("overwrite").parquet(f"{path}/documents.parquet")
+    found = sharding.op9_sharding(spark, path).groupBy("shard").agg(F.count("*").alias("rows"), F.countDistinct("slot").alias("slots"), F.max("slot").alias("last")).collect()
+    assert len(found) == 8 and sum(r.rows for r in found) == 60_000 and max(r.rows for r in found) < 1.1 * min(r.rows for r in found)
+    assert all(r["rows"] == r.slots == r["last"] + 1 for r in found)
+    one = sharding.op9_sharding(spark, folder([(5, text, "s")])).collect()
+    assert [(r.size, r.slot) for r in one] == [(len((text or "").encode()) + 1, 0)]
+
+
+def test_boundaries_are_the_quantiles_of_the_drawn_keys(spark):
+    rng = random.Random(2)
+    rows = [(float(rng.randrange(40)), float(rng.randrange(2**53)), rng.randrange(1, 50)) for _ in range(600)] + [(7.0, 3.0, 20)] * 500
+    total, ranges = sum(r[2] for r in rows), 24
+    keys = sorted(k for k, second, size in rows if second / 2**53 < sharding.SAMPLE * ranges * size / total)
+    records = spark.createDataFrame(rows, "key double, second double, size long")
+    assert sharding.boundaries(records, total, ranges) == sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)})
+
+
+def test_slots_follow_the_keys(spark, folder):
+    """A restatement: rows by key fill the shards one after the other, each as far as its part of the bytes goes."""
+    path = folder([(i, f"text {i} " * (1 + i % 17), "s") for i in range(4000)])
+    records = sharding.keyed(spark.read.parquet(f"{path}/documents.parquet")).cache()
+    found = sharding.sharded(records, 5).orderBy("shard", "slot").collect()
+    total, upto = sum(r["size"] for r in found), 0
+    assert sum(a.key > b.key for a, b in zip(found, found[1:], strict=False)) < 40  # divided ranges only
+    for r in found:
+        assert abs(r.shard - upto * 5 / total) < 1 + 5 * 3 / (5 * sharding.RANGES_A_SHARD) * 5
+        upto += r["size"]
+    for s in range(5):
+        assert [r.slot for r in found if r.shard == s] == list(range(sum(r.shard == s for r in found)))
+
+
 def test_written_shards_replace_clashing_columns(spark, docs, tmp_path):
-    table = docs([(i, f"text {i}", "s", 7, 7, 7) for i in range(50)], ", shard int, slot int, size int")
+    table = docs([(i, f"text {i}", "s", 7, 7, 7, i, -i, i * i, 5, 6) for i in range(50)], ", shard int, slot int, size int, key int, second int, row_id int, row int, __range int")
     sharding.write_shards(table, f"{tmp_path}/out", 3)
     found = spark.read.parquet(f"{tmp_path}/out")
     assert found.count() == 50 and sorted(r.shard for r in found.select("shard").distinct().collect()) == [0, 1, 2]
     assert {r.slot for r in found.filter("shard = 0").collect()} == set(range(found.filter("shard = 0").count()))
+    assert all((r.key, r.second, r.row_id, r["row"], r["__range"]) == (r.doc_id, -r.doc_id, r.doc_id**2, 5, 6) for r in found.collect())
 
 
 @pytest.mark.parametrize("block", [near_dedup.BLOCK, 2])
