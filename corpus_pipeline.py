@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formlens.llm import byte_bpe, mixing, near_dedup, quality, span_dedup
-from formlens.llm.common import documents, stored
+from formlens.llm.common import documents, nested, stored
 
 #: SQL can't express near dedup, repeated spans and byte-pair merges; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -22,7 +22,7 @@ PASSAGE_WORDS = 51
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the rules and their host's verdict keep; counts are made once for the hosts and once for the documents, and no text is stored for it."""
-    return quality.judged(quality.counts(docs)).filter("kept").select(*docs.columns)
+    return quality.judged(quality.counts(nested(docs, "doc_id", "text", "source"))).filter("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,12 +37,12 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    return mixing.emitted(mixing.mix(docs)).select(*docs.columns)
+    return mixing.emitted(mixing.mix(nested(docs, "doc_id", "text", "source"))).select("row.*")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids, n_tokens, and digests of the ids and of the bytes they decode to."""
-    found = byte_bpe.round_trip(docs)
+    found = byte_bpe.round_trip(docs.select("doc_id", "lang", "source", "text"))
     return found.select("doc_id", "lang", "source", "ids", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
