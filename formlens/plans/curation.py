@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from formlens.functions import text as tx
 from formlens.functions.geometry import Box
-from formlens.operators import annotate, convert, curate, tokens
+from formlens.operators import annotate, convert, curate, subtokens, tokens
 from formlens.plans.common import KEYS, annotated, docs, sql, table
 
 
@@ -71,6 +71,38 @@ def token_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotate.chunks(rows, KEYS, "n", 200).groupBy(*KEYS, "chunk").agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.sum("n").alias("n_tokens"))
 
 
+def piece_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words packed into chunks by the number of pieces that they are cut into."""
+    rows = subtokens.sizes(annotated(spark, sf_dir)).select(*KEYS, "idx", "n_pieces")
+    return annotate.chunks(rows, KEYS, "n_pieces", 500).groupBy(*KEYS, "chunk").agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.sum("n_pieces").alias("n_pieces"))
+
+
+def subtoken_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces and their labels by page; a prediction has the word's label on the first piece and O on the others, of which those that are ignored count nowhere."""
+    words = annotated(spark, sf_dir)
+    rows = subtokens.encoded(words.withColumn("both", F.concat_ws(" ", "tag", "pred_tag")), KEYS, "both", tags=[f"{a} {b}" for a in tx.TAGS for b in tx.TAGS])
+    held = F.col("label") != subtokens.IGNORE
+    n = len(tx.TAGS)
+    gold, pred = F.floor(F.col("label") / n), F.col("label") % n
+    pairs = rows.select(*KEYS, "word_id", "piece", F.when(held, gold).otherwise(subtokens.IGNORE).alias("label"), F.when(held, pred).otherwise(tx.TAGS.index("O")).alias("pred"))
+    sums = [
+        F.countDistinct("word_id").alias("n_words"),
+        F.count(F.lit(1)).alias("n_pieces"),
+        F.count_if(F.col("label") == subtokens.IGNORE).alias("n_ignored"),
+        F.coalesce(F.sum(F.when(F.col("label") != subtokens.IGNORE, F.col("label") * (F.col("word_id") + 1))), F.lit(0)).cast("long").alias("label_sum"),
+        F.count_if((F.col("label") != subtokens.IGNORE) & (F.col("label") == F.col("pred"))).alias("n_hits"),
+    ]
+    return pairs.groupBy(*KEYS).agg(*sums)
+
+
+def subtoken_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted labels of pieces back as tags of words: the first piece's counts."""
+    rows = subtokens.encoded(annotated(spark, sf_dir), KEYS, "pred_tag")
+    pred = F.when(F.col("label") == subtokens.IGNORE, F.lit(tx.TAGS.index("O"))).otherwise(F.col("label"))
+    found = annotate.first_of_word(rows.withColumn("pred", pred), *KEYS)
+    return found.select(*KEYS, "word_id", subtokens.label_name(F.col("pred")).alias("tag"))
+
+
 def first_subtoken(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each word is cut into pieces of three letters, of which the first one's prediction counts."""
     rows = annotated(spark, sf_dir).select(*KEYS, F.col("idx").alias("word_id"), "pred_tag", F.explode(F.sequence(F.lit(0), F.floor((F.length("token") - 1) / 3))).alias("k"))
@@ -162,7 +194,7 @@ def dedup_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        curate_tags, label_allowlist, missing_classes, label_list, quality_report, split_route, split_by_layout, token_arrays, token_chunks, first_subtoken, entity_match, pii_regex,
+        curate_tags, label_allowlist, missing_classes, label_list, quality_report, split_route, split_by_layout, token_arrays, token_chunks, piece_chunks, subtoken_labels, subtoken_words, first_subtoken, entity_match, pii_regex,
         detector_map, answer_join, ocr_words, yolo_to_voc, labelstudio_abs, text_labels, labelled_semi, labelled_anti, dedup_text,
     )
 }
@@ -207,6 +239,20 @@ packed AS (
   FROM packed p JOIN sized s ON s.doc_id = p.doc_id AND s.page = p.page AND s.idx = p.idx + 1
 )
 SELECT doc_id, page, chunk, min(idx) AS "first", max(idx) AS "last", sum(n)::BIGINT AS n_tokens FROM packed GROUP BY doc_id, page, chunk""",
+    "piece_chunks": f"WITH RECURSIVE {sql('')[5:]}"
+    + f""", sized AS (SELECT doc_id, page, idx, len(regexp_extract_all(token, '{subtokens.pattern()}')) AS n FROM tokens),
+packed AS (
+  SELECT doc_id, page, idx, n, CASE WHEN n > 500 THEN 1 ELSE 0 END AS chunk, n AS used FROM sized WHERE idx = 0
+  UNION ALL
+  SELECT s.doc_id, s.page, s.idx, s.n, CASE WHEN p.used + s.n > 500 THEN p.chunk + 1 ELSE p.chunk END, CASE WHEN p.used + s.n > 500 THEN s.n ELSE p.used + s.n END
+  FROM packed p JOIN sized s ON s.doc_id = p.doc_id AND s.page = p.page AND s.idx = p.idx + 1
+)
+SELECT doc_id, page, chunk, min(idx) AS "first", max(idx) AS "last", sum(n)::BIGINT AS n_pieces FROM packed GROUP BY doc_id, page, chunk""",
+    "subtoken_labels": sql(
+        f", cut AS (SELECT doc_id, page, idx, list_position({tx.TAGS}, tag) - 1 AS label, tag = pred_tag AS hit, len(regexp_extract_all(token, '{subtokens.pattern()}')) AS n FROM annotated)"
+        " SELECT doc_id, page, count(*) AS n_words, sum(n)::BIGINT AS n_pieces, sum(n - 1)::BIGINT AS n_ignored, sum(label * (idx + 1))::BIGINT AS label_sum, count(*) FILTER (hit) AS n_hits FROM cut GROUP BY doc_id, page"
+    ),
+    "subtoken_words": sql(" SELECT doc_id, page, idx AS word_id, pred_tag AS tag FROM annotated"),
     "first_subtoken": sql(" SELECT doc_id, page, idx AS word_id, pred_tag AS pred FROM annotated"),
     "entity_match": sql(
         ", lined AS (SELECT doc_id, page, idx, lower(token) AS t, token, lead(lower(token)) OVER (PARTITION BY doc_id, page ORDER BY idx) AS t2, x0, y0, x1, y1, idx // 8 AS line FROM tokens),"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from formlens.functions import text as tx
 from formlens.functions.geometry import Box, cell, clipped, iou, rotated
-from formlens.operators import annotate, convert, curate, detect, diversity, evaluate
+from formlens.operators import annotate, convert, curate, detect, diversity, evaluate, links, subtokens
 from formlens.sources import readers, sinks
 
 BOXES = "doc_id int, category string, id int, x0 int, y0 int, x1 int, y1 int"
@@ -76,6 +76,61 @@ def test_matches_take_each_box_once(spark):
     assert {r.doc_id: r.tp for r in found} == want
 
 
+@pytest.mark.parametrize("tile", [detect.TILE, 7])
+def test_pooled_matches_are_the_plain_loop(spark, tile):
+    """Over all images, with equal boxes, ties between different ones, boxes that are turned round, and classes of one side only."""
+    rng = random.Random(9)
+    spot = lambda: rng.choice([(0, 0), (0, 1), (1, 0), (2, 1), (1, 2), (40, 40), (41, 40), (40, 42), (300, 7)])
+    rows = lambda n, classes: [(rng.randrange(9), rng.choice(classes), i, x, y, x + rng.choice([10, 12]), y + rng.choice([10, 12])) for i in range(n) for x, y in [spot()]] + [(3, "a", 900, 9, 9, 5, 5)]
+    g, p = rows(300, "abc"), rows(320, "abd")
+    area = lambda a: (a[5] - a[3]) * (a[6] - a[4])
+    common = lambda a, b: max(0, min(a[5], b[5]) - max(a[3], b[3])) * max(0, min(a[6], b[6]) - max(a[4], b[4]))
+    want = {}
+    for c in "abcd":
+        left, mine, tp = sorted(x for x in g if x[1] == c), sorted(x for x in p if x[1] == c), 0
+        sizes = len(left), len(mine)
+        for y in mine:
+            best = max(left, key=lambda x: common(x, y) / u if (u := area(x) + area(y) - common(x, y)) else 0.0, default=None)
+            if best and common(best, y) and common(best, y) / (area(best) + area(y) - common(best, y)) >= 0.6:
+                left.remove(best)
+                tp += 1
+        want[c] = (*sizes, tp)
+    found = detect.pooled(spark.createDataFrame(g, BOXES).repartition(3), spark.createDataFrame(p, BOXES).repartition(3), ["doc_id"], 0.6, tile).collect()
+    assert {r.category: (r.n_gt, r.n_pred, r.tp) for r in found} == want and want["a"][2] > 20
+    with pytest.raises(ValueError):
+        detect.pooled(spark.createDataFrame(g, BOXES), None, ["doc_id"], 0.0)
+
+
+def test_components_of_long_chains(spark):
+    rows = [(i, i + 1) for i in range(100, 160)] + [(7, 7), (9, 5), (5, 3)]
+    found = {r.node: r.root for r in links.components(spark.createDataFrame(rows, "u long, v long")).collect()}
+    assert found == {i: 100 for i in range(100, 161)} | {7: 7, 9: 3, 5: 3, 3: 3}
+
+
+def test_pieces_are_the_longest_that_fit(spark):
+    rng = random.Random(1)
+    vocabulary = ["ab", "abc", "bca", "c", "ü", "a.b", "(("]
+    words = ["".join(rng.choice("abcüx.(🙂\n") for _ in range(rng.randrange(14))) for _ in range(60)] + ["", None]
+
+    def cut(word):
+        out = []
+        while word:
+            out.append(max((p for p in [*vocabulary, word[0]] if word.startswith(p)), key=len))
+            word = word[len(out[-1]) :]
+        return out
+
+    table = spark.createDataFrame([(1, i, w, "B-vin" if i % 3 else "B-other") for i, w in enumerate(words)], "doc int, idx int, token string, tag string")
+    rows = subtokens.encoded(table, ["doc"], "tag", vocabulary)
+    found = {}
+    for r in rows.orderBy("idx").collect():
+        found.setdefault(r.word_id, []).append((r.piece, r.label))
+    assert {i: [x for x, _ in v] for i, v in found.items()} == {i: cut(w) for i, w in enumerate(words) if w}
+    assert all(v[0][1] == (tx.TAGS.index("B-vin") if i % 3 else subtokens.IGNORE) and {x for _, x in v[1:]} <= {subtokens.IGNORE} for i, v in found.items())
+    assert subtokens.counted(rows).count() == sum(bool(w) and i % 3 > 0 for i, w in enumerate(words))
+    assert {r.n_pieces for r in subtokens.sizes(table).filter("coalesce(token, '') = ''").collect()} == {0}
+    assert spark.range(1).select(subtokens.label_name(F.lit(-100)), subtokens.label_name(F.lit(99)), subtokens.label_name(subtokens.label_id(F.lit("I-address")))).first()[:] == (None, None, "I-address")
+
+
 def test_chunks_leave_an_empty_one_before_a_large_word(spark):
     rows = spark.createDataFrame([(1, i, n) for i, n in enumerate([7, 2, 2, 1, 5])], "doc_id int, idx int, n int")
     assert [r.chunk for r in annotate.chunks(rows, ["doc_id"], "n", 5).orderBy("idx").collect()] == [1, 2, 2, 2, 3]
