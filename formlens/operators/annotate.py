@@ -14,17 +14,10 @@ CHUNK_TOKENS = 500
 
 
 def matched(words: DataFrame, entities: DataFrame, *keys: str) -> DataFrame:
-    """(keys, entity_type, value, first, idx): where the words of an entity stand in a row, letter case aside.
+    """(keys, entity_type, value, first, idx): where the words of an entity stand in a row, letter case aside; equal entities of a page once."""
+    from formlens.operators.labels import occurrences
 
-    The first word of the entity is joined to the page's words, and the rest is compared in the array of the words that follow.
-    """
-    longest = entities.select(F.coalesce(F.max(F.size(F.split("value", " "))), F.lit(1))).first()[0]
-    order = Window.partitionBy(*keys).orderBy("idx")
-    ahead = order.rowsBetween(0, longest - 1)
-    rows = words.select(*keys, "idx", F.lower("token").alias("__first"), F.collect_list(F.struct(F.lower("token").alias("t"), F.col("idx").alias("at"))).over(ahead).alias("__next"))
-    wanted = entities.withColumn("__words", F.split(F.lower("value"), " ")).withColumn("__first", F.get("__words", F.lit(0)))
-    found = rows.join(wanted, [*keys, "__first"]).filter(F.slice(F.col("__next.t"), F.lit(1), F.size("__words")) == F.col("__words"))
-    return found.select(*keys, "entity_type", "value", F.col("idx").alias("first"), F.explode(F.slice(F.col("__next.at"), F.lit(1), F.size("__words"))).alias("idx"))
+    return occurrences(words, entities.withColumn("pos", F.lit(0)), *keys).drop("pos")
 
 
 def entity_boxes(found: DataFrame, words: DataFrame, *keys: str) -> DataFrame:

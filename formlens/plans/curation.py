@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formlens.functions import text as tx
-from formlens.functions.geometry import Box
-from formlens.operators import annotate, convert, curate, subtokens, tokens
+from formlens.functions.geometry import PAGE_HEIGHT, PAGE_WIDTH, Box
+from formlens.operators import annotate, convert, curate, labels, subtokens, tokens
 from formlens.plans.common import KEYS, annotated, docs, sql, table
 
 
@@ -110,6 +110,18 @@ def first_subtoken(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotate.first_of_word(rows, *KEYS)
 
 
+def label_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label files of all pages: the first words are a name, a company that overlaps it and another name; every other page has two images, of which the last is a signature."""
+    words = tokens.laid_out(docs(spark, sf_dir))
+    heads = words.filter("idx < 3").groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("idx", "token"))).alias("x")).filter(F.size("x") == 3)
+    pair = lambda a, b: F.concat_ws(" ", F.col("x.token")[a], F.col("x.token")[b])
+    entity = lambda pos, kind, value: F.struct(F.lit(pos).alias("pos"), F.lit(kind).alias("entity_type"), value.alias("value"))
+    wanted = heads.select(*KEYS, F.explode(F.array(entity(0, "first_name", pair(0, 1)), entity(1, "company_name", pair(1, 2)), entity(2, "last_name", F.col("x.token")[2]))).alias("e")).select(*KEYS, "e.*")
+    images = words.filter("idx = 0 AND page % 2 = 0").select(*KEYS, F.explode(F.array(F.lit(0), F.lit(1))).alias("pos"))
+    images = images.select(*KEYS, "pos", (F.lit(10) + F.col("pos") * 690).alias("x0"), F.lit(1040).alias("y0"), (F.lit(100) + F.col("pos") * 690).alias("x1"), F.lit(1060).alias("y1"))
+    return labels.label_rows(words, wanted, images, (PAGE_WIDTH, PAGE_HEIGHT), *KEYS)
+
+
 def entity_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first two words of each page, as an entity, wherever they stand on it."""
     words = tokens.laid_out(docs(spark, sf_dir)).withColumns({"block": F.lit(0), "line": F.floor(F.col("idx") / tokens.COLUMNS).cast("int")})
@@ -194,7 +206,7 @@ def dedup_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        curate_tags, label_allowlist, missing_classes, label_list, quality_report, split_route, split_by_layout, token_arrays, token_chunks, piece_chunks, subtoken_labels, subtoken_words, first_subtoken, entity_match, pii_regex,
+        curate_tags, label_allowlist, missing_classes, label_list, quality_report, split_route, split_by_layout, token_arrays, token_chunks, piece_chunks, subtoken_labels, subtoken_words, label_files, first_subtoken, entity_match, pii_regex,
         detector_map, answer_join, ocr_words, yolo_to_voc, labelstudio_abs, text_labels, labelled_semi, labelled_anti, dedup_text,
     )
 }
@@ -254,6 +266,16 @@ SELECT doc_id, page, chunk, min(idx) AS "first", max(idx) AS "last", sum(n)::BIG
     ),
     "subtoken_words": sql(" SELECT doc_id, page, idx AS word_id, pred_tag AS tag FROM annotated"),
     "first_subtoken": sql(" SELECT doc_id, page, idx AS word_id, pred_tag AS pred FROM annotated"),
+    "label_files": sql(
+        ", lined AS (SELECT doc_id, page, idx, token, lower(token) AS t, lead(lower(token)) OVER (PARTITION BY doc_id, page ORDER BY idx) AS t2, x0, y0, x1, y1 FROM tokens),"
+        " heads AS (SELECT a.doc_id, a.page, a.t AS w0, b.t AS w1, c.t AS w2 FROM lined a JOIN lined b ON a.doc_id = b.doc_id AND a.page = b.page AND a.idx = 0 AND b.idx = 1 JOIN lined c ON a.doc_id = c.doc_id AND a.page = c.page AND c.idx = 2),"
+        " hits AS (SELECT l.doc_id, l.page, l.idx AS first, unnest([0, 1, 2]) AS pos, unnest([t = w0 AND t2 = w1, t = w1 AND t2 = w2, t = w2]) AS hit FROM lined l JOIN heads h ON l.doc_id = h.doc_id AND l.page = h.page),"
+        " covered AS (SELECT doc_id, page, pos, first, first + unnest(CASE WHEN pos = 2 THEN [0] ELSE [0, 1] END) AS idx FROM hits WHERE hit),"
+        " picked AS (SELECT doc_id, page, idx, max(pos * 1000 + first) FILTER (pos = 1) % 1000 AS company, min(pos * 1000 + first) FILTER (pos <> 1) % 1000 AS named FROM covered GROUP BY doc_id, page, idx)"
+        " SELECT l.doc_id, l.page, l.idx, token, x0, y0, x1, y1, CASE WHEN company = l.idx THEN 'B-company_name' WHEN company IS NOT NULL THEN 'I-company_name' WHEN named = l.idx THEN 'B-full_name' WHEN named IS NOT NULL THEN 'I-full_name' ELSE 'O' END AS tag"
+        " FROM lined l LEFT JOIN picked p ON l.doc_id = p.doc_id AND l.page = p.page AND l.idx = p.idx"
+        " UNION ALL SELECT doc_id, page, (max(idx) + 1)::INT, '[SIGNATURE]', 700, 1040, 769, 1047, 'B-signature' FROM tokens WHERE page % 2 = 0 GROUP BY doc_id, page"
+    ),
     "entity_match": sql(
         ", lined AS (SELECT doc_id, page, idx, lower(token) AS t, token, lead(lower(token)) OVER (PARTITION BY doc_id, page ORDER BY idx) AS t2, x0, y0, x1, y1, idx // 8 AS line FROM tokens),"
         " wanted AS (SELECT a.doc_id, a.page, a.t, b.t AS t2, a.token || ' ' || b.token AS value FROM lined a JOIN lined b ON a.doc_id = b.doc_id AND a.page = b.page AND a.idx = 0 AND b.idx = 1),"

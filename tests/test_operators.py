@@ -1,13 +1,14 @@
 """Operators on hand-made boxes, tags and texts."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from formlens.functions import text as tx
 from formlens.functions.geometry import Box, cell, clipped, iou, rotated
-from formlens.operators import annotate, convert, curate, detect, diversity, evaluate, links, subtokens
+from formlens.operators import annotate, convert, curate, detect, diversity, evaluate, labels, links, subtokens
 from formlens.sources import readers, sinks
 
 BOXES = "doc_id int, category string, id int, x0 int, y0 int, x1 int, y1 int"
@@ -153,6 +154,56 @@ def test_matching_and_tagging(spark):
     assert [(r.value, r.in_text) for r in annotate.unmatched(entities, found, pages, "doc_id").collect()] == [("Nowhere", True)]
 
 
+def alike_by_hand(a, b):
+    """The rule for words that are alike, by plain loops."""
+    if a == b:
+        return True
+    a, b = (re.sub(r"[^\w]", " ", x.lower()).strip() for x in (a, b))
+    if not a or not b or 2 * max(len(a), len(b)) >= 3 * min(len(a), len(b)):
+        return False
+    x, y = set(a.split()), set(b.split())
+    row = [0] * (len(b) + 1)
+    for c in a:
+        new = [0]
+        for j, d in enumerate(b):
+            new.append(max(new[-1], row[j + 1], row[j] + (c == d)))
+        row = new
+    return x <= y or y <= x or 1000 * (len(a) + len(b) - 2 * row[-1]) < 55 * (len(a) + len(b))
+
+
+def test_fuzzy_occurrences_are_those_of_plain_loops(spark):
+    rng = random.Random(2)
+    stems = ["Smith", "smith,", "O'Neil", "oneil", "12-34", "34-12", "12", "-", "Donaudampfschifffahrt", "Donaudampfschiffahrt", "Donaudampfschifffahrd", "internationalisation", "internationalization", "ínternationalizations", "a_b", "a-b", "Müller-Lüdenscheidt", "Mueller-Luedenscheidt", "x" * 60, "x" * 57 + "y", "x" * 57 + "yyy", "abcdefghijklmnopqrstuvwxyzabcdefghijklmn", "abcdefghijklmnopqrtsuvwxyzabcdefghijklmn"]
+    pages = {p: [rng.choice(stems) for _ in range(40)] for p in range(6)}
+    entities = [(p, pos, rng.choice(["first_name", "address", "company_name"]), " ".join(rng.choice(stems) for _ in range(rng.choice([1, 1, 2, 2, 3])))) for p in pages for pos in range(12)] + [(0, 50, "address", "  "), (1, 51, "address", None)]
+    want = set()
+    for p, pos, kind, value in entities:
+        parts = (value or "").split()
+        for first in range(len(pages[p]) - len(parts) + 1):
+            if parts and all(alike_by_hand(t, w) for t, w in zip(pages[p][first:], parts, strict=False)):
+                want |= {(p, pos, kind, first, first + k) for k in range(len(parts))}
+    words = spark.createDataFrame([(p, i, t) for p, ts in pages.items() for i, t in enumerate(ts)], "page int, idx int, token string")
+    wanted = spark.createDataFrame(entities, "page int, pos int, entity_type string, value string")
+    found = labels.occurrences(words, wanted, "page", fuzzy=True)
+    assert {(r.page, r.pos, r.entity_type, r.first, r.idx) for r in found.collect()} == want and len(want) > 100
+
+    tags = {}
+    for p, pos, kind, first, idx in sorted(want):  # in the order of entities, names never write over others
+        tag = ("B-" if first == idx else "I-") + ("full_name" if kind == "first_name" else kind)
+        if kind != "first_name" or (p, idx) not in tags:
+            tags[p, idx] = tag
+    assert {(r.page, r.idx): r.tag for r in labels.tags_in_order(found, "page").collect()} == tags
+
+
+def test_label_rows_have_signatures_and_clipped_boxes(spark):
+    words = spark.createDataFrame([(1, 0, "Ada", 5, 5, 30, 20), (1, 1, "Stone", 90, 5, 130, 20), (2, 0, "none", 0, 0, 9, 9)], "page int, idx int, token string, x0 int, y0 int, x1 int, y1 int")
+    entities = spark.createDataFrame([(1, 0, "first_name", "ada"), (1, 1, "last_name", "ada stone"), (3, 0, "address", "x")], "page int, pos int, entity_type string, value string")
+    images = spark.createDataFrame([(1, 0, 1, 1, 2, 2), (1, 3, 10, 90, 50, 140)], "page int, pos int, x0 int, y0 int, x1 int, y1 int")
+    found = [tuple(r) for r in labels.label_rows(words, entities, images, (100, 100), "page").orderBy("page", "idx").collect()]
+    assert found == [(1, 0, "Ada", 5, 5, 30, 20, "B-full_name"), (1, 1, "Stone", 90, 5, 99, 20, "I-full_name"), (1, 2, "[SIGNATURE]", 10, 90, 50, 99, "B-signature"), (2, 0, "none", 0, 0, 9, 9, "O")]
+    assert labels.label_rows(words, entities.limit(0), None, (100, 100), "page").filter("tag <> 'O'").isEmpty()
+
+
 def test_signature_rows_are_dropped_and_counted_anew(spark):
     rows = spark.createDataFrame([(1, 0, "B-signature"), (1, 1, "B-iban"), (1, 2, "I-dates")], "doc_id int, idx int, tag string")
     assert [(r.idx, r.tag) for r in curate.curated(curate.without_signatures(rows, "doc_id")).orderBy("idx").collect()] == [(0, "B-payment_information"), (1, "O")]
