@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from formlens.functions import text as tx
 from formlens.functions.geometry import PAGE_HEIGHT, PAGE_WIDTH, Box
-from formlens.operators import annotate, convert, curate, labels, subtokens, tokens
+from formlens.operators import annotate, checked, convert, curate, labels, subtokens, tokens
 from formlens.plans.common import KEYS, annotated, docs, sql, table
 
 
@@ -110,6 +110,22 @@ def first_subtoken(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotate.first_of_word(rows, *KEYS)
 
 
+def file_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many label files, a page each, break each rule; annotators' tags still hold signatures, and long pages end below 1000."""
+    rows = annotated(spark, sf_dir).withColumn("tag", _raw_tag())
+    return checked.rule_counts(tokens.collected(rows, *KEYS), checked.file_rules())
+
+
+def equal_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many documents of each language as the rarest has."""
+    return checked.equal_samples(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id")
+
+
+def samples_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40 documents of each source, or all where there are fewer."""
+    return checked.exact_samples(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 40, "by-source")
+
+
 def label_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label files of all pages: the first words are a name, a company that overlaps it and another name; every other page has two images, of which the last is a signature."""
     words = tokens.laid_out(docs(spark, sf_dir))
@@ -206,7 +222,7 @@ def dedup_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        curate_tags, label_allowlist, missing_classes, label_list, quality_report, split_route, split_by_layout, token_arrays, token_chunks, piece_chunks, subtoken_labels, subtoken_words, label_files, first_subtoken, entity_match, pii_regex,
+        curate_tags, label_allowlist, missing_classes, label_list, quality_report, split_route, split_by_layout, token_arrays, token_chunks, piece_chunks, subtoken_labels, subtoken_words, label_files, file_rules, equal_samples, samples_by_source, first_subtoken, entity_match, pii_regex,
         detector_map, answer_join, ocr_words, yolo_to_voc, labelstudio_abs, text_labels, labelled_semi, labelled_anti, dedup_text,
     )
 }
@@ -266,6 +282,13 @@ SELECT doc_id, page, chunk, min(idx) AS "first", max(idx) AS "last", sum(n)::BIG
     ),
     "subtoken_words": sql(" SELECT doc_id, page, idx AS word_id, pred_tag AS tag FROM annotated"),
     "first_subtoken": sql(" SELECT doc_id, page, idx AS word_id, pred_tag AS pred FROM annotated"),
+    "file_rules": sql(
+        ", raw AS (SELECT doc_id, page, x0, y0, x1, y1, CASE r WHEN 5 THEN 'B-iban' WHEN 4 THEN 'B-credit_card_number' WHEN 10 THEN 'B-signature' WHEN 11 THEN 'I-dates' ELSE tag END AS t FROM annotated),"
+        " files AS (SELECT doc_id, page, bool_or(t = 'B-signature') AS signed, bool_or(t LIKE '%-middle_name') AS named, max(greatest(x1, y1)) > 1000 OR min(least(x0, y0)) < 0 AS outside FROM raw GROUP BY doc_id, page)"
+        " SELECT unnest(['equal_lengths', 'no_signature', 'no_middle_name', 'boxes_inside']) AS rule, count(*) AS n_files, unnest([0, count(*) FILTER (signed), count(*) FILTER (named), count(*) FILTER (outside)])::BIGINT AS n_failed FROM files"
+    ),
+    "equal_samples": "SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY substr(md5('sample:' || doc_id), 1, 8), doc_id) AS place FROM documents) WHERE place <= (SELECT min(n) FROM (SELECT count(*) AS n FROM documents GROUP BY lang))",
+    "samples_by_source": "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY substr(md5('by-source:' || doc_id), 1, 8), doc_id) AS place FROM documents) WHERE place <= 40",
     "label_files": sql(
         ", lined AS (SELECT doc_id, page, idx, token, lower(token) AS t, lead(lower(token)) OVER (PARTITION BY doc_id, page ORDER BY idx) AS t2, x0, y0, x1, y1 FROM tokens),"
         " heads AS (SELECT a.doc_id, a.page, a.t AS w0, b.t AS w1, c.t AS w2 FROM lined a JOIN lined b ON a.doc_id = b.doc_id AND a.page = b.page AND a.idx = 0 AND b.idx = 1 JOIN lined c ON a.doc_id = c.doc_id AND a.page = c.page AND c.idx = 2),"

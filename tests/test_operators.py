@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from formlens.functions import text as tx
 from formlens.functions.geometry import Box, cell, clipped, iou, rotated
-from formlens.operators import annotate, convert, curate, detect, diversity, evaluate, labels, links, subtokens
+from formlens.operators import annotate, checked, convert, curate, detect, diversity, evaluate, labels, links, subtokens
 from formlens.sources import readers, sinks
 
 BOXES = "doc_id int, category string, id int, x0 int, y0 int, x1 int, y1 int"
@@ -195,6 +195,57 @@ def test_fuzzy_occurrences_are_those_of_plain_loops(spark):
     assert {(r.page, r.idx): r.tag for r in labels.tags_in_order(found, "page").collect()} == tags
 
 
+def test_joins_that_check(spark):
+    files = lambda *ids: spark.createDataFrame([(i, None) for i in ids], "doc int, more string")
+    boxes = lambda *ids: spark.createDataFrame([(i, i * 10) for i in ids], "doc int, x int")
+    ids = lambda df: sorted(r.doc for r in df.collect())
+    gt, pred = checked.evaluated(boxes(1, 1, 2, 3), boxes(2, 3, 3), files(1, 2, 3, 4), files(2, 3, 4), "doc")
+    assert (ids(gt), ids(pred)) == ([2, 3], [2, 3, 3])
+    gt, pred = checked.evaluated(boxes(1, 2), boxes(2, 9), files(1, 2), files(2, 9), "doc")
+    with pytest.raises(Exception, match="no annotation for 9"):
+        pred.collect()
+    gt, pred = checked.evaluated(boxes(1, 2), boxes(2, 9), files(1, 2), files(2, 9), "doc", led_by="gt")
+    assert (ids(gt), ids(pred)) == ([2], [2])
+    assert checked.required(files(None, 1), files(1, None), "doc").columns == ["doc", "more"]
+    with pytest.raises(Exception, match="for null"):
+        checked.required(files(None), files(1), "doc").collect()
+    assert {tuple(r) for r in checked.missing_files(files(1, 2), files(2, 3, 3), "doc").collect()} == {(1, "label"), (3, "image")}
+    with pytest.raises(ValueError):
+        checked.evaluated(gt, pred, gt, pred, "doc", led_by="both")
+
+
+def test_file_rules_count_and_stop(spark):
+    good = (1, ["a", "b"], [[0, 0, 5, 5], [0, 0, 1000, 1000]], ["O", "B-vin"])
+    bad = [(2, ["a"], [], ["O"]), (3, ["a"], [[0, 0, 5, 5]], ["B-signature"]), (4, ["a"], [[0, 0, 5, 5]], ["I-middle_name"]), (5, ["a"], [[0, 0, 5, 1001]], [None]), (6, ["a"], [[9, 0, 5, 5]], ["O"]), (7, ["a"], [[0, 0, 5]], ["O"]), (8, None, None, None), (9, [], [], [])]
+    table = spark.createDataFrame([good, *bad], "doc int, tokens array<string>, bboxes array<array<int>>, ner_tags array<string>")
+    want = {"equal_lengths": 2, "no_signature": 2, "no_middle_name": 2, "boxes_inside": 4}
+    rules = checked.file_rules()
+    assert {r.rule: r.n_failed for r in checked.rule_counts(table, rules).collect()} == want
+    rows, seen = checked.observed(table, rules)
+    rows.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"n_files": 9} | want
+    assert checked.strict(table.filter("doc IN (1, 9)"), rules, "doc").count() == 2
+    with pytest.raises(Exception, match="no_signature is broken by 3"):
+        checked.strict(table.filter("doc IN (1, 3)"), rules, "doc").collect()
+
+
+@pytest.mark.parametrize("parts", [checked.HASH_PARTS, 3])
+def test_samples_have_the_exact_size(spark, parts, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(checked, "HASH_PARTS", parts)
+    rows = [(i, "hot" if i % 3 else None if i % 5 else "few", i % 7) for i in range(900)]
+    table = spark.createDataFrame(rows, "id int, kind string, part int").repartition(5)
+    by = lambda i: (hashlib.md5(f"s:{i}".encode()).hexdigest()[:8], i)
+    for size in (0, 50, 60, 5000):
+        want = {i for kind in ("hot", None, "few") for i in sorted((i for i, k, _ in rows if k == kind), key=by)[:size]}
+        found = checked.exact_samples(table, "kind", "id", size, "s")
+        assert found.columns == table.columns and {r.id for r in found.collect()} == want
+        assert all(r.part == r.id % 7 for r in found.collect())
+    assert {r["count"] for r in checked.equal_samples(table, "kind", "id").groupBy("kind").count().collect()} == {60}
+    assert checked.equal_samples(table.limit(0), "kind", "id").count() == 0
+
+
 def test_label_rows_have_signatures_and_clipped_boxes(spark):
     words = spark.createDataFrame([(1, 0, "Ada", 5, 5, 30, 20), (1, 1, "Stone", 90, 5, 130, 20), (2, 0, "none", 0, 0, 9, 9)], "page int, idx int, token string, x0 int, y0 int, x1 int, y1 int")
     entities = spark.createDataFrame([(1, 0, "first_name", "ada"), (1, 1, "last_name", "ada stone"), (3, 0, "address", "x")], "page int, pos int, entity_type string, value string")
