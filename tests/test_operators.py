@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from formlens.functions import text as tx
 from formlens.functions.geometry import Box, cell, clipped, iou, rotated
-from formlens.operators import annotate, checked, convert, curate, detect, diversity, evaluate, labels, links, subtokens
+from formlens.operators import annotate, checked, convert, curate, detect, diversity, embeddings, evaluate, labels, links, subtokens
 from formlens.sources import readers, sinks
 
 BOXES = "doc_id int, category string, id int, x0 int, y0 int, x1 int, y1 int"
@@ -195,6 +195,19 @@ def test_fuzzy_occurrences_are_those_of_plain_loops(spark):
     assert {(r.page, r.idx): r.tag for r in labels.tags_in_order(found, "page").collect()} == tags
 
 
+@pytest.mark.parametrize("kind", ["spread", "equal", "ties", "one"])
+def test_quantiles_of_all_pairs_are_exact(spark, kind):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = {"spread": rng.normal(size=(90, 5)) * 10.0 ** rng.integers(-8, 9, (90, 1)), "equal": np.ones((30, 3)), "ties": rng.integers(0, 2, (60, 3)).astype(float), "one": np.ones((1, 3))}[kind]
+    table = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(rows)], "vec_id long, label int, embedding array<double>")
+    shares = (0.0, 0.25, 0.5, 0.75, 0.9, 1.0)
+    pairs = [np.sqrt(((a - b) ** 2).sum()) for i, a in enumerate(rows) for b in rows[:i]]
+    want = [pytest.approx(x, rel=1e-12) for x in np.quantile(pairs, shares)] if pairs else [None] * 6
+    assert embeddings.pair_quantiles(table, shares) == want
+
+
 def test_joins_that_check(spark):
     files = lambda *ids: spark.createDataFrame([(i, None) for i in ids], "doc int, more string")
     boxes = lambda *ids: spark.createDataFrame([(i, i * 10) for i in ids], "doc int, x int")
