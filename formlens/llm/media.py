@@ -13,6 +13,7 @@ the added ones are replaced. A stream that is not baseline JPEG raises ValueErro
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -100,7 +101,8 @@ class Picture:
         if stream[:2] != b"\xff\xd8":
             raise ValueError("no SOI marker")
         self.tables: dict[int, bytes] = {}
-        self.interval, self.note, at = 0, b"", 2
+        self.steps: dict[int, int] = {}  # of each quantisation table, that of DC values
+        self.interval, self.held, at = 0, None, 2  # held: the blocks of a payload, where a note of this module tells them
         while True:
             if at + 4 > len(stream) or stream[at] != 0xFF:
                 raise ValueError("a marker is missing")
@@ -110,6 +112,13 @@ class Picture:
             if marker == 0xC0:
                 self.height, self.width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
                 self.components = {body[6 + 3 * i]: (body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15) for i in range(body[5])}
+                self.step_of = {body[6 + 3 * i]: body[8 + 3 * i] for i in range(body[5])}
+            elif marker == 0xDB:
+                k = 0
+                while k < len(body):
+                    wide = body[k] >> 4
+                    self.steps[body[k] & 15] = int.from_bytes(body[k + 1 : k + 2 + wide], "big")
+                    k += 1 + 64 * (1 + wide)
             elif marker == 0xC4:
                 k = 0
                 while k < len(body):
@@ -119,7 +128,8 @@ class Picture:
             elif marker == 0xDD:
                 self.interval = int.from_bytes(body[:2], "big")
             elif marker == 0xFE:
-                self.note = body
+                told = re.fullmatch(rb"payload-blocks=(\d{1,9})", body)
+                self.held = int(told[1]) if told else self.held
             elif marker == 0xDA:
                 self.use = {body[1 + 2 * i]: (body[2 + 2 * i] >> 4, 0x10 | body[2 + 2 * i] & 15) for i in range(body[0])}
                 break
@@ -245,8 +255,8 @@ def decode(pictures: list[Picture]) -> list[dict[int, np.ndarray]]:
 
 def thumbnail(picture: Picture, blocks: np.ndarray) -> np.ndarray:
     """The luminance at an eighth of the size, from DC coefficients alone."""
-    h, v = next(iter(picture.components.values()))
-    dc = blocks[:, 0].reshape(picture.down, picture.across, v, h).transpose(0, 2, 1, 3).reshape(picture.down * v, picture.across * h)
+    first, (h, v) = next(iter(picture.components.items()))
+    dc = (blocks[:, 0].astype(np.int64) * picture.steps.get(picture.step_of[first], 1)).reshape(picture.down, picture.across, v, h).transpose(0, 2, 1, 3).reshape(picture.down * v, picture.across * h)
     return np.clip(dc // 8 + 128, 0, 255).astype(np.uint8)
 
 
@@ -280,7 +290,7 @@ def media_features(media: DataFrame) -> DataFrame:
             rows = []
             for p, found in zip(pictures, decode(pictures), strict=True):
                 luma = next(iter(found.values()))
-                held = int(p.note.partition(b"=")[2] or len(luma))
+                held = len(luma) if p.held is None else p.held
                 payload = (luma[:held] - SHIFT).astype(np.uint8).tobytes()
                 thumb = thumbnail(p, luma)
                 rows.append((p.width, p.height, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), f"{p.width}x{p.height}:{average_hash(thumb)}:{zlib.crc32(thumb.tobytes()):08x}"))

@@ -134,6 +134,27 @@ def test_media(spark, folder):
     assert found[5].media_sha256 == found[6].media_sha256 != found[7].media_sha256
 
 
+@pytest.mark.parametrize("wide", [False, True])
+def test_pictures_of_others_have_their_quantiser_and_comments(spark, wide):
+    data = bytes(random.Random(6).randrange(256) for _ in range(64 * 40))
+    own = media.jpegs(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0]
+    table = bytes([0x10]) + b"\x01\x2c" + b"\0\1" * 63 if wide else bytes([0, 3, *[1] * 63])
+    step = 300 if wide else 3
+    other = own.replace(media.QUANT, media.segment(0xDB, bytes([1, *[9] * 64]) + table) + media.segment(0xFE, b"a=b") + media.segment(0xFE, b"=") + media.segment(0xE0, b"JFIF"))
+    noteless = other.replace(media.segment(0xFE, b"payload-blocks=40"), b"")
+    assert len({own, other, noteless}) == 3
+    pictures = [media.Picture(x) for x in (own, other, noteless)]
+    blocks = [next(iter(x.values())) for x in media.decode(pictures)]
+    thumbs = [media.thumbnail(p, b) for p, b in zip(pictures, blocks, strict=True)]
+    plain = blocks[0][:, 0].astype(int).reshape(thumbs[0].shape)
+    assert (thumbs[0] == np.clip(plain // 8 + 128, 0, 255)).all()
+    assert (thumbs[1] == np.clip(plain * step // 8 + 128, 0, 255)).all() and (thumbs[1] == thumbs[2]).all()
+    table = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate((own, other, noteless))], "doc_id int, media binary")
+    found = media.media_features(table).orderBy("doc_id").collect()
+    assert {r.payload_sha256 for r in found} == {hashlib.sha256(data).hexdigest()}
+    assert found[0].feature != found[1].feature == found[2].feature
+
+
 def test_classifier_separates_held_out_rows(spark, folder):
     found = classifier.op5_quality_classifier(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").filter("held_out").collect()
     good, bad = ([r.score for r in found if r.quality == q] for q in (1, 0))
