@@ -3,8 +3,9 @@
 The encoding of a prefix ends in the one piece that follows rightly on the encoding of
 what is before it, so the count at a prefix is the count before that piece plus one.
 Texts fall into units that no piece crosses; the distinct units of a slice are worked on
-in step, position by position. The counts answer how many tokens any prefix has and
-which prefix fits a budget, without encoding again.
+in step, position by position. What is stored of a text is by how much each character
+changes the count (prefix_steps); running sums of it answer how many tokens any prefix
+has and which prefix fits a budget, without encoding again.
 
 Defined cases: null and empty text have no tokens; a character that no piece has counts
 as its UTF-8 bytes; strings of special tokens are plain text; repeated rows stay; an
@@ -24,14 +25,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from formlens.llm.arrow import chunks, with_columns
-from formlens.llm.common import documents
+from formlens.llm.arrow import chunks, flat_bytes, with_columns
+from formlens.llm.common import documents, stored
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 LIMIT = 4096
 CHUNK = 4 << 20
 SPACE = "▁"
-#: Units of more characters are worked on alone.
+#: Units worked on in step: at most so many, of so many characters in all once the shorter are padded; fewer than FEW units of over LONG characters are quicker one by one.
+TOGETHER = 20_000
+CELLS = 2 << 20
+FEW = 128
 LONG = 48
 #: Verdicts on pairs of pieces that a worker keeps; they are worked out anew beyond it.
 KEPT_PAIRS = 1 << 21
@@ -169,85 +173,98 @@ def units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return split.flatten(), split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
 
 
-def counted(texts: pa.Array, model: str, limit: int, every: bool) -> tuple[list[int], list[int], list[list[int]] | None]:
-    """Of each text: tokens, characters of the longest prefix of limit tokens at most, and the count at every prefix if asked for."""
-    of = pieces(model)
-    texts = pc.fill_null(texts, "")
+def unit_steps(words: list[str], of: Pieces) -> list[np.ndarray]:
+    """Of each unit, by how much each of its characters changes the count."""
+    sizes = np.array([len(x) for x in words], np.int64)
+    out: list[np.ndarray] = [np.empty(0, np.int16)] * len(words)
+    order = np.argsort(sizes, kind="stable").tolist()
+    at = 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and end - at < TOGETHER and (end - at + 1) * int(sizes[order[end]]) <= CELLS:
+            end += 1
+        some, at = order[at:end], end
+        if sizes[some[-1]] <= LONG or len(some) >= FEW:
+            steps = np.diff(of.counts([words[k] for k in some]), axis=0).T
+            for row, k in enumerate(some):
+                out[k] = narrow(steps[row, : sizes[k]])
+        else:
+            for k in some:
+                out[k] = narrow(np.diff(of.long_counts(words[k])))
+    return out
+
+
+def narrow(steps: np.ndarray) -> np.ndarray:
+    """The steps in two bytes each; one character would have to change the count by more than 32,767 for an error."""
+    small = steps.astype(np.int16)
+    if (small != steps).any():
+        raise OverflowError("a character changes the count of tokens by more than two bytes hold")
+    return small
+
+
+def text_steps(texts: pa.Array, model: str) -> list[bytes]:
+    """Of each text, by how much each of its characters changes the count, as little-endian 16-bit integers."""
     flat, offsets = units(texts)
     coded = flat.dictionary_encode()
-    words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-    sizes = np.array([len(x) for x in words])
-    tables: dict[int, np.ndarray] = {}
-    totals = np.zeros(len(words), np.int64)
-    short = np.flatnonzero(sizes <= LONG)
-    short = short[np.argsort(sizes[short], kind="stable")]
-    for some in np.array_split(short, max(1, len(short) // 20_000)):
-        table = of.counts([words[k] for k in some.tolist()])
-        totals[some] = table[-1]
-        for column, k in enumerate(some.tolist()):
-            tables[k] = (table, column)
-    for k in np.flatnonzero(sizes > LONG).tolist():
-        table = of.long_counts(words[k])[:, None]
-        totals[k], tables[k] = table[-1, 0], (table, 0)
-    # a unit that doesn't begin with a space follows on a line feed or NUL, one token; the first has the space that encoding adds
-    starts = pc.starts_with(coded.dictionary, SPACE).to_numpy(zero_copy_only=False)
-    breaks = (~starts[index]).astype(np.int64)
-    originals = [x.as_py() for x in texts] if every else None
-    tokens, fits, all_counts = [], [], [] if every else None
-    chars = pc.utf8_length(texts).to_numpy()
-    for row, (a, b) in enumerate(zip(offsets, offsets[1:], strict=False)):
-        if not chars[row]:
-            tokens.append(0)
-            fits.append(0)
-            if every:
-                all_counts.append([0])
+    steps, index = unit_steps(coded.dictionary.to_pylist(), pieces(model)), coded.indices.to_numpy()
+    # a unit that doesn't begin with a space follows on a line feed or NUL, a token and a character of its own
+    breaks = ~pc.starts_with(coded.dictionary, SPACE).to_numpy(zero_copy_only=False)
+    after = [np.concatenate([[1], x]).astype(np.int16) if own else x for x, own in zip(steps, breaks.tolist(), strict=True)]
+    empty = pc.equal(pc.fill_null(pc.binary_length(texts), 0), 0).to_pylist()
+    out = []
+    for row, (a, b) in enumerate(zip(offsets.tolist(), offsets.tolist()[1:], strict=False)):
+        if empty[row]:
+            out.append(b"")
             continue
-        own = index[a:b]
-        lead = breaks[a:b].copy()
-        lead[0] = 0
-        ends = np.cumsum(totals[own] + lead)
-        tokens.append(int(ends[-1]))
-        if every:
-            out, before = [0], 0
-            for j, k in enumerate(own.tolist()):
-                table, column = tables[k]
-                if j and lead[j]:
-                    before += 1
-                    out.append(before)
-                out += (before + table[(2 if j == 0 else 1) : sizes[k] + 1, column]).tolist()
-                before += int(totals[k])
-            assert len(out) == len(originals[row]) + 1
-            all_counts.append(out)
-        if ends[-1] <= limit:
-            fits.append(int(chars[row]))
-            continue
-        j = int(np.searchsorted(ends, limit, side="right"))
-        before = int(ends[j - 1]) if j else 0
-        held = int((sizes[own[:j]] + lead[:j]).sum()) - 1 if j else -1
-        if j and lead[j]:
-            before, held = before + 1, held + 1
-        table, column = tables[int(own[j])]
-        fit = np.flatnonzero(before + table[: sizes[own[j]] + 1, column] <= limit)
-        fits.append(max(0, held + int(fit[-1])) if len(fit) else max(0, held - 1))
-    return tokens, fits, all_counts
+        own = index[a:b].tolist()
+        whole = np.concatenate([steps[own[0]], *(after[k] for k in own[1:])])
+        whole[1] += whole[0]  # the first unit has a space before it that is no character of the text
+        out.append(whole[1:].astype("<i2").tobytes())
+    return out
 
 
-def token_counts(docs: DataFrame, model: str = MODEL, limit: int = LIMIT, every: bool = False) -> DataFrame:
-    """docs with n_tokens, over_limit, fits_chars (of the longest prefix with limit tokens at most) and, if asked for, prefix_tokens: the count at every prefix."""
-    names = ["n_tokens", "over_limit", "fits_chars", *["prefix_tokens"] * every]
-    docs = docs.drop(*names)
+def prefix_steps(docs: DataFrame, model: str = MODEL, keep_text: bool = True) -> DataFrame:
+    """docs with prefix_steps: by how much each character of text changes the count, two bytes each; their running sums are the counts at every prefix. Without text, if it is not to be kept."""
+    docs = docs.drop("prefix_steps")
+    dropped = () if keep_text else ("text",)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", CHUNK):
-            tokens, fits, all_counts = counted(batch.column("text"), model, limit, every)
-            added = {"n_tokens": pa.array(tokens, pa.int64()), "over_limit": pa.array([n > limit for n in tokens]), "fits_chars": pa.array(fits, pa.int64())}
-            yield with_columns(batch, added | ({"prefix_tokens": pa.array(all_counts, pa.list_(pa.int32()))} if every else {}))
+            yield with_columns(batch, {"prefix_steps": pa.array(text_steps(batch.column("text"), model), pa.binary())}, dropped)
+
+    added = StructType.fromDDL("prefix_steps binary")
+    return docs.mapInArrow(run, StructType([*docs.drop(*dropped).schema.fields, *added.fields]))
 
-    added = StructType.fromDDL("n_tokens bigint, over_limit boolean, fits_chars bigint" + ", prefix_tokens array<int>" * every)
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *added.fields]))
+
+def answered(stepped: DataFrame, limit: int = LIMIT, every: bool = False) -> DataFrame:
+    """What prefix_steps tell, no text encoded again: n_tokens, over_limit, fits_chars (of the longest prefix with limit tokens at most), half_tokens (of the first half of the characters, rounded down) and, if asked for, prefix_tokens: the count at every prefix. Null steps are those of an empty text."""
+    names = ["n_tokens", "over_limit", "fits_chars", "half_tokens", *["prefix_tokens"] * every]
+    stepped = stepped.drop(*names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "prefix_steps", 2 * CHUNK):
+            steps, ends = flat_bytes(batch.column("prefix_steps"))
+            steps, ends = np.frombuffer(steps.tobytes(), "<i2"), ends // 2
+            rows = [np.cumsum(np.concatenate([[0], steps[a:b]]), dtype=np.int64) for a, b in zip(ends, ends[1:], strict=False)]
+            added = {
+                "n_tokens": pa.array([int(x[-1]) for x in rows], pa.int64()),
+                "over_limit": pa.array([bool(x[-1] > limit) for x in rows]),
+                "fits_chars": pa.array([int(np.flatnonzero(x <= limit)[-1]) for x in rows], pa.int64()),
+                "half_tokens": pa.array([int(x[(len(x) - 1) // 2]) for x in rows], pa.int64()),
+            }
+            yield with_columns(batch, added | ({"prefix_tokens": pa.array(rows, pa.list_(pa.int32()))} if every else {}))
+
+    added = StructType.fromDDL("n_tokens bigint, over_limit boolean, fits_chars bigint, half_tokens bigint" + ", prefix_tokens array<int>" * every)
+    return stepped.mapInArrow(run, StructType([*stepped.schema.fields, *added.fields]))
+
+
+def token_counts(docs: DataFrame, model: str = MODEL, limit: int = LIMIT, every: bool = False) -> DataFrame:
+    """docs with the answers of answered()."""
+    return answered(prefix_steps(docs, model), limit, every).drop("prefix_steps")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of every document."""
+    """Token counts of every document, from a stored table of the counts at every prefix."""
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
-    return token_counts(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit", "fits_chars")
+    steps = stored(prefix_steps(docs, keep_text=False), "op6-prefixes")
+    return answered(steps).select("doc_id", "n_bytes", "n_tokens", "over_limit", "fits_chars", "half_tokens")

@@ -9,6 +9,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -225,6 +226,31 @@ def test_token_counts_at_every_prefix_and_budget(spark, docs):
             assert found[i].prefix_tokens == counts, t
             assert found[i].fits_chars == max(k for k, n in enumerate(counts) if n <= limit), (t, limit)
             assert found[i].over_limit == (counts[-1] > limit)
+            assert found[i].half_tokens == counts[len(t) // 2], t
+
+
+@pytest.mark.parametrize("few", [1, 10**9])
+def test_long_units_count_alike_in_step_and_alone(spark, docs, few, monkeypatch):
+    import sentencepiece
+
+    monkeypatch.setattr(token_counts, "FEW", few)
+    monkeypatch.setattr(token_counts, "CELLS", 700)
+    library = sentencepiece.SentencePieceProcessor(model_file=token_counts.MODEL)
+    draw = random.Random(5)
+    some = ["".join(draw.choice("abethelnr日本語のу🙂") for _ in range(draw.randrange(40, 160))) for _ in range(12)] + ["ha" * 500, "\n\n", " "]
+    for t, found in zip(some, token_counts.text_steps(pa.array(some), token_counts.MODEL), strict=True):
+        counts = np.cumsum(np.frombuffer(found, "<i2")).tolist()
+        assert counts == [len(library.encode(t[: k + 1])) for k in range(len(t))], t
+
+
+def test_one_text_larger_than_a_slice_and_rows_without_ids(spark, docs):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=token_counts.MODEL)
+    long = "lorem ipsum dolor sit amet " * 200_000
+    found = token_counts.token_counts(docs([(None, long, "s"), (None, "a", "s"), (1, "a", None), (1, "a", None)]).withColumn("prefix_steps", F.lit(3)))
+    assert found.columns == ["doc_id", "text", "source", "n_tokens", "over_limit", "fits_chars", "half_tokens"]
+    assert sorted(r.n_tokens for r in found.collect()) == [1, 1, 1, len(library.encode(long))]
 
 
 def test_chat(spark, tmp_path):
