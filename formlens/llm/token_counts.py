@@ -173,25 +173,26 @@ def units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return split.flatten(), split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
 
 
-def unit_steps(words: list[str], of: Pieces) -> list[np.ndarray]:
-    """Of each unit, by how much each of its characters changes the count."""
+def unit_steps(words: list[str], of: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """The steps of all units in a row, those of a unit behind a one, and where each unit's one is: by how much each character changes the count, in two bytes."""
     sizes = np.array([len(x) for x in words], np.int64)
-    out: list[np.ndarray] = [np.empty(0, np.int16)] * len(words)
-    order = np.argsort(sizes, kind="stable").tolist()
-    at = 0
+    order = np.argsort(sizes, kind="stable")
+    rising, found, at = sizes[order].tolist(), [np.empty(0, np.int16)], 0
     while at < len(order):
         end = at + 1
-        while end < len(order) and end - at < TOGETHER and (end - at + 1) * int(sizes[order[end]]) <= CELLS:
+        while end < len(order) and end - at < TOGETHER and (end - at + 1) * rising[end] <= CELLS:
             end += 1
-        some, at = order[at:end], end
-        if sizes[some[-1]] <= LONG or len(some) >= FEW:
-            steps = np.diff(of.counts([words[k] for k in some]), axis=0).T
-            for row, k in enumerate(some):
-                out[k] = narrow(steps[row, : sizes[k]])
+        some = [words[k] for k in order[at:end].tolist()]
+        if rising[end - 1] <= LONG or len(some) >= FEW:
+            steps = np.ones((len(some), rising[end - 1] + 1), np.int16)
+            steps[:, 1:] = narrow(np.diff(of.counts(some), axis=0).T)
+            found.append(steps[np.arange(rising[end - 1] + 1) <= np.array(rising[at:end])[:, None]])
         else:
-            for k in some:
-                out[k] = narrow(np.diff(of.long_counts(words[k])))
-    return out
+            found += [np.insert(narrow(np.diff(of.long_counts(x))), 0, 1) for x in some]
+        at = end
+    starts = np.empty(len(words), np.int64)
+    starts[order] = np.cumsum(sizes[order] + 1) - sizes[order] - 1
+    return np.concatenate(found), starts
 
 
 def narrow(steps: np.ndarray) -> np.ndarray:
@@ -202,25 +203,26 @@ def narrow(steps: np.ndarray) -> np.ndarray:
     return small
 
 
-def text_steps(texts: pa.Array, model: str) -> list[bytes]:
+def text_steps(texts: pa.Array, model: str) -> pa.Array:
     """Of each text, by how much each of its characters changes the count, as little-endian 16-bit integers."""
     flat, offsets = units(texts)
     coded = flat.dictionary_encode()
-    steps, index = unit_steps(coded.dictionary.to_pylist(), pieces(model)), coded.indices.to_numpy()
-    # a unit that doesn't begin with a space follows on a line feed or NUL, a token and a character of its own
-    breaks = ~pc.starts_with(coded.dictionary, SPACE).to_numpy(zero_copy_only=False)
-    after = [np.concatenate([[1], x]).astype(np.int16) if own else x for x, own in zip(steps, breaks.tolist(), strict=True)]
-    empty = pc.equal(pc.fill_null(pc.binary_length(texts), 0), 0).to_pylist()
-    out = []
-    for row, (a, b) in enumerate(zip(offsets.tolist(), offsets.tolist()[1:], strict=False)):
-        if empty[row]:
-            out.append(b"")
-            continue
-        own = index[a:b].tolist()
-        whole = np.concatenate([steps[own[0]], *(after[k] for k in own[1:])])
-        whole[1] += whole[0]  # the first unit has a space before it that is no character of the text
-        out.append(whole[1:].astype("<i2").tobytes())
-    return out
+    steps, starts = unit_steps(coded.dictionary.to_pylist(), pieces(model))
+    index, sizes = coded.indices.to_numpy(), pc.utf8_length(coded.dictionary).to_numpy()
+    # a unit that doesn't begin with a space follows on a line feed or NUL, a token and a character of its own: the one before its steps
+    breaks = (~pc.starts_with(coded.dictionary, SPACE).to_numpy(zero_copy_only=False)).astype(np.int64)
+    lengths = (sizes + breaks)[index]
+    ends = np.cumsum(lengths)
+    places = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat((starts + 1 - breaks)[index] - (ends - lengths), lengths)
+    whole = steps[places]
+    borders = np.concatenate([[0], ends])[offsets]
+    # the first unit has a space before it that is no character of the text
+    filled = borders[:-1][np.diff(borders) > 1]
+    whole[filled + 1] += whole[filled]
+    kept = np.ones(len(whole), bool)
+    kept[borders[:-1]] = False
+    borders = 2 * (borders - np.arange(len(borders)))
+    return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(borders.astype(np.int64).tobytes()), pa.py_buffer(whole[kept].astype("<i2").tobytes())]).cast(pa.binary())
 
 
 def prefix_steps(docs: DataFrame, model: str = MODEL, keep_text: bool = True) -> DataFrame:
@@ -230,7 +232,7 @@ def prefix_steps(docs: DataFrame, model: str = MODEL, keep_text: bool = True) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", CHUNK):
-            yield with_columns(batch, {"prefix_steps": pa.array(text_steps(batch.column("text"), model), pa.binary())}, dropped)
+            yield with_columns(batch, {"prefix_steps": text_steps(batch.column("text"), model)}, dropped)
 
     added = StructType.fromDDL("prefix_steps binary")
     return docs.mapInArrow(run, StructType([*docs.drop(*dropped).schema.fields, *added.fields]))
