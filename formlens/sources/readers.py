@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formlens.functions.text import stem
+from formlens.sources import files
 
 TOKEN_LABELS = "tokens array<string>, bboxes array<array<double>>, ner_tags array<string>"
 CATALOGUE = (
@@ -78,10 +79,10 @@ def ocr_trees(spark: SparkSession, path: str) -> DataFrame:
 
 
 def image_sizes(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, width, height) of PNG files, from the head of each."""
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(path)
-    number = lambda at: F.conv(F.hex(F.substring("content", at, 4)), 16, 10).cast("int")
-    return rows.filter(F.hex(F.substring("content", 2, 3)) == "504E47").select(stem(F.element_at(F.split("path", "/"), -1)).alias("doc_id"), number(17).alias("width"), number(21).alias("height"))
+    """(doc_id, width, height) of PNG and JPEG files, from the head of each; null sizes where a file is none or broken; files without bytes are not listed."""
+    paths = spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,PNG,jpg,JPG,jpeg,JPEG}").load(path).select("path")  # without content no file is read
+    sizes = paths.mapInArrow(files.picture_sizes, "path string, width int, height int")
+    return sizes.select(stem(F.element_at(F.split("path", "/"), -1)).alias("doc_id"), "width", "height")
 
 
 def encoded_files(spark: SparkSession, path: str) -> DataFrame:
@@ -93,6 +94,12 @@ def vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def array_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(file, row, values) of .npy files, read by ranges of rows."""
+    files.register(spark)
+    return spark.read.format("npy_rows").load(path)
+
+
 def split_dataset(spark: SparkSession, path: str) -> DataFrame:
     """A dataset stored by split, which stays a partition column."""
     return spark.read.parquet(path)
