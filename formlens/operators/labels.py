@@ -64,9 +64,10 @@ def occurrences(words: DataFrame, entities: DataFrame, *keys: str, fuzzy: bool =
 
     Words meet the entity's words by an equi-join, letter case aside or, if fuzzy, by keys of
     alike words; an entity stands where all its words do, each at its own distance from the
-    first. Different words of a page are compared once. Entities without words stand nowhere.
+    first. Different words of a page are compared once. Entities without words stand nowhere,
+    and repeated ones count once.
     """
-    rows = entities.select(*keys, "pos", "entity_type", "value", F.array_remove(F.split("value", r"\s+"), "").alias("parts"))
+    rows = entities.select(*keys, "pos", "entity_type", "value").distinct().withColumn("parts", F.array_remove(F.split("value", r"\s+"), ""))
     rows = rows.select(*keys, "pos", "entity_type", "value", F.size("parts").alias("n"), F.posexplode("parts").alias("k", "part"))
     if fuzzy:
         side = lambda df, name: df.select(*keys, F.col(name)).distinct().withColumn(f"{name}_plain", processed(F.col(name))).withColumn("key", F.explode(join_keys(F.col(name), F.col(f"{name}_plain"))))
@@ -91,7 +92,8 @@ def tags_in_order(found: DataFrame, *keys: str) -> DataFrame:
 def label_rows(words: DataFrame, entities: DataFrame, images: DataFrame | None, page_size: tuple[int, int], *keys: str, fuzzy: bool = False) -> DataFrame:
     """(keys, idx, token, box, tag) of label files: words with their tags, after them the last of images (keys, pos, box) as a signature where there is one, and boxes inside the page.
 
-    tokens.collected() makes the arrays of a file of them.
+    For words that come as rows, or are to be matched by likeness; label_files() is for files
+    of arrays and shuffles less. tokens.collected() makes the arrays of a file of these rows.
     """
     tags = tags_in_order(occurrences(words, entities, *keys, fuzzy=fuzzy), *keys)
     rows = words.select(*keys, "idx", "token", *Box._fields).join(tags, [*keys, "idx"], "left").withColumn("tag", F.coalesce("tag", F.lit("O")))
@@ -101,3 +103,61 @@ def label_rows(words: DataFrame, entities: DataFrame, images: DataFrame | None,
     width, height = (F.lit(x) for x in page_size)
     inside = clipped(Box.of(), width, height)
     return rows.select(*keys, "idx", "token", *inside.named(), "tag")
+
+
+def bound(value: Column, body) -> Column:
+    """body(value), with value worked out once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def starts(low: Column, parts: Column) -> Column:
+    """For each place of low, whether parts stand in a row from there."""
+    here = lambda t, i: F.coalesce((t == F.get(parts, F.lit(0))) & (F.slice(low, i + 1, F.size(parts)) == parts), F.lit(False))
+    return F.transform(low, here)
+
+
+def overwritten(tags: Column, low: Column, entity: Column) -> Column:
+    """tags after one more entity: its words take its tags, but a name leaves words that have a tag. Where an entity overlaps itself, the later start counts, or for a name the earlier."""
+    n, name = F.size(entity["parts"]), entity["entity_type"].isin(*NAMES)
+
+    def written(hits):
+        def tag(t, i):
+            since = F.greatest(i - n + 1, F.lit(0))
+            begun = F.array_contains(F.slice(hits, since + 1, i - since), True)  # by a start before this word
+            begins = F.get(hits, i)
+            named = F.when(t != "O", t).when(begun, "I-full_name").when(begins, "B-full_name").otherwise(t)
+            other = F.when(begins, F.concat(F.lit("B-"), entity["entity_type"])).when(begun, F.concat(F.lit("I-"), entity["entity_type"])).otherwise(t)
+            return F.when(name, named).otherwise(other)
+
+        return F.when(F.array_contains(hits, True), F.transform(tags, tag)).otherwise(tags)
+
+    return bound(starts(low, entity["parts"]), written)
+
+
+def label_files(files: DataFrame, entities: DataFrame, images: DataFrame | None, page_size: tuple[int, int], *keys: str) -> DataFrame:
+    """(keys, tokens, bboxes, ner_tags) of files (keys, tokens, bboxes): label_rows() for files that are rows of arrays.
+
+    A page's entities meet its words inside its row, so files are shuffled once, by keys, and
+    words never; the entities of a page, without repeats, are held beside it. Pages with
+    images alone have a file of the signature; one with null keys has neither entities nor
+    images. Null words are no entity's; null arrays are empty ones. Further columns of files
+    are left out.
+    """
+    parts = F.transform(F.array_remove(F.split("value", r"\s+"), ""), F.lower)
+    each = entities.select(*keys, F.struct("pos", "entity_type", parts.alias("parts")).alias("e")).filter("e.entity_type IS NOT NULL AND size(e.parts) > 0")
+    wanted = each.groupBy(*keys).agg(F.sort_array(F.collect_set("e")).alias("wanted"))
+    held = files.select(*keys, "tokens", "bboxes").join(wanted, list(keys), "left")
+    if images is not None:
+        held = held.join(images.groupBy(*keys).agg(F.max_by(F.array(*Box._fields), "pos").alias("signature")), list(keys), "full")
+    else:
+        held = held.withColumn("signature", F.lit(None).cast("array<int>"))
+    kind, signed = files.schema["bboxes"].dataType, F.col("signature").isNotNull()
+    ended = lambda rows, last: F.concat(rows, F.when(signed, F.array(last)).otherwise(F.array()))
+    width, height = (F.lit(x) for x in page_size)
+    inside = lambda b: F.array(*clipped(Box(*[F.get(b, F.lit(k)) for k in range(4)]), width, height))
+    boxes = ended(F.coalesce("bboxes", F.array().cast(kind)), F.col("signature").cast(kind.elementType))
+    # names of their own, as a select takes names inside lambdas for those of its other columns
+    held = held.select(*keys, "wanted", "signature", F.coalesce("tokens", F.array().cast("array<string>")).alias("words"), F.transform(boxes, inside).cast(kind).alias("inside"))
+    blank = F.transform("words", lambda t: F.lit("O"))
+    tags = bound(F.transform("words", F.lower), lambda low: F.aggregate("wanted", blank, lambda tags, e: overwritten(tags, low, e)))
+    return held.select(*keys, ended(F.col("words"), F.lit("[SIGNATURE]")).alias("tokens"), F.col("inside").alias("bboxes"), ended(F.coalesce(tags, blank), F.lit("B-signature")).alias("ner_tags"))

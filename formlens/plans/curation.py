@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formlens.functions import text as tx
@@ -11,15 +11,15 @@ from formlens.operators import annotate, checked, convert, curate, labels, subto
 from formlens.plans.common import KEYS, annotated, docs, sql, table
 
 
-def _raw_tag():
+def _raw_tag(tag: Column, i: Column) -> Column:
     """A tag as annotators write it: some classes are named apart, and some are signatures and dates."""
-    tag, r = F.col("tag"), (F.col("doc_id") * 31 + F.col("i") * 17) % 97
+    r = (F.col("doc_id") * 31 + i * 17) % 97
     swapped = F.when(r == 5, "B-iban").when(r == 4, "B-credit_card_number").when(r == 10, "B-signature").when(r == 11, "I-dates")
     return F.coalesce(swapped, tag)
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return annotated(spark, sf_dir).withColumn("tag", _raw_tag()).select(*KEYS, "i", "idx", "token", *Box._fields, "tag")
+    return annotated(spark, sf_dir).withColumn("tag", _raw_tag(F.col("tag"), F.col("i"))).select(*KEYS, "i", "idx", "token", *Box._fields, "tag")
 
 
 def curate_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,8 +112,9 @@ def first_subtoken(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def file_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many label files, a page each, break each rule; annotators' tags still hold signatures, and long pages end below 1000."""
-    rows = annotated(spark, sf_dir).withColumn("tag", _raw_tag())
-    return checked.rule_counts(tokens.collected(rows, *KEYS), checked.file_rules())
+    tag = lambda token, idx: _raw_tag(tokens.gold_tag(F.col("doc_id"), F.col("page") * tokens.PAGE_WORDS + idx), F.col("page") * tokens.PAGE_WORDS + idx)
+    files = tokens.page_files(docs(spark, sf_dir)).withColumn("ner_tags", F.transform("tokens", tag))
+    return checked.rule_counts(files, checked.file_rules())
 
 
 def equal_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,14 +129,13 @@ def samples_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def label_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label files of all pages: the first words are a name, a company that overlaps it and another name; every other page has two images, of which the last is a signature."""
-    words = tokens.laid_out(docs(spark, sf_dir))
-    heads = words.filter("idx < 3").groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("idx", "token"))).alias("x")).filter(F.size("x") == 3)
-    pair = lambda a, b: F.concat_ws(" ", F.col("x.token")[a], F.col("x.token")[b])
+    files = tokens.page_files(docs(spark, sf_dir))
+    pair = lambda a, b: F.concat_ws(" ", F.col("tokens")[a], F.col("tokens")[b])
     entity = lambda pos, kind, value: F.struct(F.lit(pos).alias("pos"), F.lit(kind).alias("entity_type"), value.alias("value"))
-    wanted = heads.select(*KEYS, F.explode(F.array(entity(0, "first_name", pair(0, 1)), entity(1, "company_name", pair(1, 2)), entity(2, "last_name", F.col("x.token")[2]))).alias("e")).select(*KEYS, "e.*")
-    images = words.filter("idx = 0 AND page % 2 = 0").select(*KEYS, F.explode(F.array(F.lit(0), F.lit(1))).alias("pos"))
+    wanted = files.filter("size(tokens) > 2").select(*KEYS, F.explode(F.array(entity(0, "first_name", pair(0, 1)), entity(1, "company_name", pair(1, 2)), entity(2, "last_name", F.col("tokens")[2]))).alias("e")).select(*KEYS, "e.*")
+    images = files.filter("page % 2 = 0").select(*KEYS, F.explode(F.array(F.lit(0), F.lit(1))).alias("pos"))
     images = images.select(*KEYS, "pos", (F.lit(10) + F.col("pos") * 690).alias("x0"), F.lit(1040).alias("y0"), (F.lit(100) + F.col("pos") * 690).alias("x1"), F.lit(1060).alias("y1"))
-    return labels.label_rows(words, wanted, images, (PAGE_WIDTH, PAGE_HEIGHT), *KEYS)
+    return tokens.exploded(labels.label_files(files, wanted, images, (PAGE_WIDTH, PAGE_HEIGHT), *KEYS), *KEYS)
 
 
 def entity_match(spark: SparkSession, sf_dir: str) -> DataFrame:

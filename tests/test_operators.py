@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from formlens.functions import text as tx
 from formlens.functions.geometry import Box, cell, clipped, iou, rotated
-from formlens.operators import annotate, checked, convert, curate, detect, diversity, embeddings, evaluate, labels, links, subtokens
+from formlens.operators import annotate, checked, convert, curate, detect, diversity, embeddings, evaluate, labels, links, subtokens, tokens
 from formlens.sources import readers, sinks
 
 BOXES = "doc_id int, category string, id int, x0 int, y0 int, x1 int, y1 int"
@@ -259,6 +259,55 @@ def test_samples_have_the_exact_size(spark, parts, monkeypatch):
     assert checked.equal_samples(table.limit(0), "kind", "id").count() == 0
 
 
+def tagged_by_hand(words, entities):
+    """Tags by plain loops: entities in order, a later one writes over others, a name only where nothing is."""
+    low, tags = [(w or "").lower() for w in words], ["O"] * len(words)
+    for _, kind, value in sorted({(pos, kind, value.lower()) for pos, kind, value in entities if kind and (value or "").split()}):
+        parts = value.split()
+        hits = [i for i in range(len(low)) if low[i : i + len(parts)] == parts]
+        name, free = kind in labels.NAMES, [t == "O" for t in tags]
+        for i in reversed(hits) if name else hits:
+            for k in range(len(parts)):
+                if free[i + k] or not name:
+                    tags[i + k] = ("I-" if k else "B-") + ("full_name" if name else kind)
+    return tags
+
+
+def test_label_files_are_those_of_plain_loops(spark):
+    rng = random.Random(4)
+    kinds = ["first_name", "last_name", "address", "company_name"]
+    pages = {p: [rng.choice(["a", "A", "b", "c", None] if p % 2 else ["a", "a", "B"]) for _ in range(rng.choice([1, 7, 40]))] for p in range(40)} | {50: [], 51: ["a"] * 400}
+    entities = [(p, pos, rng.choice(kinds), " ".join(rng.choice("abcA") for _ in range(rng.choice([1, 1, 2, 3])))) for p in pages for pos in range(rng.choice([0, 2, 5]))]
+    entities += [*entities[:20], (51, 9, "address", "a a a"), (0, 7, None, "a"), (1, 7, "address", None), (2, 7, "address", "  "), (99, 0, "address", "a"), (None, 0, "address", "a")]
+    box = lambda i: [i, 0, i + 3, 9]
+    files = spark.createDataFrame([*[(p, ws, [box(i) for i in range(len(ws))], "more") for p, ws in pages.items()], (None, ["a"], [box(1)], "more"), (60, None, None, "more")], "page int, tokens array<string>, bboxes array<array<int>>, wanted string")
+    wanted = spark.createDataFrame(entities, "page int, pos int, entity_type string, value string")
+    images = spark.createDataFrame([(p, pos, pos, 1, 200, 3) for p in (0, 3, 70) for pos in (0, 1)], "page int, pos int, x0 int, y0 int, x1 int, y1 int")
+    found = labels.label_files(files, wanted, images, (100, 100), "page")
+    assert found.columns == ["page", "tokens", "bboxes", "ner_tags"]
+    by_page = {r.page: r for r in found.collect()}
+    assert set(by_page) == {*pages, None, 60, 70} and by_page[None].ner_tags == ["O"] and by_page[60].tokens == []
+    for p, ws in pages.items():
+        signed = p in (0, 3)
+        want = tagged_by_hand(ws, [e[1:] for e in entities if e[0] == p])
+        assert by_page[p].ner_tags == want + ["B-signature"] * signed
+        assert by_page[p].tokens == ws + ["[SIGNATURE]"] * signed
+        assert by_page[p].bboxes == [[b[0], 0, min(b[2], 99) if b[2] > 100 else b[2], 9] for b in map(box, range(len(ws)))] + [[1, 1, 99, 3]] * signed
+    assert (by_page[70].tokens, by_page[70].ner_tags) == (["[SIGNATURE]"], ["B-signature"])
+    rows = labels.label_rows(tokens.exploded(files.filter("page IS NOT NULL").withColumn("ner_tags", F.col("tokens")), "page"), wanted, None, (100, 100), "page")
+    assert {(r.page, r.idx): r.tag for r in rows.collect()} == {(p, i): t for p, ws in pages.items() for i, t in enumerate(by_page[p].ner_tags[: len(ws)])}
+    empty = labels.label_files(files.limit(0), wanted.limit(0), None, (100, 100), "page")
+    assert empty.collect() == []
+
+
+def test_page_files_are_the_laid_out_words(spark, docs):
+    table = docs([(1, " ".join(f"w{i % 13}" * (i % 3 + 1) for i in range(700)), "s"), (2, " \n ", "s"), (3, None, "s"), (4, "one", None), (4, "one", None)])
+    rows = tokens.exploded(tokens.page_files(table, "source").withColumn("ner_tags", F.col("tokens")), "doc_id", "page", "source").drop("tag")
+    want = tokens.laid_out(table, "source").drop("i").select(rows.columns)
+    in_order = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert in_order(rows) == in_order(want) and rows.count() == 702
+
+
 def test_label_rows_have_signatures_and_clipped_boxes(spark):
     words = spark.createDataFrame([(1, 0, "Ada", 5, 5, 30, 20), (1, 1, "Stone", 90, 5, 130, 20), (2, 0, "none", 0, 0, 9, 9)], "page int, idx int, token string, x0 int, y0 int, x1 int, y1 int")
     entities = spark.createDataFrame([(1, 0, "first_name", "ada"), (1, 1, "last_name", "ada stone"), (3, 0, "address", "x")], "page int, pos int, entity_type string, value string")
