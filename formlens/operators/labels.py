@@ -146,18 +146,19 @@ def label_files(files: DataFrame, entities: DataFrame, images: DataFrame | None,
     parts = F.transform(F.array_remove(F.split("value", r"\s+"), ""), F.lower)
     each = entities.select(*keys, F.struct("pos", "entity_type", parts.alias("parts")).alias("e")).filter("e.entity_type IS NOT NULL AND size(e.parts) > 0")
     wanted = each.groupBy(*keys).agg(F.sort_array(F.collect_set("e")).alias("wanted"))
-    held = files.select(*keys, "tokens", "bboxes").join(wanted, list(keys), "left")
+    kind = files.schema["bboxes"].dataType
+    width, height = (F.lit(x) for x in page_size)
+    inside = lambda b: F.array(*clipped(Box(*[F.get(b, F.lit(k)) for k in range(4)]), width, height)).cast(kind.elementType)
+    # shuffled flat, as an array a box takes more than twice the room; names of their own, as a select takes names inside lambdas for those of its other columns
+    held = files.select(*keys, F.coalesce("tokens", F.array().cast("array<string>")).alias("words"), F.flatten(F.transform("bboxes", inside)).alias("flat")).join(wanted, list(keys), "left")
     if images is not None:
-        held = held.join(images.groupBy(*keys).agg(F.max_by(F.array(*Box._fields), "pos").alias("signature")), list(keys), "full")
+        last = images.groupBy(*keys).agg(F.max_by(F.array(*Box._fields), "pos").alias("b"))
+        held = held.join(last.select(*keys, inside(F.col("b")).alias("signature")), list(keys), "full").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
     else:
-        held = held.withColumn("signature", F.lit(None).cast("array<int>"))
-    kind, signed = files.schema["bboxes"].dataType, F.col("signature").isNotNull()
-    ended = lambda rows, last: F.concat(rows, F.when(signed, F.array(last)).otherwise(F.array()))
-    width, height = (F.lit(x) for x in page_size)
-    inside = lambda b: F.array(*clipped(Box(*[F.get(b, F.lit(k)) for k in range(4)]), width, height))
-    boxes = ended(F.coalesce("bboxes", F.array().cast(kind)), F.col("signature").cast(kind.elementType))
-    # names of their own, as a select takes names inside lambdas for those of its other columns
-    held = held.select(*keys, "wanted", "signature", F.coalesce("tokens", F.array().cast("array<string>")).alias("words"), F.transform(boxes, inside).cast(kind).alias("inside"))
+        held = held.withColumn("signature", F.lit(None).cast(kind.elementType))
+    ended = lambda rows, last: F.concat(rows, F.when(F.col("signature").isNotNull(), F.array(last)).otherwise(F.array()))
+    each_box = F.transform(F.sequence(F.lit(0), F.floor(F.size("flat") / 4).cast("int") - 1), lambda k: F.slice("flat", k * 4 + 1, F.lit(4)))
+    boxes = F.when(F.size("flat") > 0, each_box).otherwise(F.array().cast(kind))
     blank = F.transform("words", lambda t: F.lit("O"))
     tags = bound(F.transform("words", F.lower), lambda low: F.aggregate("wanted", blank, lambda tags, e: overwritten(tags, low, e)))
-    return held.select(*keys, ended(F.col("words"), F.lit("[SIGNATURE]")).alias("tokens"), F.col("inside").alias("bboxes"), ended(F.coalesce(tags, blank), F.lit("B-signature")).alias("ner_tags"))
+    return held.select(*keys, ended(F.col("words"), F.lit("[SIGNATURE]")).alias("tokens"), ended(boxes, F.col("signature")).alias("bboxes"), ended(F.coalesce(tags, blank), F.lit("B-signature")).alias("ner_tags"))
