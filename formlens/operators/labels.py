@@ -135,30 +135,33 @@ def overwritten(tags: Column, low: Column, entity: Column) -> Column:
 
 
 def label_files(files: DataFrame, entities: DataFrame, images: DataFrame | None, page_size: tuple[int, int], *keys: str) -> DataFrame:
-    """(keys, tokens, bboxes, ner_tags) of files (keys, tokens, bboxes): label_rows() for files that are rows of arrays.
+    """label_rows() for files (keys, tokens, x0, y0, x1, y1) that are rows of parallel arrays; tokens.sides() makes the last four of bboxes.
 
     A page's entities meet its words inside its row, so files are shuffled once, by keys, and
     words never; the entities of a page, without repeats, are held beside it. Pages with
-    images alone have a file of the signature; one with null keys has neither entities nor
+    images alone have the signature alone; one with null keys has neither entities nor
     images. Null words are no entity's; null arrays are empty ones. Further columns of files
     are left out.
     """
     parts = F.transform(F.array_remove(F.split("value", r"\s+"), ""), F.lower)
     each = entities.select(*keys, F.struct("pos", "entity_type", parts.alias("parts")).alias("e")).filter("e.entity_type IS NOT NULL AND size(e.parts) > 0")
     wanted = each.groupBy(*keys).agg(F.sort_array(F.collect_set("e")).alias("wanted"))
-    kind = files.schema["bboxes"].dataType
-    width, height = (F.lit(x) for x in page_size)
-    inside = lambda b: F.array(*clipped(Box(*[F.get(b, F.lit(k)) for k in range(4)]), width, height)).cast(kind.elementType)
-    # shuffled flat, as an array a box takes more than twice the room; names of their own, as a select takes names inside lambdas for those of its other columns
-    held = files.select(*keys, F.coalesce("tokens", F.array().cast("array<string>")).alias("words"), F.flatten(F.transform("bboxes", inside)).alias("flat")).join(wanted, list(keys), "left")
+    words = "array<string>"
+    # words travel as JSON, in some half of an array's room
+    held = files.select(*keys, F.to_json("tokens").alias("packed"), *Box._fields).join(wanted, list(keys), "left")
     if images is not None:
-        last = images.groupBy(*keys).agg(F.max_by(F.array(*Box._fields), "pos").alias("b"))
-        held = held.join(last.select(*keys, inside(F.col("b")).alias("signature")), list(keys), "full").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+        last = images.groupBy(*keys).agg(F.max_by(F.struct(*Box._fields), "pos").alias("signature"))
+        held = held.join(last, list(keys), "full")
     else:
-        held = held.withColumn("signature", F.lit(None).cast(kind.elementType))
-    ended = lambda rows, last: F.concat(rows, F.when(F.col("signature").isNotNull(), F.array(last)).otherwise(F.array()))
-    each_box = F.transform(F.sequence(F.lit(0), F.floor(F.size("flat") / 4).cast("int") - 1), lambda k: F.slice("flat", k * 4 + 1, F.lit(4)))
-    boxes = F.when(F.size("flat") > 0, each_box).otherwise(F.array().cast(kind))
-    blank = F.transform("words", lambda t: F.lit("O"))
-    tags = bound(F.transform("words", F.lower), lambda low: F.aggregate("wanted", blank, lambda tags, e: overwritten(tags, low, e)))
-    return held.select(*keys, ended(F.col("words"), F.lit("[SIGNATURE]")).alias("tokens"), ended(boxes, F.col("signature")).alias("bboxes"), ended(F.coalesce(tags, blank), F.lit("B-signature")).alias("ner_tags"))
+        held = held.withColumn("signature", F.lit(None).cast("struct<x0:int,y0:int,x1:int,y1:int>"))
+    # names of their own, as a select takes names inside lambdas for those of its other columns
+    read = F.coalesce(F.from_json("packed", words), F.array().cast(words))
+    held = held.select(*keys, "wanted", "signature", read.alias("token"), *[F.coalesce(c, F.array().cast(files.schema[c].dataType)).alias(c) for c in Box._fields])
+    blank = F.transform("token", lambda t: F.lit("O"))
+    tags = bound(F.transform("token", F.lower), lambda low: F.aggregate("wanted", blank, lambda tags, e: overwritten(tags, low, e)))
+    zipped = held.withColumn("tag", F.coalesce(tags, blank)).select(*keys, "signature", F.arrays_zip("token", *Box._fields, "tag").alias("rows"))
+    sign = F.struct(F.lit("[SIGNATURE]").alias("token"), *[F.col(f"signature.{c}").cast(files.schema[c].dataType.elementType).alias(c) for c in Box._fields], F.lit("B-signature").alias("tag"))
+    ended = F.when(F.col("signature").isNotNull(), F.concat("rows", F.array(sign))).otherwise(F.col("rows"))
+    rows = zipped.select(*keys, F.posexplode(ended).alias("idx", "x")).select(*keys, "idx", "x.*")
+    inside = clipped(Box.of(), *[F.lit(x) for x in page_size])
+    return rows.select(*keys, "idx", "token", *inside.named(), "tag")

@@ -35,17 +35,26 @@ def laid_out(docs: DataFrame, *more: str) -> DataFrame:
     return rows.select("doc_id", *more, "page", "idx", "i", "token", x0.alias("x0"), y0.alias("y0"), (x0 + F.least(F.lit(90), F.length("token") * 7)).alias("x1"), (y0 + 18).alias("y1"))
 
 
+def sides(bboxes: Column) -> list[Column]:
+    """The four parallel arrays x0, y0, x1, y1 of an array of boxes; what a box lacks is null."""
+    side = lambda k: F.transform(bboxes, lambda b: F.get(b, F.lit(k)))
+    return [side(k).alias(name) for k, name in enumerate(Box._fields)]
+
+
+def boxed() -> Column:
+    """The array of boxes of the four parallel arrays."""
+    return F.transform(F.arrays_zip(*Box._fields), lambda b: F.array(*[b[x] for x in Box._fields]))
+
+
 def page_files(docs: DataFrame, *more: str) -> DataFrame:
-    """(doc_id, page, tokens, bboxes): laid_out() with a row of arrays a page, cut from the text without a shuffle; a text without words has no file."""
+    """(doc_id, page, tokens, x0, y0, x1, y1): laid_out() with a row of parallel arrays a page, cut from the text without a shuffle; a text without words has no file."""
     words = docs.select("doc_id", *more, F.array_remove(F.split("text", "[ \n]+"), "").alias("words")).filter("size(words) > 0")
     rows = words.select("doc_id", *more, "words", F.explode(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / PAGE_WORDS).cast("int"))).alias("page"))
     rows = rows.select("doc_id", *more, "page", F.slice("words", F.col("page") * PAGE_WORDS + 1, F.lit(PAGE_WORDS)).alias("tokens"))
-
-    def box(token, idx):
-        x0, y0 = F.lit(5) + idx % COLUMNS * STEP_X, F.lit(4) + F.floor(idx / COLUMNS).cast("int") * STEP_Y
-        return F.array(x0, y0, x0 + F.least(F.lit(90), F.length(token) * 7), y0 + 18)
-
-    return rows.withColumn("bboxes", F.transform("tokens", box))
+    x0s, y0s = ([5 + i % COLUMNS * STEP_X for i in range(PAGE_WORDS)], [4 + i // COLUMNS * STEP_Y for i in range(PAGE_WORDS)])
+    here = lambda values: F.slice(F.lit(values), F.lit(1), F.size("tokens"))
+    x1 = F.transform("tokens", lambda t, i: F.lit(5) + i % COLUMNS * STEP_X + F.least(F.lit(90), F.length(t) * 7))
+    return rows.select("*", here(x0s).alias("x0"), here(y0s).alias("y0"), x1.alias("x1"), here([y + 18 for y in y0s]).alias("y1"))
 
 
 #: Tags that stand for the first places of a cycle of 97, and what a wrong prediction makes of them.

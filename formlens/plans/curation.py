@@ -113,7 +113,7 @@ def first_subtoken(spark: SparkSession, sf_dir: str) -> DataFrame:
 def file_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many label files, a page each, break each rule; annotators' tags still hold signatures, and long pages end below 1000."""
     tag = lambda token, idx: _raw_tag(tokens.gold_tag(F.col("doc_id"), F.col("page") * tokens.PAGE_WORDS + idx), F.col("page") * tokens.PAGE_WORDS + idx)
-    files = tokens.page_files(docs(spark, sf_dir)).withColumn("ner_tags", F.transform("tokens", tag))
+    files = tokens.page_files(docs(spark, sf_dir)).select("*", tokens.boxed().alias("bboxes"), F.transform("tokens", tag).alias("ner_tags"))
     return checked.rule_counts(files, checked.file_rules())
 
 
@@ -135,7 +135,7 @@ def label_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = files.filter("size(tokens) > 2").select(*KEYS, F.explode(F.array(entity(0, "first_name", pair(0, 1)), entity(1, "company_name", pair(1, 2)), entity(2, "last_name", F.col("tokens")[2]))).alias("e")).select(*KEYS, "e.*")
     images = files.filter("page % 2 = 0").select(*KEYS, F.explode(F.array(F.lit(0), F.lit(1))).alias("pos"))
     images = images.select(*KEYS, "pos", (F.lit(10) + F.col("pos") * 690).alias("x0"), F.lit(1040).alias("y0"), (F.lit(100) + F.col("pos") * 690).alias("x1"), F.lit(1060).alias("y1"))
-    return tokens.exploded(labels.label_files(files, wanted, images, (PAGE_WIDTH, PAGE_HEIGHT), *KEYS), *KEYS)
+    return labels.label_files(files, wanted, images, (PAGE_WIDTH, PAGE_HEIGHT), *KEYS)
 
 
 def entity_match(spark: SparkSession, sf_dir: str) -> DataFrame:

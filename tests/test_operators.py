@@ -280,29 +280,32 @@ def test_label_files_are_those_of_plain_loops(spark):
     entities = [(p, pos, rng.choice(kinds), " ".join(rng.choice("abcA") for _ in range(rng.choice([1, 1, 2, 3])))) for p in pages for pos in range(rng.choice([0, 2, 5]))]
     entities += [*entities[:20], (51, 9, "address", "a a a"), (0, 7, None, "a"), (1, 7, "address", None), (2, 7, "address", "  "), (99, 0, "address", "a"), (None, 0, "address", "a")]
     box = lambda i: [i, 0, i + 3, 9]
+    pages[52] = ['quote " and \\ \n\t\x01', "", "é\u2028漢😀", "a", "null", "[1]"]
     files = spark.createDataFrame([*[(p, ws, [box(i) for i in range(len(ws))], "more") for p, ws in pages.items()], (None, ["a"], [box(1)], "more"), (60, None, None, "more")], "page int, tokens array<string>, bboxes array<array<int>>, wanted string")
     wanted = spark.createDataFrame(entities, "page int, pos int, entity_type string, value string")
     images = spark.createDataFrame([(p, pos, pos, 1, 200, 3) for p in (0, 3, 70) for pos in (0, 1)], "page int, pos int, x0 int, y0 int, x1 int, y1 int")
-    found = labels.label_files(files, wanted, images, (100, 100), "page")
-    assert found.columns == ["page", "tokens", "bboxes", "ner_tags"]
-    by_page = {r.page: r for r in found.collect()}
-    assert set(by_page) == {*pages, None, 60, 70} and by_page[None].ner_tags == ["O"] and by_page[60].tokens == []
+    arrays = files.select("*", *tokens.sides(F.col("bboxes")))
+    found = labels.label_files(arrays, wanted, images, (100, 100), "page")
+    assert found.columns == ["page", "idx", "token", "x0", "y0", "x1", "y1", "tag"]
+    by_page = {}
+    for r in sorted(map(tuple, found.collect()), key=lambda r: (r[0] is None, r[:2])):
+        by_page.setdefault(r[0], []).append(r[1:])
+    assert set(by_page) == {*pages, None, 70} - {50}
+    assert by_page[None] == [(0, "a", 1, 0, 4, 9, "O")] and by_page[70] == [(0, "[SIGNATURE]", 1, 1, 99, 3, "B-signature")]
     for p, ws in pages.items():
-        signed = p in (0, 3)
-        want = tagged_by_hand(ws, [e[1:] for e in entities if e[0] == p])
-        assert by_page[p].ner_tags == want + ["B-signature"] * signed
-        assert by_page[p].tokens == ws + ["[SIGNATURE]"] * signed
-        assert by_page[p].bboxes == [[b[0], 0, min(b[2], 99) if b[2] > 100 else b[2], 9] for b in map(box, range(len(ws)))] + [[1, 1, 99, 3]] * signed
-    assert (by_page[70].tokens, by_page[70].ner_tags) == (["[SIGNATURE]"], ["B-signature"])
-    rows = labels.label_rows(tokens.exploded(files.filter("page IS NOT NULL").withColumn("ner_tags", F.col("tokens")), "page"), wanted, None, (100, 100), "page")
-    assert {(r.page, r.idx): r.tag for r in rows.collect()} == {(p, i): t for p, ws in pages.items() for i, t in enumerate(by_page[p].ner_tags[: len(ws)])}
-    empty = labels.label_files(files.limit(0), wanted.limit(0), None, (100, 100), "page")
-    assert empty.collect() == []
+        tags = tagged_by_hand(ws, [e[1:] for e in entities if e[0] == p])
+        want = [(i, w, i, 0, min(i + 3, 99) if i > 97 else i + 3, 9, t) for i, (w, t) in enumerate(zip(ws, tags, strict=True))]
+        assert by_page.get(p, []) == want + [(len(ws), "[SIGNATURE]", 1, 1, 99, 3, "B-signature")] * (p in (0, 3))
+    words = tokens.exploded(files.filter("page IS NOT NULL").withColumn("ner_tags", F.col("tokens")), "page")
+    for pictures in (None, images):
+        rows, again = (made(given, wanted, pictures, (100, 100), "page").filter("page <> 70").collect() for made, given in ((labels.label_rows, words), (labels.label_files, arrays)))
+        assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, again), key=str)
+    assert labels.label_files(arrays.limit(0), wanted.limit(0), None, (100, 100), "page").collect() == []
 
 
 def test_page_files_are_the_laid_out_words(spark, docs):
     table = docs([(1, " ".join(f"w{i % 13}" * (i % 3 + 1) for i in range(700)), "s"), (2, " \n ", "s"), (3, None, "s"), (4, "one", None), (4, "one", None)])
-    rows = tokens.exploded(tokens.page_files(table, "source").withColumn("ner_tags", F.col("tokens")), "doc_id", "page", "source").drop("tag")
+    rows = tokens.exploded(tokens.page_files(table, "source").select("*", tokens.boxed().alias("bboxes"), F.col("tokens").alias("ner_tags")), "doc_id", "page", "source").drop("tag")
     want = tokens.laid_out(table, "source").drop("i").select(rows.columns)
     in_order = lambda df: sorted(map(tuple, df.collect()), key=str)
     assert in_order(rows) == in_order(want) and rows.count() == 702
