@@ -13,6 +13,8 @@ NAMES = ("first_name", "last_name", "middle_name")
 #: Words alike by so many tenths of a percent, rounded, are one.
 LEAST = 945
 GRAM = 3
+#: Places of one entity on a page that are written one by one.
+SPLICES = 64
 
 
 def processed(word: Column) -> Column:
@@ -117,21 +119,33 @@ def starts(low: Column, parts: Column) -> Column:
 
 
 def overwritten(tags: Column, low: Column, entity: Column) -> Column:
-    """tags after one more entity: its words take its tags, but a name leaves words that have a tag. Where an entity overlaps itself, the later start counts, or for a name the earlier."""
-    n, name = F.size(entity["parts"]), entity["entity_type"].isin(*NAMES)
+    """tags after one more entity: its words take its tags, but a name leaves words that have a tag. Where an entity overlaps itself, the later start counts, or for a name the earlier.
 
-    def written(hits):
+    Up to SPLICES places are written one by one, as copies of whole arrays are cheap; more
+    are written in one pass over the words.
+    """
+    parts, kind = entity["parts"], entity["entity_type"]
+    n, name = F.size(parts), kind.isin(*NAMES)
+    first, later = F.concat(F.lit("B-"), kind), F.concat(F.lit("I-"), kind)
+
+    def spliced(held, at):
+        named = F.transform(F.slice(held, at + 1, n), lambda t, k: F.when(t != "O", t).when(k == 0, "B-full_name").otherwise("I-full_name"))
+        piece = F.when(name, named).otherwise(F.concat(F.array(first), F.array_repeat(later, n - 1)))
+        return F.concat(F.slice(held, F.lit(1), at), piece, F.slice(held, at + n + 1, F.size(held)))
+
+    def in_one_pass(hits):
         def tag(t, i):
             since = F.greatest(i - n + 1, F.lit(0))
             begun = F.array_contains(F.slice(hits, since + 1, i - since), True)  # by a start before this word
-            begins = F.get(hits, i)
-            named = F.when(t != "O", t).when(begun, "I-full_name").when(begins, "B-full_name").otherwise(t)
-            other = F.when(begins, F.concat(F.lit("B-"), entity["entity_type"])).when(begun, F.concat(F.lit("I-"), entity["entity_type"])).otherwise(t)
+            named = F.when(t != "O", t).when(begun, "I-full_name").when(F.get(hits, i), "B-full_name").otherwise(t)
+            other = F.when(F.get(hits, i), first).when(begun, later).otherwise(t)
             return F.when(name, named).otherwise(other)
 
-        return F.when(F.array_contains(hits, True), F.transform(tags, tag)).otherwise(tags)
+        return F.transform(tags, tag)
 
-    return bound(starts(low, entity["parts"]), written)
+    here = lambda i: (F.get(low, i) == F.get(parts, F.lit(0))) & (F.slice(low, i + 1, n) == parts)
+    places = F.when(F.size(low) >= n, F.filter(F.sequence(F.lit(0), F.size(low) - n), here)).otherwise(F.array().cast("array<int>"))
+    return bound(places, lambda at: F.when(F.size(at) <= SPLICES, F.aggregate(at, tags, spliced)).otherwise(bound(starts(low, parts), in_one_pass)))
 
 
 def label_files(files: DataFrame, entities: DataFrame, images: DataFrame | None, page_size: tuple[int, int], *keys: str) -> DataFrame:
@@ -157,7 +171,7 @@ def label_files(files: DataFrame, entities: DataFrame, images: DataFrame | None,
     # names of their own, as a select takes names inside lambdas for those of its other columns
     read = F.coalesce(F.from_json("packed", words), F.array().cast(words))
     held = held.select(*keys, "wanted", "signature", read.alias("token"), *[F.coalesce(c, F.array().cast(files.schema[c].dataType)).alias(c) for c in Box._fields])
-    blank = F.transform("token", lambda t: F.lit("O"))
+    blank = F.array_repeat(F.lit("O"), F.size("token"))
     tags = bound(F.transform("token", F.lower), lambda low: F.aggregate("wanted", blank, lambda tags, e: overwritten(tags, low, e)))
     zipped = held.withColumn("tag", F.coalesce(tags, blank)).select(*keys, "signature", F.arrays_zip("token", *Box._fields, "tag").alias("rows"))
     sign = F.struct(F.lit("[SIGNATURE]").alias("token"), *[F.col(f"signature.{c}").cast(files.schema[c].dataType.elementType).alias(c) for c in Box._fields], F.lit("B-signature").alias("tag"))
