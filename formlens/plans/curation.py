@@ -84,9 +84,9 @@ def subtoken_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.col("label") != subtokens.IGNORE
     n = len(tx.TAGS)
     gold, pred = F.floor(F.col("label") / n), F.col("label") % n
-    pairs = rows.select(*KEYS, "word_id", "piece", F.when(held, gold).otherwise(subtokens.IGNORE).alias("label"), F.when(held, pred).otherwise(tx.TAGS.index("O")).alias("pred"))
+    pairs = rows.select(*KEYS, "word_id", "n", F.when(held, gold).otherwise(subtokens.IGNORE).alias("label"), F.when(held, pred).otherwise(tx.TAGS.index("O")).alias("pred"))
     sums = [
-        F.countDistinct("word_id").alias("n_words"),
+        F.count_if(F.col("n") == 0).alias("n_words"),
         F.count(F.lit(1)).alias("n_pieces"),
         F.count_if(F.col("label") == subtokens.IGNORE).alias("n_ignored"),
         F.coalesce(F.sum(F.when(F.col("label") != subtokens.IGNORE, F.col("label") * (F.col("word_id") + 1))), F.lit(0)).cast("long").alias("label_sum"),
