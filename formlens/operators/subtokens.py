@@ -53,6 +53,11 @@ def encoded(words: DataFrame, keys: Sequence[str], tag: str = "tag", vocabulary:
     return cut.select(*keys, "word_id", "n", F.struct("word_id", "n").alias("idx"), "piece", label.alias("label"))
 
 
+def first_pieces(rows: DataFrame) -> DataFrame:
+    """A row a word: its first piece's, as encoded() numbers pieces. annotate.first_of_word() is for predictions without such a number, and shuffles them."""
+    return rows.filter("n = 0")
+
+
 def counted(rows: DataFrame) -> DataFrame:
     """The pieces that a loss counts: those whose label isn't IGNORE."""
     return rows.filter(F.col("label") != IGNORE)

@@ -99,8 +99,7 @@ def subtoken_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predicted labels of pieces back as tags of words: the first piece's counts."""
     rows = subtokens.encoded(annotated(spark, sf_dir), KEYS, "pred_tag")
     pred = F.when(F.col("label") == subtokens.IGNORE, F.lit(tx.TAGS.index("O"))).otherwise(F.col("label"))
-    found = annotate.first_of_word(rows.withColumn("pred", pred), *KEYS)
-    return found.select(*KEYS, "word_id", subtokens.label_name(F.col("pred")).alias("tag"))
+    return subtokens.first_pieces(rows.withColumn("pred", pred)).select(*KEYS, "word_id", subtokens.label_name(F.col("pred")).alias("tag"))
 
 
 def first_subtoken(spark: SparkSession, sf_dir: str) -> DataFrame:
