@@ -311,6 +311,22 @@ def test_page_files_are_the_laid_out_words(spark, docs):
     assert in_order(rows) == in_order(want) and rows.count() == 702
 
 
+def test_first_pieces_give_words_back(spark):
+    words = spark.createDataFrame([(1, 0, "interesting", "B-address"), (1, 1, "a", "O"), (1, 2, "", "O"), (1, 3, None, "O"), (2, 0, "ing", "unknown"), (2, 0, "xx", "O")], "page int, idx int, token string, tag string")
+    rows = subtokens.encoded(words, ["page"])
+    found = subtokens.first_pieces(rows)
+    assert sorted((r.page, r.word_id, r.piece, subtokens.TAGS[r.label] if r.label >= 0 else None) for r in found.collect()) == [(1, 0, "inter", "B-address"), (1, 1, "a", "O"), (2, 0, "ing", None), (2, 0, "x", "O")]
+    assert rows.count() > found.count() and subtokens.first_pieces(rows.limit(0)).collect() == []
+
+
+def test_repeated_entities_count_once(spark):
+    words = spark.createDataFrame([(1, i, t) for i, t in enumerate("a b a b".split())], "page int, idx int, token string")
+    entities = spark.createDataFrame([(1, 0, "address", "a b")] * 2, "page int, pos int, entity_type string, value string")
+    for fuzzy in (False, True):
+        found = labels.occurrences(words, entities, "page", fuzzy=fuzzy)
+        assert sorted((r.first, r.idx) for r in found.collect()) == [(0, 0), (0, 1), (2, 2), (2, 3)]
+
+
 def test_label_rows_have_signatures_and_clipped_boxes(spark):
     words = spark.createDataFrame([(1, 0, "Ada", 5, 5, 30, 20), (1, 1, "Stone", 90, 5, 130, 20), (2, 0, "none", 0, 0, 9, 9)], "page int, idx int, token string, x0 int, y0 int, x1 int, y1 int")
     entities = spark.createDataFrame([(1, 0, "first_name", "ada"), (1, 1, "last_name", "ada stone"), (3, 0, "address", "x")], "page int, pos int, entity_type string, value string")
