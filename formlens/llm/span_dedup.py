@@ -11,7 +11,8 @@ several. Equal texts are worked on once.
 
 Passages are told by words: where a number of words is asked for, each run of as many words
 that also starts elsewhere goes too, whatever its bytes and the spaces between. Anchors are
-grams of words then, and the windows of words at repeated ones are compared by 128 bits.
+grams of words then, and the windows of words at repeated ones are compared by 64 bits and
+the range, one of 1,024 at least, that they fall into by as many others.
 
 Defined cases: null and empty text has no bytes and loses none; text under MATCH bytes
 loses none; a text that is there twice loses all; strings never cross texts; an empty table
@@ -24,17 +25,18 @@ shards are compared by 64 bits and the range they fall into by as many others.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formlens.llm.arrow import chunks, flat_bytes
 from formlens.llm.common import BROADCAST_ROWS, documents, join_keyed, nested, release, stored
-from formlens.llm.suffixes import BASES, BORDER, GRAM, WORD_GRAM, anchors, common_prefixes, runs, suffix_array, window_hashes
+from formlens.llm.suffixes import BASES, BORDER, GRAM, SPACE, WORD_GRAM, anchors, common_prefixes, mixed, runs, suffix_array, window_hashes
 from formlens.llm.suffixes import words as words_of
 
 MATCH = 400
@@ -43,8 +45,12 @@ CHUNK = 4 << 20
 SHARD_BYTES = 2 << 20
 #: Most windows of a region.
 PIECE = 1 << 18
-#: Windows of words that are handed on at once.
-WINDOWS = 1 << 16
+#: Least words of a passage.
+PASSAGE_WORDS = 51
+#: Hashes of a block of texts, which are handed on at once.
+PRINTS = 1 << 18
+#: Least ranges that hashes of blocks are dealt into, and most hashes of one, on average.
+RANGES, RANGE_PRINTS = 1 << 10, 1 << 21
 
 
 def text_key() -> Column:
@@ -87,35 +93,82 @@ def in_several(found: DataFrame, values: list[str], name: str) -> DataFrame:
     return stored(found.groupBy(*values).agg(F.min(where).alias("lo"), F.max(where).alias("hi")).filter("lo <> hi").select(*values), name)
 
 
+def blocked(block: int, keys: pa.Array, rows: list[tuple[np.ndarray, ...]], ranges: int) -> Iterator[pa.RecordBatch]:
+    """One block of texts, each with places in order and two hashes a place: where each text stands in the block, the places whose hashes repeat within it, and the other hashes by range."""
+    sizes = np.array([int(at[-1]) + 2 if len(at) else 1 for at, *_ in rows])  # no place of a text follows one of the text before
+    bases = np.cumsum(sizes) - sizes
+    at = np.concatenate([x[0] + base for x, base in zip(rows, bases, strict=True)]).astype(np.int32)
+    first, second = (np.concatenate([x[k] for x in rows]) for k in (1, 2))
+    of = (second % np.uint64(ranges)).astype(np.uint16)
+    order = np.argsort(first)
+    order = order[np.argsort(of[order], kind="stable")]
+    at, first, of = at[order], first[order], of[order]
+    fresh = np.ones(len(of), bool)
+    fresh[1:] = (first[1:] != first[:-1]) | (of[1:] != of[:-1])
+    alone = fresh & np.append(fresh, True)[1:]
+    first, of, asked = first[fresh], of[fresh], np.where(alone, at, np.int32(-1))[fresh]
+    cuts = np.append(np.flatnonzero(np.diff(of.astype(np.int32), prepend=-1)), len(of))
+    parts = list(zip(cuts, cuts[1:], strict=False))
+    told = [(None, None, at[~alone].tobytes())] + [(int(of[a]), first[a:b].tobytes(), asked[a:b].tobytes()) for a, b in parts]
+    n, more = len(keys), len(told)
+    columns = [pa.array([block] * (n + more), pa.int64()), pa.concat_arrays([keys, pa.nulls(more, keys.type)]), pa.array([*bases.tolist(), *[None] * more], pa.int32())]
+    columns += [pa.array([*[None] * n, *x], kind) for x, kind in zip(zip(*told, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)]
+    yield pa.RecordBatch.from_arrays(columns, names=["shard", "key", "base", "range", "prints", "places"])
+
+
+def repeated_places(texts: DataFrame, prints: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, ...]]], width: int, ranges: int, name: str) -> DataFrame:
+    """(key, spans): runs of the places of each text whose two hashes also stand elsewhere, each width long; prints gives the places and hashes of a batch's texts.
+
+    Hashes travel in blocks of texts, sorted and packed by range, each once a block, so a
+    hot one is as many entries as there are blocks.
+    """
+    whole = "packed" in texts.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for batch in chunks(batches, "packed", CHUNK) if whole else batches:
+            keys, rows, held, done = batch.column("key"), [], 0, 0
+            for i, row in enumerate(prints(batch)):
+                rows.append(row)
+                held += len(row[0])
+                if held > PRINTS or i == batch.num_rows - 1:
+                    yield from blocked(block, keys.slice(done, len(rows)), rows, ranges)
+                    block, rows, held, done = block + 1, [], 0, i + 1
+
+    local = stored(texts.mapInArrow(run, "shard bigint, key binary, base int, range int, prints binary, places binary"), name)
+    answers = local.filter("range IS NOT NULL").select("range", "shard", "prints", "places").groupBy("range").applyInArrow(looked_up, "of_shard bigint, places binary")
+    answers = answers.unionByName(local.filter("range IS NULL AND octet_length(places) > 0").select(F.col("shard").alias("of_shard"), "places"))
+    layout = local.filter("key IS NOT NULL").select("shard", "key", F.lit(0).alias("start"), "base")
+    across = layout.groupBy("shard").cogroup(answers.groupBy("of_shard")).applyInArrow(lambda left, right: placed(left, right, width), "key binary, spans array<int>")
+    spans = stored(across, f"{name}-spans")
+    release(local)
+    return spans
+
+
 def repeated_passages(texts: DataFrame, words: int) -> DataFrame:
-    """(key, spans) of the runs of so many words that also start elsewhere."""
-    found = texts.select("key", F.explode(F.arrays_zip("word_hashes", "word_places")).alias("x")).select("key", F.col("x.word_hashes").alias("hash"), F.col("x.word_places").alias("place"))
-    repeated = in_several(found, ["hash"], "passage-anchors")
-    own = found.join(repeated, "hash", "left_semi").groupBy("key").agg(F.sort_array(F.collect_list("place")).alias("own"))
+    """(key, spans) of the runs of so many words that also start elsewhere, from a word to before another, by their numbers."""
+    total = texts.agg(F.coalesce(F.sum(F.size("word_hashes")), F.lit(0))).first()[0]
+    ranges = min(max(RANGES, total * (words - WORD_GRAM + 2) // 2 // RANGE_PRINTS), 1 << 16)  # a window of words for each word, at most
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of_anchors(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        for hashes, places in zip(batch.column("word_hashes"), batch.column("word_places"), strict=True):
+            found = hashes.values.to_numpy().view(np.uint64)
+            yield places.values.to_numpy(), found, mixed(found)  # an anchor that is found by chance costs time only
+
+    def of_windows(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
         opener = zstandard.ZstdDecompressor()
-        for batch in chunks(batches, "packed", CHUNK):
-            keys, rows = batch.column("key"), []
-            for i, (packed, own) in enumerate(zip(batch.column("packed"), batch.column("own"), strict=True)):
-                starts, ends, names = words_of(np.frombuffer(opener.decompress(packed.as_buffer()), np.uint8))
-                places = own.values.to_numpy()
-                n = len(names) - words + 1
-                edges = np.zeros(n + 1, np.int64)
-                np.add.at(edges, np.maximum(places - (words - WORD_GRAM), 0), 1)
-                np.add.at(edges, np.minimum(places + 1, n), -1)
-                at = np.flatnonzero(np.cumsum(edges[:-1]) > 0)
-                rows.append((np.full(len(at), i), starts[at].astype(np.int32), ends[at + words - 1].astype(np.int32), *(window_hashes(names, words, base)[at].view(np.int64) for base in BASES)))
-                if i == len(keys) - 1 or sum(len(x[0]) for x in rows) > WINDOWS:
-                    of, *columns = (np.concatenate(x) for x in zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(of)), *map(pa.array, columns)], names=["key", "place", "end", "h1", "h2"])
-                    rows = []
-
-    found = stored(texts.select("key", "packed").join(own, "key").mapInArrow(windows, "key binary, place int, end int, h1 bigint, h2 bigint"), "passage-windows")
-    release(repeated)
-    prints = in_several(found, ["h1", "h2"], "passage-prints")
-    spans = stored(found.join(prints, ["h1", "h2"], "left_semi").groupBy("key").agg(F.flatten(F.collect_list(F.array("place", "end"))).alias("spans")), "passage-spans")
-    release(found, prints)
+        for packed, own in zip(batch.column("packed"), batch.column("spans"), strict=True):
+            names = words_of(np.frombuffer(opener.decompress(packed.as_buffer()), np.uint8))[2]
+            n, spans = len(names) - words + 1, own.values.to_numpy().reshape(-1, 2)
+            edges = np.zeros(n + 1, np.int64)
+            np.add.at(edges, np.maximum(spans[:, 0] - (words - WORD_GRAM), 0), 1)
+            np.add.at(edges, np.minimum(spans[:, 1], n), -1)
+            at = np.flatnonzero(np.cumsum(edges[:-1]) > 0)
+            yield at, *(window_hashes(names, words, base)[at] for base in BASES)
+
+    anchored = repeated_places(texts.filter(F.size("word_hashes") > 0).select("key", "word_hashes", "word_places"), of_anchors, 1, ranges, "passage-anchors")
+    spans = repeated_places(texts.select("key", "packed").join(anchored, "key"), of_windows, words, ranges, "passage-windows")
+    release(anchored)
     return spans
 
 
@@ -231,21 +284,22 @@ def looked_up(table: pa.Table) -> pa.Table:
         found = places[np.searchsorted(merged, prints, side="right") - np.searchsorted(merged, prints, side="left") > 1]
         if len(found):
             rows.append((shard, found.tobytes()))
-    return pa.table({"of_shard": pa.array([x for x, _ in rows], pa.int32()), "places": pa.array([x for _, x in rows], pa.binary())})
+    return pa.table({"of_shard": pa.array([x for x, _ in rows], table["shard"].type), "places": pa.array([x for _, x in rows], pa.binary())})
 
 
 def placed(layout: pa.Table, answers: pa.Table, match: int) -> pa.Table:
     """One shard: the spans of its regions' texts that other shards repeat."""
     layout = layout.combine_chunks().sort_by("base")
     found = np.sort(np.concatenate([np.empty(0, np.int32), *(np.frombuffer(x.as_buffer(), np.int32) for x in answers["places"])]))
-    bases, starts, keys = layout["base"].to_numpy(), layout["start"].to_numpy(), layout["key"]
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(found) > 1) + 1, [len(found)]]) if len(found) else np.zeros(1, np.int64)
-    rows: dict[int, list[int]] = {}
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        k = int(np.searchsorted(bases, found[a], side="right")) - 1
-        shift = int(starts[k]) - int(bases[k])
-        rows.setdefault(k, []).extend([int(found[a]) + shift, int(found[b - 1]) + shift + match])
-    return pa.table({"key": pa.array([keys[k].as_py() for k in rows], pa.binary()), "spans": pa.array(list(rows.values()), pa.list_(pa.int32()))})
+    bases, starts = layout["base"].to_numpy(), layout["start"].to_numpy()
+    first = np.flatnonzero(np.diff(found, prepend=-2) > 1)
+    last = np.append(first, len(found))[1:] - 1
+    of = np.searchsorted(bases, found[first], side="right") - 1
+    shift = starts[of] - bases[of]
+    rows, counts = np.unique(of, return_counts=True)
+    ends = pa.array(np.concatenate([[0], np.cumsum(2 * counts)]), pa.int32())
+    spans = pa.array(np.column_stack([found[first] + shift, found[last] + shift + match]).ravel(), pa.int32())
+    return pa.table({"key": layout["key"].take(pa.array(rows, pa.int64())), "spans": pa.ListArray.from_arrays(ends, spans)})
 
 
 def repeated_spans(texts: DataFrame, match: int = MATCH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -324,7 +378,10 @@ def verdicts(docs: DataFrame, match: int = MATCH, shard_bytes: int = SHARD_BYTES
             removed, count, digest, of_words, kept = [], [], [], [], []
             for packed, own, passages in zip(batch.column("packed"), batch.column("spans"), batch.column("passages"), strict=True):
                 text = np.frombuffer(opener.decompress(packed.as_buffer()), np.uint8)
-                found, more = joined_spans(own.values.to_numpy()), joined_spans(passages.values.to_numpy())
+                found, more = joined_spans(own.values.to_numpy()), passages.values.to_numpy().reshape(-1, 2)
+                if len(more):
+                    starts, ends = runs(~SPACE[text])
+                    more = joined_spans(np.column_stack([starts[more[:, 0]], ends[more[:, 1] - 1]]))
                 removed.append(int((found[:, 1] - found[:, 0]).sum()))
                 count.append(len(found))
                 digest.append(hashlib.sha256(left_of(text, found)).hexdigest())
@@ -368,15 +425,16 @@ def remove_repeats(docs: DataFrame, match: int = MATCH, words: int = 0) -> DataF
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes removed from every document, and the digest of the rest."""
+    """Bytes removed from every document, and the digest of the rest; n_passage_bytes are those in runs of PASSAGE_WORDS words that also start elsewhere, whatever their bytes, and are not removed for it."""
     docs = documents(spark, sf_dir)
-    found = verdicts(docs)
+    found = verdicts(docs, words=PASSAGE_WORDS)
     rows = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), text_key().alias("key"))
-    removed = F.when(F.col("n_spans").isNull(), F.lit(0)).otherwise(F.coalesce("n_removed", "n_bytes")).cast("long")
+    of_all = lambda column: F.when(F.col("n_spans").isNull(), F.lit(0)).otherwise(F.coalesce(column, "n_bytes")).cast("long")
     return rows.join(found, "key", "left").select(
         "doc_id",
         "n_bytes",
-        removed.alias("n_removed"),
+        of_all("n_removed").alias("n_removed"),
         F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
         F.coalesce("kept_sha256", F.lower(F.hex("key"))).alias("kept_sha256"),
+        of_all("n_passage_bytes").alias("n_passage_bytes"),
     )

@@ -305,6 +305,29 @@ def test_repeated_spans_of_long_and_hot_texts(spark, folder, monkeypatch):
     assert not any(passage in t for t in passages) and found[18].n_removed == 0
 
 
+@pytest.mark.parametrize("prints", [span_dedup.PRINTS, 40])
+def test_passages_of_over_50_words_have_a_column(spark, folder, prints, monkeypatch):
+    monkeypatch.setattr(span_dedup, "PRINTS", prints)  # each text a block of its own, or several in one
+    rng = random.Random(8)
+    prose = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    short, fifty, hot = (" ".join(rng.choice("abcdefgh") for _ in range(n)) for n in (51, 50, 60))
+    some = [f"{prose(70)} {short} {prose(5)}", f"{prose(9)}\n{short.replace(' ', '  ')} {prose(80)}", f"{prose(60)} {fifty} {prose(60)}", f"{prose(60)} {fifty} {prose(60)}", "k " * 60, short, prose(90), prose(50), "", None]
+    some += [f"{prose(i)} {hot} é{prose(3)} {hot}" for i in range(1, 20)] + [prose(60)] * 2 + ["two words"] * 2
+    data = [(t or "").encode() for t in some]
+    marks, places = [bytearray(len(t)) for t in data], {}
+    for i, t in enumerate(data):
+        at = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)]
+        for k in range(len(at) - 50):
+            places.setdefault(tuple(t[a:b] for a, b in at[k : k + 51]), []).append((i, at[k][0], at[k + 50][1]))
+    for found in places.values():
+        for i, a, b in found if len(found) > 1 else []:
+            marks[i][a:b] = b"\1" * (b - a)
+    wanted = [len(t) if t and data.count(t) > 1 and any(m) else sum(m) for t, m in zip(data, marks, strict=True)]
+    found = {r.doc_id: r for r in span_dedup.op8_suffix_array_dedup(spark, folder([(i, t, "s") for i, t in enumerate(some)])).collect()}
+    assert [found[i].n_passage_bytes for i in range(len(some))] == wanted
+    assert found[5].n_passage_bytes == len(short) and found[5].n_removed == found[2].n_passage_bytes == 0
+
+
 def test_columns_named_as_the_kept_text_stay(spark, docs):
     table = docs([(1, "a", "s", "k", 1), (2, None, "s", "k", 1)], ", kept_text string, n_passage_bytes int")
     found = span_dedup.remove_repeats(table)
