@@ -3,7 +3,8 @@
 Each match of the pattern is a word of its own. A word's bytes start as one part each;
 an array fold merges the neighbours of least rank, the leftmost first, until none is
 left, where ranks come from a literal map of part pairs. The words that are found most
-often are folded once each and kept in a literal map as well. The map is bounded, and so
+often are folded once each and kept in a literal map as well, the commonest with the codes
+and bytes of their ids. The map is bounded, and so
 other words are folded where they stand: to fold these once too, all documents would have
 to be shuffled to bring the ids back. Decoding looks up the bytes of each id, and
 concatenates them over the text.
@@ -37,8 +38,8 @@ PATTERN = public_tokenizers.PATTERN
 LONG = 1024
 #: Most words that are folded ahead, and bytes of the longest of them; together they bound the literal maps.
 KNOWN, KNOWN_BYTES = 250_000, 64
-#: Most words of the first map, which a core's cache can hold, and buckets of the two.
-OFTEN, WORD_BUCKETS = 4_000, (4_096, 131_072)
+#: Most words of the first map, which has their codes and bytes as well, and buckets of the two, each a power of two.
+OFTEN, WORD_BUCKETS = 20_000, (16_384, 131_072)
 PAIR_BUCKETS = 32_749
 #: A part's number: its id, the place of its first byte, and its rank with the next part.
 ID_BITS, RANK_AT = 20, 40
@@ -88,7 +89,7 @@ class Codec:
             pieces[rank] = token
         by_id = spark.createDataFrame(pa.table({"id": pa.array(range(size), pa.int32()), "piece": pa.array(pieces, pa.binary())}))
         reversed_bytes = F.concat(*[F.lpad(F.hex(F.shiftright("id", 8 * k).bitwiseAND(F.lit(255)).cast("long")), 2, "0") for k in range(4)])
-        listed = by_id.agg(F.sort_array(F.collect_list(F.struct("id", F.hex("piece").alias("piece"), reversed_bytes.alias("code")))).alias("x"))
+        listed = by_id.agg(F.sort_array(F.collect_list(F.struct("id", F.col("piece").cast("string").alias("piece"), F.unhex(reversed_bytes).cast("string").alias("code")))).alias("x"))  # strings of any bytes
         self.table = stored(listed.select(F.col("x.piece").alias("pieces"), F.col("x.code").alias("codes")).crossJoin(pairs), "bpe-ranks")  # one row each
         self.bytes = F.array(*[F.lit(of[bytes([x])]) for x in range(256)])
         self.known: DataFrame | None = None
@@ -150,13 +151,20 @@ class Codec:
                 cuts[most] = cuts[most] or (row.level + 1 if held > most else 0)
         often = F.col("level") >= cuts[OFTEN]
         maps = counts.filter(F.col("level") >= cuts[KNOWN]).withColumn("pairs", self.scalar("pairs"))
-        ids = stored(maps.select(often.alias("often"), F.col("word").alias("key"), let(F.struct("pairs"), lambda m: self.folded(F.col("word"), m["pairs"])).alias("value")), "bpe-folded")  # read once, else Spark would make a column of it
-        tables = [in_buckets(ids.filter(F.col("often") == (k == 0)).select("key", "value", F.pmod(F.xxhash64("key"), F.lit(n)).alias("bucket")), n).toDF(f"known{k}") for k, n in enumerate(WORD_BUCKETS)]
+        found = stored(maps.select(often.alias("often"), F.col("word").alias("key"), let(F.struct("pairs"), lambda m: self.folded(F.col("word"), m["pairs"])).alias("value")), "bpe-folded")  # read once, else Spark would make a column of it
+        few = found.filter("often").withColumns({"codes": self.scalar("codes"), "pieces": self.scalar("pieces")})
+        few = few.select("key", let(F.struct("codes", "pieces"), lambda m: whole(F.col("value"), m)).alias("value"))
+        tables = [in_buckets(x.select("key", "value", bucket(F.col("key"), n).alias("bucket")), n).toDF(f"known{k}") for k, (x, n) in enumerate(zip((few, found.filter("NOT often")), WORD_BUCKETS, strict=True))]
         self.known = stored(tables[0].crossJoin(tables[1]), "bpe-known")  # one row each
-        release(ids)
+        release(found)
         release(counts)
 
 
+def bucket(word: Column, buckets: int) -> Column:
+    """The word's bucket, of a power of two."""
+    return F.xxhash64(word).bitwiseAND(F.lit(buckets - 1))
+
+
 def in_buckets(rows: DataFrame, buckets: int) -> DataFrame:
     """One row with an array of maps from key to value, one map for each bucket; rows: bucket, key, value, of a bounded number."""
     held = rows.groupBy("bucket").agg(F.collect_list(F.struct("key", "value")).alias("held"))
@@ -165,9 +173,10 @@ def in_buckets(rows: DataFrame, buckets: int) -> DataFrame:
     return row.select(F.transform("x", lambda x: F.map_from_entries(x["held"])).alias("maps"))
 
 
-def digits(ids: Column, table: Column) -> Column:
-    """What table holds for each id, in a row."""
-    return F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")
+def whole(ids: Column, tables: Column) -> Column:
+    """ids, and what the tables of codes and pieces hold for each, in a row."""
+    in_a_row = lambda table: F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")
+    return F.struct(ids.alias("ids"), in_a_row(tables["codes"]).alias("codes"), in_a_row(tables["pieces"]).alias("pieces"))
 
 
 def long_words(texts: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -185,32 +194,39 @@ def long_words(texts: DataFrame, path: str, pattern: str) -> DataFrame:
     return placed.drop("word").join(ids, "name").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("place", "ids"))).alias("longs"))
 
 
-def encoded(docs: DataFrame, codec: Codec, path: str = RANKS, pattern: str = PATTERN) -> DataFrame:
-    """docs with ids, the tokens of text; codes, the ids as little-endian numbers of 4 bytes; and decoded, the bytes of the ids in a row.
+def encoded(docs: DataFrame, codec: Codec, path: str = RANKS, pattern: str = PATTERN, *, with_ids: bool = True) -> DataFrame:
+    """docs with ids, the tokens of text, if asked for; codes, the ids as little-endian numbers of 4 bytes; and decoded, the bytes of the ids in a row.
 
     All is made in one expression: the maps are read as scalars and never become columns of rows.
     """
-    added = ("ids", "codes", "decoded")
-    docs = docs.drop(*added)
+    docs = docs.drop("ids", "codes", "decoded")
+    ids_too = ["ids"] * with_ids
     text = F.coalesce(F.col("text"), F.lit(""))
 
-    def finished(rows: DataFrame, joined: Callable[[Column], Column]) -> DataFrame:
+    def finished(rows: DataFrame, spliced: Callable[[Column], Column] | None = None) -> DataFrame:
         names = ["pairs", "codes", "pieces"]
         known = [f"known{k}" for k in range(len(WORD_BUCKETS))]
         with_maps = rows.withColumns({f"__{x}": codec.scalar(x) for x in names} | {f"__{x}": codec.known.select(x).scalar() for x in known})
         maps = F.struct(*[F.col(f"__{x}").alias(x) for x in [*names, *known]])
 
         def made(m: Column) -> Column:
-            held = lambda w: [F.get(m[x], F.pmod(F.xxhash64(w), F.lit(n)).cast("int"))[w] for x, n in zip(known, WORD_BUCKETS, strict=True)]
-            short = lambda w: F.coalesce(*held(w), F.when(F.octet_length(w) <= LONG, codec.folded(w, m["pairs"])).otherwise(F.array().cast("array<int>")))
-            whole = lambda ids: F.struct(ids.alias("ids"), digits(ids, m["codes"]).alias("codes"), digits(ids, m["pieces"]).alias("pieces"))
-            return let(let(F.transform(words(F.col("text"), pattern), short), joined), whole)
+            def short(w: Column) -> Column:  # the commonest words are known with their codes and pieces
+                often, seen = (F.get(m[x], bucket(w, n).cast("int"))[w] for x, n in zip(known, WORD_BUCKETS, strict=True))
+                ids = F.coalesce(seen, F.when(F.octet_length(w) <= LONG, codec.folded(w, m["pairs"])).otherwise(F.array().cast("array<int>")))
+                return F.coalesce(often, let(ids, lambda x: whole(x, m)))
+
+            def joined(parts: Column) -> Column:
+                if spliced is not None:
+                    return let(let(spliced(parts["ids"]), lambda ids: whole(ids, m)), lambda x: F.struct(*[x[name].alias(name) for name in (*ids_too, "codes", "pieces")]))
+                return F.struct(*[F.flatten(parts[x]).alias(x) for x in ids_too], *[F.array_join(parts[x], "").alias(x) for x in ("codes", "pieces")])
+
+            return let(F.transform(words(F.col("text"), pattern), short), joined)
 
         found = with_maps.select(*docs.columns, let(maps, made).alias("__made"))
-        return found.select(*docs.columns, F.col("__made.ids").alias("ids"), F.unhex("__made.codes").alias("codes"), F.unhex("__made.pieces").alias("decoded"))
+        return found.select(*docs.columns, *[F.col(f"__made.{x}").alias(x) for x in ids_too], F.col("__made.codes").cast("binary").alias("codes"), F.col("__made.pieces").cast("binary").alias("decoded"))
 
     if codec.longest <= LONG:
-        return finished(docs, F.flatten)
+        return finished(docs)
 
     def spliced(parts: Column) -> Column:
         """The ids of all words, those of the long ones from __longs."""
@@ -222,7 +238,7 @@ def encoded(docs: DataFrame, codec: Codec, path: str = RANKS, pattern: str = PAT
     long = text.rlike(rf"[^{SPACE}]{{{LONG // 4}}}|[{SPACE}]{{{LONG // 4}}}")  # may have a word of over LONG bytes
     keyed = docs.filter(long).withColumn("__key", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
     longs = stored(long_words(keyed.select(F.col("__key").alias("key"), "text"), path, pattern), "bpe-spliced").toDF("__key", "__longs")
-    return finished(docs.filter(~long), F.flatten).unionByName(finished(keyed.join(longs, "__key", "left"), spliced))
+    return finished(docs.filter(~long)).unionByName(finished(keyed.join(longs, "__key", "left"), spliced))
 
 
 def _heaped(word: bytes, of: dict[bytes, int]) -> list[int]:
@@ -257,15 +273,15 @@ def _heaped(word: bytes, of: dict[bytes, int]) -> list[int]:
     return out
 
 
-def round_trip(docs: DataFrame) -> DataFrame:
-    """docs with ids, n_tokens, ids_sha256 and decoded, the bytes of the ids."""
+def round_trip(docs: DataFrame, *, with_ids: bool = True) -> DataFrame:
+    """docs with ids, if asked for, n_tokens, ids_sha256 and decoded, the bytes of the ids."""
     codec = Codec(docs.sparkSession)
     codec.learn(docs)
-    found = encoded(docs.drop("n_tokens", "ids_sha256"), codec)
-    return found.withColumns({"n_tokens": F.size("ids").cast("long"), "ids_sha256": F.sha2("codes", 256)}).drop("codes")
+    found = encoded(docs.drop("n_tokens", "ids_sha256"), codec, with_ids=with_ids)
+    return found.withColumns({"n_tokens": F.shiftright(F.octet_length("codes"), 2).cast("long"), "ids_sha256": F.sha2("codes", 256)}).drop("codes")
 
 
 def op3_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and the decoded bytes of every document."""
-    found = round_trip(documents(spark, sf_dir).select("doc_id", "text"))
+    found = round_trip(documents(spark, sf_dir).select("doc_id", "text"), with_ids=False)
     return found.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -276,6 +276,31 @@ def covered(data, k):
     return out
 
 
+def test_common_words_are_known_with_their_codes_and_bytes(spark, docs, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "OFTEN", 3)
+    some = [(i, "the été the 日本 the\x00ñandú" + " été" * 3 + f" once{i} {t or ''}", "s") for i, t in enumerate(texts())] + [(99, None, "s"), (98, "", "s")]
+    codec = byte_bpe.Codec(spark)
+    codec.learn(docs(some))
+    of = byte_bpe.ranks(byte_bpe.RANKS)
+    by_id = {i: b for b, i in of.items()}
+    held = [(w, v) for m in codec.known.first().known0 for w, v in m.items()]
+    assert held
+    for w, v in held:
+        ids = byte_bpe._heaped(w.encode(), of)
+        assert v.ids == ids and b"".join(by_id[i] for i in ids) == w.encode()
+    first = codec.known.select(F.explode("known0").alias("m")).select(F.explode("m").alias("w", "v")).select(F.col("w").cast("binary").alias("w"), "v.ids", F.col("v.codes").cast("binary").alias("codes"), F.col("v.pieces").cast("binary").alias("pieces"))
+    for r in first.collect():
+        assert bytes(r.pieces) == bytes(r.w) and bytes(r.codes) == np.array(r.ids, "<u4").tobytes()
+    whole = byte_bpe.round_trip(docs(some))
+    slim = byte_bpe.round_trip(docs(some), with_ids=False)
+    assert "ids" in whole.columns and "ids" not in slim.columns
+    rows = {r.doc_id: r for r in whole.collect()}
+    for r in slim.collect():
+        t = dict((i, t) for i, t, _ in some)[r.doc_id] or ""
+        assert bytes(r.decoded) == bytes(rows[r.doc_id].decoded) == t.encode()
+        assert r.n_tokens == len(rows[r.doc_id].ids) and r.ids_sha256 == rows[r.doc_id].ids_sha256 == hashlib.sha256(np.array(rows[r.doc_id].ids, "<u4").tobytes()).hexdigest()
+
+
 @pytest.mark.parametrize("shard_bytes", [span_dedup.SHARD_BYTES, 1500])
 def test_repeated_spans(spark, folder, shard_bytes, monkeypatch):
     monkeypatch.setattr(span_dedup.verdicts, "__defaults__", (span_dedup.MATCH, shard_bytes, False))
