@@ -301,6 +301,51 @@ def test_common_words_are_known_with_their_codes_and_bytes(spark, docs, monkeypa
         assert r.n_tokens == len(rows[r.doc_id].ids) and r.ids_sha256 == rows[r.doc_id].ids_sha256 == hashlib.sha256(np.array(rows[r.doc_id].ids, "<u4").tobytes()).hexdigest()
 
 
+def test_folds_start_with_merges_that_are_certain(spark, docs):
+    """The parts a fold starts with lead to the library's ids, whatever stands beside them, and are fewer than the bytes."""
+    of = byte_bpe.ranks(byte_bpe.RANKS)
+    pair = {(a, b): r for a, b, r in byte_bpe.merges(of)}
+    tokens = byte_bpe.sure(byte_bpe.RANKS)
+    pattern = re.compile(byte_bpe.sure_pattern(tokens))
+    rng, pieces = random.Random(3), sorted(x for x in of if len(x) < 5)
+    some = [b"".join(rng.choice([rng.choice(pieces), rng.choice(sorted(tokens)), bytes([rng.randrange(256)])]) for _ in range(rng.randrange(1, 9))) for _ in range(4000)]
+    n_bytes = n_parts = 0
+    for word in [b"", b"\0", b"\0e", b"aaaa", b"ererer", *some]:
+        starts = [x.encode("latin-1") for x in pattern.findall(word.decode("latin-1"))]
+        assert b"".join(starts) == word
+        parts = [of[x] for x in starts]
+        while found := [(pair[x], i) for i, x in enumerate(zip(parts, parts[1:], strict=False)) if x in pair]:
+            rank, i = min(found)
+            parts[i : i + 2] = [rank]
+        assert parts == byte_bpe._heaped(word, of), word
+        n_bytes, n_parts = n_bytes + len(word), n_parts + len(starts)
+    assert n_parts < 0.9 * n_bytes
+    codec = byte_bpe.Codec(spark)
+    words = [x.decode(errors="ignore") for x in some[:400]] + ["", "\0", "hereinafter", " übernehmen", "ererer", "日本語"]
+    table = spark.createDataFrame([(x,) for x in words], "word string").withColumns({x: codec.scalar(x) for x in ("pairs", "starts")})
+    for r in table.select("word", byte_bpe.let(F.struct("pairs", "starts"), lambda m: codec.folded(F.col("word"), m)).alias("ids")).collect():
+        assert r.ids == byte_bpe._heaped(r.word.encode(), of), r.word
+
+
+def test_known_words_need_no_lookups_where_ids_are_unasked(spark, docs, monkeypatch):
+    """Both maps have codes and bytes then; a text's long words are put between the others."""
+    monkeypatch.setattr(byte_bpe, "OFTEN", 3)
+    long = "ab" * 900
+    some = [(i, f"the été the 日本 {long} ñandú ñandú\0 {long}{i} once{i} the", "s") for i in range(6)] + [(9, None, "s"), (10, long, "s")]
+    codec = byte_bpe.Codec(spark)
+    codec.learn(docs(some), with_ids=False)
+    of = byte_bpe.ranks(byte_bpe.RANKS)
+    for name in ("known0", "known1"):
+        held = codec.known.select(F.explode(name).alias("m")).select(F.explode("m").alias("w", "v")).select("w", "v.*").withColumns({x: F.col(x).cast("binary") for x in ("codes", "pieces")}).collect()
+        assert held and set(held[0].asDict()) == {"w", "codes", "pieces"}
+        for r in held:
+            assert bytes(r.pieces) == r.w.encode() and bytes(r.codes) == np.array(byte_bpe._heaped(r.w.encode(), of), "<u4").tobytes()
+    rows = {r.doc_id: r for r in byte_bpe.round_trip(docs(some)).collect()}
+    for r in byte_bpe.round_trip(docs(some), with_ids=False).collect():
+        assert bytes(r.decoded) == (dict((i, t) for i, t, _ in some)[r.doc_id] or "").encode()
+        assert r.n_tokens == len(rows[r.doc_id].ids) and r.ids_sha256 == rows[r.doc_id].ids_sha256
+
+
 @pytest.mark.parametrize("shard_bytes", [span_dedup.SHARD_BYTES, 1500])
 def test_repeated_spans(spark, folder, shard_bytes, monkeypatch):
     monkeypatch.setattr(span_dedup.verdicts, "__defaults__", (span_dedup.MATCH, shard_bytes, False))
