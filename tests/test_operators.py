@@ -208,6 +208,68 @@ def test_quantiles_of_all_pairs_are_exact(spark, kind):
     assert embeddings.pair_quantiles(table, shares) == want
 
 
+def odd_vectors(kind):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    unit = rng.normal(size=(300, 6))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    holes = lambda value: np.where(rng.random((300, 6)) < 0.01, value, unit)
+    return {"spread": unit, "far": unit + 1e4, "copies": np.concatenate([unit[:200], np.repeat(unit[:3], 90, axis=0)]), "ties": rng.integers(0, 3, (300, 4)).astype(float), "tiny": unit * 1e-160, "huge": unit * 1e160, "endless": holes(np.inf), "none": holes(np.nan)}[kind]
+
+
+@pytest.mark.parametrize("kind", ["spread", "far", "copies", "ties", "tiny", "huge", "endless", "none"])
+def test_quantiles_by_blocks_and_rounds_are_exact(spark, monkeypatch, kind):
+    import numpy as np
+
+    from formlens.operators import pair_counts
+
+    monkeypatch.setattr(pair_counts, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(pair_counts, "LISTED", 500)
+    rows = odd_vectors(kind)
+    table = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(rows)] + [(None, 0, [9.0] * rows.shape[1]), (9999, 0, None)], "vec_id long, label int, embedding array<double>").repartition(3)
+    assert pair_counts.packed(table).count() > 1
+    with np.errstate(all="ignore"):
+        pairs = np.sort(np.concatenate([np.sqrt(((rows[i + 1 :] - x) ** 2).sum(1)) for i, x in enumerate(rows)]))
+    shares = (0.0, 0.25, 0.5, 0.9, 1.0)
+    places = [s * (len(pairs) - 1) for s in shares]
+    near = [(pairs[int(p)], pairs[min(int(p) + 1, len(pairs) - 1)], p % 1) for p in places]
+    want = [a if a == b or not rest else a + (b - a) * rest for a, b, rest in near]
+    assert embeddings.pair_quantiles(table, shares) == [pytest.approx(x, rel=1e-12, nan_ok=True) for x in want]
+
+
+def test_a_wrong_guess_changes_no_quantile(spark, monkeypatch):
+    import numpy as np
+
+    from formlens.operators import pair_counts
+
+    rows = odd_vectors("spread")
+    table = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(rows)], "vec_id long, label int, embedding array<double>")
+    want = embeddings.pair_quantiles(table)
+    at = lambda x: int(np.array(x).view(np.int64))
+    monkeypatch.setattr(pair_counts, "LISTED", 500)
+    monkeypatch.setattr(pair_counts, "guessed", lambda held, blocks, n, shares: {s: (at(0.1 + s), at(0.11 + s), n) if s < 0.6 else (at(1.99), at(1.999), n) for s in shares})
+    assert embeddings.pair_quantiles(table) == want
+
+
+def test_quantiles_shuffle_vectors_once(spark):
+    import numpy as np
+
+    rows = np.random.default_rng(1).normal(size=(2500, 64))
+    table = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(rows)], "vec_id long, label int, embedding array<double>")
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    before = written()
+    found = embeddings.pair_quantiles(table)
+    assert 0 < written() - before < 4 * rows.nbytes
+    pairs = np.concatenate([np.sqrt(((rows[i + 1 :] - x) ** 2).sum(1)) for i, x in enumerate(rows)])
+    assert found == [pytest.approx(x, rel=1e-12) for x in np.quantile(pairs, (0.25, 0.5, 0.75))]
+
+
 def test_joins_that_check(spark):
     files = lambda *ids: spark.createDataFrame([(i, None) for i in ids], "doc int, more string")
     boxes = lambda *ids: spark.createDataFrame([(i, i * 10) for i in ids], "doc int, x int")
