@@ -40,10 +40,40 @@ INFINITE, NAN = (int(np.array(x).view(np.int64)) for x in (np.inf, np.nan))
 TOP = NAN + 1
 
 
+BLOCKS = "dims int, total long, n binary, data binary"
+
+
+def present(vectors: DataFrame) -> tuple[DataFrame, bool]:
+    """(vec_id, v) of rows with vec_id and embedding, and whether v is in single precision."""
+    single = dict(vectors.dtypes)["embedding"] == "array<float>"
+    v = F.col("embedding").cast(f"array<{'float' if single else 'double'}>").alias("v")
+    return vectors.filter("vec_id IS NOT NULL AND embedding IS NOT NULL").select("vec_id", v), single
+
+
+def matrix(lists: pa.ListArray) -> np.ndarray:
+    """Vectors as rows."""
+    sizes, values = lists.value_lengths().to_numpy(), lists.flatten()
+    if values.null_count:
+        raise ValueError("an embedding has a null component")
+    if (sizes != sizes[0]).any():
+        raise ValueError("embeddings have different lengths")
+    return values.to_numpy().reshape(len(sizes), sizes[0])
+
+
+def block(n: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    """One row of BLOCKS, ordered by n."""
+    order = np.argsort(n, kind="stable")
+    data = [[rows.shape[1]], [int(n.sum())], [n[order].astype(np.int64).tobytes()], [np.ascontiguousarray(rows[order]).tobytes()]]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(data, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["dims", "total", "n", "data"])
+
+
+def stored(blocks: DataFrame, single: bool) -> DataFrame:
+    return cut(blocks.select(F.monotonically_increasing_id().alias("block"), "dims", "total", "n", "data", F.lit(single).alias("single")))
+
+
 def packed(vectors: DataFrame) -> DataFrame:
     """(block, dims, total, n, data): different vectors and how often each is found, as bytes, ordered by that number; rows without vec_id or embedding take no part."""
-    single = dict(vectors.dtypes)["embedding"] == "array<float>"
-    there = vectors.filter("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("embedding").cast(f"array<{'float' if single else 'double'}>").alias("v"))
+    there, single = present(vectors)
     rows, numbers = there.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("v").cast("long")), F.lit(0))).first()
     size = numbers * (4 if single else 8)
     blocks = max(1, -(-rows // BLOCK_ROWS), -(-size // BLOCK_BYTES))
@@ -54,13 +84,9 @@ def packed(vectors: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lists, n = batch.column("v"), batch.column("n").to_numpy()
-            sizes, values = lists.value_lengths().to_numpy(), lists.flatten()
-            if values.null_count:
-                raise ValueError("an embedding has a null component")
-            if (sizes != (held[0][1].shape[1] if held else sizes[0])).any():
+            held.append((batch.column("n").to_numpy(), matrix(batch.column("v"))))
+            if held[-1][1].shape[1] != held[0][1].shape[1]:
                 raise ValueError("embeddings have different lengths")
-            held.append((n, values.to_numpy().reshape(len(n), sizes[0])))
             most = max(1, min(BLOCK_ROWS, BLOCK_BYTES // max(1, held[0][1][0].nbytes)))
             if sum(len(x) for x, _ in held) >= most:
                 ns, rows = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -71,17 +97,31 @@ def packed(vectors: DataFrame) -> DataFrame:
         if held:
             yield block(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    def block(n: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
-        order = np.argsort(n, kind="stable")
-        data = [[rows.shape[1]], [int(n.sum())], [n[order].astype(np.int64).tobytes()], [np.ascontiguousarray(rows[order]).tobytes()]]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(data, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["dims", "total", "n", "data"])
+    return stored(there.groupBy("v").agg(F.count(F.lit(1)).alias("n")).coalesce(parts).mapInArrow(run, BLOCKS), single)
+
+
+def twins(vectors: DataFrame) -> DataFrame | None:
+    """A block as in packed() of the vectors of each vec_id that has several, which are no pairs; none if there is no such vec_id."""
+    there, single = present(vectors)
+    again = there.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if again.isEmpty():
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                rows = matrix(batch.column("v")[row].values)
+                yield block(np.ones(len(rows), np.int64), rows)
 
-    made = there.groupBy("v").agg(F.count(F.lit(1)).alias("n")).coalesce(parts).mapInArrow(run, "dims int, total long, n binary, data binary")
-    return cut(made.select(F.monotonically_increasing_id().alias("block"), "dims", "total", "n", "data", F.lit(single).alias("single")))
+    lists = there.join(again, "vec_id", "left_semi").groupBy("vec_id").agg(F.collect_list("v").alias("v")).select("v")
+    return stored(lists.mapInArrow(run, BLOCKS), single)
 
 
-def over_blocks(held: DataFrame, work: Callable, schema: str, kept: Column | None = None) -> DataFrame:
-    """work(vectors and numbers of a, of b, whether they are one, a seed), a table with a number n, for each two blocks and each block with itself, added up; kept narrows by the hash of a pair of blocks."""
+def over_blocks(held: DataFrame, work: Callable, schema: str, kept: Column | None = None, less: DataFrame | None = None) -> DataFrame:
+    """work(vectors and numbers of a, of b, whether they are one, a seed), a table with a number n, for each two blocks and each block with itself, added up.
+
+    kept narrows by the hash of a pair of blocks; less has blocks whose own pairs are taken off.
+    """
     x, y, once = F.col("block"), F.col("block_b"), F.col("block") == F.col("block_b")
     mixed = F.xxhash64(F.least(x, y), F.greatest(x, y))
     met = once | ((x < y) == (F.pmod(mixed, F.lit(2)) == 0))  # by a coin, so that tasks have like shares of the pairs
@@ -107,7 +147,11 @@ def over_blocks(held: DataFrame, work: Callable, schema: str, kept: Column | Non
         if found:
             yield from added(found).to_batches()
 
-    return pairs.withColumn("mixed", mixed).mapInArrow(run, schema).groupBy(*[x.split()[0] for x in schema.split(", ")][:-1]).agg(F.sum("n").alias("n"))
+    found = pairs.withColumn("mixed", mixed).mapInArrow(run, schema)
+    if less is not None:
+        own = less.select("*", *[F.col(c).alias(f"{c}_b") for c in less.columns]).withColumn("mixed", mixed)
+        found = found.unionByName(own.mapInArrow(run, schema).withColumn("n", -F.col("n")))
+    return found.groupBy(*[x.split()[0] for x in schema.split(", ")][:-1]).agg(F.sum("n").alias("n"))
 
 
 def keys(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -242,7 +286,8 @@ def at_places(vectors: DataFrame, places_of: Callable[[int], dict[int, float]])
     sums = held.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("blocks"), F.min("dims").alias("least"), F.max("dims").alias("most")).first()
     if sums.least != sums.most:
         raise ValueError("embeddings have different lengths")
-    n = sums.rows * (sums.rows - 1) // 2
+    less = twins(vectors)
+    n = sums.rows * (sums.rows - 1) // 2 - (less.agg(F.sum(F.expr("total * (total - 1) div 2"))).first()[0] if less is not None else 0)
     wanted = places_of(n) if n else {}
     if n > LISTED:
         near = guessed(held, sums.blocks, n, sorted(set(wanted.values())))
@@ -252,7 +297,7 @@ def at_places(vectors: DataFrame, places_of: Callable[[int], dict[int, float]])
     while any(hi - lo > 1 for lo, hi, _ in where.values()):
         open_ = {p: (lo, hi, shift(hi - lo, most)) for p, (lo, hi, most) in where.items() if hi - lo > 1}
         ranges = sorted(set(open_.values()))
-        counts = over_blocks(held, lambda a, na, b, nb, same, _, r=ranges: counted(a, na, b, nb, same, r), "head long, digit long, n long")
+        counts = over_blocks(held, lambda a, na, b, nb, same, _, r=ranges: counted(a, na, b, nb, same, r), "head long, digit long, n long", less=less)
         upto = F.sum("n").over(Window.partitionBy("head").orderBy("digit"))  # 2^16 or LISTED rows a head, about
         asked = F.array(*[F.struct(F.lit(ranges.index(x)).alias("head"), F.lit(p).alias("place")) for p, x in open_.items()])
         found = counts.withColumn("upto", upto).withColumn("x", F.explode(F.filter(asked, lambda x: (x["head"] == F.col("head")) & (x["place"] < F.col("upto")) & (x["place"] >= F.col("upto") - F.col("n")))))

@@ -238,6 +238,32 @@ def test_quantiles_by_blocks_and_rounds_are_exact(spark, monkeypatch, kind):
     assert embeddings.pair_quantiles(table, shares) == [pytest.approx(x, rel=1e-12, nan_ok=True) for x in want]
 
 
+@pytest.mark.parametrize("kind", ["spread", "copies", "endless"])
+def test_vectors_of_one_id_are_no_pair(spark, monkeypatch, kind):
+    import numpy as np
+
+    from formlens.operators import pair_counts
+
+    monkeypatch.setattr(pair_counts, "LISTED", 500)
+    rows = odd_vectors(kind)
+    ids = [i // 40 if i < 120 else i % 170 for i in range(len(rows))]
+    table = spark.createDataFrame([(i, 0, v.tolist()) for i, v in zip(ids, rows, strict=True)], "vec_id long, label int, embedding array<float>")
+    with np.errstate(all="ignore"):
+        single = rows.astype(np.float32).astype(float)
+        pairs = np.sort([np.sqrt(((single[i] - single[j]) ** 2).sum()) for i in range(len(rows)) for j in range(i) if ids[i] != ids[j]])
+    assert embeddings.pair_quantiles(table, (0.0, 1.0)) == [pytest.approx(x, rel=1e-12, nan_ok=True) for x in pairs[[0, -1]]]
+    middle = (len(pairs) - 1) // 2
+    assert embeddings.pair_quantiles(table, (middle / (len(pairs) - 1),))[0] == pytest.approx(pairs[middle], rel=1e-6)
+    assert embeddings.pair_quantiles(table.withColumn("vec_id", F.lit(1))) == [None] * 3
+
+
+@pytest.mark.parametrize("last, said", [([1.0], "different lengths"), ([1.0, None], "null component")])
+def test_quantiles_take_no_broken_vectors(spark, last, said):
+    table = spark.createDataFrame([(1, 0, [1.0, 2.0]), (2, 0, [0.0, 2.0]), (3, 0, last)], "vec_id long, label int, embedding array<double>").repartition(1)
+    with pytest.raises(Exception, match=said):
+        embeddings.pair_quantiles(table)
+
+
 def test_a_wrong_guess_changes_no_quantile(spark, monkeypatch):
     import numpy as np
 
